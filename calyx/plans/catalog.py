@@ -219,3 +219,125 @@ def q_learning_subsets(spark, sf):
 @register("capped_class_sample")
 def q_capped_class_sample(spark, sf):
     return S.capped_class_sample(FX.loan_base(spark, sf)).select("id", "label")
+
+
+# ---- H / G on score tables ------------------------------------------------
+from calyx.operators import evaluate as E  # noqa: E402
+
+BASELINE_VARIANT, IMPROVED_VARIANT = "lr_planted", "LR_sqrt"
+
+
+def _variants(spark, sf):
+    return FX.score_variants(spark, sf)
+
+
+@register("apply_threshold")
+def q_apply_threshold(spark, sf):
+    return _variants(spark, sf).withColumn("pred", X.apply_threshold("score", 0.5))
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    return E.confusion(_variants(spark, sf), 0.5, ["variant"])
+
+
+@register("basic_metrics")
+def q_basic_metrics(spark, sf):
+    m = E.with_basic_metrics(E.confusion(_variants(spark, sf), 0.5, ["variant"]))
+    return rounded(m.select("variant", "accuracy", "precision", "recall", "f1"))
+
+
+@register("classification_report")
+def q_classification_report(spark, sf):
+    return rounded(E.classification_report(_variants(spark, sf), 0.5, ["variant"]))
+
+
+@register("weighted_f1")
+def q_weighted_f1(spark, sf):
+    rep = E.classification_report(_variants(spark, sf), 0.5, ["variant"])
+    return rounded(rep.where(F.col("row") == "weighted avg").select("variant", F.col("f1").alias("weighted_f1")))
+
+
+@register("roc_curve")
+def q_roc_curve(spark, sf):
+    return rounded(E.roc_curve(_variants(spark, sf), ["variant"]))
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf):
+    return rounded(E.areas(_variants(spark, sf), ["variant"]).select("variant", "roc_auc"))
+
+
+@register("pr_curve")
+def q_pr_curve(spark, sf):
+    return rounded(E.pr_curve(_variants(spark, sf), ["variant"]))
+
+
+@register("pr_auc_trapezoid")
+def q_pr_auc_trapezoid(spark, sf):
+    return rounded(E.areas(_variants(spark, sf), ["variant"]).select("variant", "pr_auc"))
+
+
+@register("average_precision")
+def q_average_precision(spark, sf):
+    return rounded(E.areas(_variants(spark, sf), ["variant"]).select("variant", "average_precision"))
+
+
+@register("threshold_sweep")
+def q_threshold_sweep(spark, sf):
+    return rounded(E.threshold_sweep(_variants(spark, sf), ["variant"]))
+
+
+@register("best_threshold")
+def q_best_threshold(spark, sf):
+    return rounded(E.best_thresholds(E.threshold_sweep(_variants(spark, sf), ["variant"]), ["variant"]))
+
+
+@register("youden_j")
+def q_youden_j(spark, sf):
+    return rounded(E.threshold_sweep(_variants(spark, sf), ["variant"]).select("variant", "threshold", "youden_j"))
+
+
+@register("calibration_curve")
+def q_calibration_curve(spark, sf):
+    return rounded(E.calibration_curve(_variants(spark, sf), 10, ["variant"]))
+
+
+@register("brier")
+def q_brier(spark, sf):
+    return rounded(E.brier(_variants(spark, sf), ["variant"]))
+
+
+@register("train_test_metrics")
+def q_train_test_metrics(spark, sf):
+    split = S.stratified_split(FX.loan_base(spark, sf)).select("id", "label", F.col("p").alias("score"), "split")
+    return rounded(E.unpivot_metrics(E.metrics_table(split, 0.5, ["split"]), ["split"]))
+
+
+@register("name_filter")
+def q_name_filter(spark, sf):
+    m = E.metrics_table(_variants(spark, sf), 0.5, ["variant"])
+    return rounded(m.where(F.coalesce(F.lower("variant").contains("lr"), F.lit(False))))
+
+
+@register("unpivot_metrics")
+def q_unpivot_metrics(spark, sf):
+    return rounded(E.unpivot_metrics(E.metrics_table(_variants(spark, sf), 0.5, ["variant"]), ["variant"]))
+
+
+@register("rank_models")
+def q_rank_models(spark, sf):
+    return rounded(E.rank_models(E.metrics_table(_variants(spark, sf), 0.5, ["variant"])))
+
+
+@register("compare_variants")
+def q_compare_variants(spark, sf):
+    m = E.metrics_table(_variants(spark, sf), 0.5, ["variant"])
+    return rounded(E.compare_variants(m, BASELINE_VARIANT, IMPROVED_VARIANT))
+
+
+@register("cv_summary")
+def q_cv_summary(spark, sf):
+    base = FX.loan_base(spark, sf)
+    folded = S.kfold(base, k=5, shuffle=True, seed=42).select("id", "label", F.col("p").alias("score"), "fold")
+    return rounded(E.cv_summary(folded))

@@ -210,3 +210,141 @@ ORACLE["learning_subsets"] = ORACLE["learning_subsets"].replace("ON rk <= n_trai
 q("capped_class_sample", ["loan_base"],
   f"SELECT id, label FROM (SELECT id, label, ROW_NUMBER() OVER (PARTITION BY label ORDER BY {U42}, id) AS rn "
   f"FROM loan_base) WHERE rn <= 180")
+
+
+# ---- H / G on score tables ----
+def _metrics_ctes(src: str, g: str) -> str:
+    """CTEs conf, sc (score counts), ar (areas), br (brier), mt (metrics table) grouped by g."""
+    return f"""
+conf AS (SELECT {g},
+    CAST(SUM(CASE WHEN score < 0.5e0 AND label <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+    CAST(SUM(CASE WHEN score >= 0.5e0 AND label <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+    CAST(SUM(CASE WHEN score < 0.5e0 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+    CAST(SUM(CASE WHEN score >= 0.5e0 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp
+  FROM {src} GROUP BY {g}),
+hist AS (SELECT {g}, score, CAST(SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+                CAST(SUM(CASE WHEN label <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS neg FROM {src} GROUP BY {g}, score),
+sc AS (SELECT *, SUM(pos) OVER (PARTITION BY {g} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+              SUM(neg) OVER (PARTITION BY {g} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp,
+              SUM(pos) OVER (PARTITION BY {g}) AS P, SUM(neg) OVER (PARTITION BY {g}) AS N FROM hist),
+sc2 AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0e0 ELSE tp / (tp + fp) END AS prec,
+               CASE WHEN (tp - pos) + (fp - neg) = 0 THEN 1e0 ELSE (tp - pos) / ((tp - pos) + (fp - neg)) END AS prev
+        FROM sc),
+ar AS (SELECT {g}, SUM(neg * (tp - pos + 0.5e0 * pos)) / (MAX(P) * MAX(N)) AS roc_auc,
+              SUM(pos * (prec + prev) / 2e0) / MAX(P) AS pr_auc, SUM(pos * prec) / MAX(P) AS average_precision
+       FROM sc2 GROUP BY {g}),
+br AS (SELECT {g}, AVG((score - label) * (score - label)) AS brier FROM {src} GROUP BY {g}),
+mt AS (SELECT {g}, 0.5e0 AS threshold, (tn + tp) / (tn + fp + fn + tp) AS accuracy,
+              CASE WHEN tp + fp = 0 THEN 0e0 ELSE tp / (tp + fp) END AS precision,
+              CASE WHEN tp + fn = 0 THEN 0e0 ELSE tp / (tp + fn) END AS recall,
+              CASE WHEN 2 * tp + fp + fn = 0 THEN 0e0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1,
+              roc_auc, pr_auc, average_precision, brier, tn, fp, fn, tp
+       FROM conf JOIN ar USING ({g}) JOIN br USING ({g}))"""
+
+
+_MT = _metrics_ctes("score_variants", "variant")
+_MCOLS = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "average_precision", "brier"]
+
+
+def _r(cols):
+    return ", ".join(f"{r6(c)} AS {c}" for c in cols)
+
+
+q("apply_threshold", ["score_variants"],
+  "SELECT variant, id, label, score, CAST(score >= 0.5e0 AS INT) AS pred FROM score_variants")
+q("confusion_matrix", ["score_variants"], "SELECT variant, tn, fp, fn, tp FROM conf", extra=_MT)
+q("basic_metrics", ["score_variants"], f"SELECT variant, {_r(['accuracy', 'precision', 'recall', 'f1'])} FROM mt",
+  extra=_MT)
+q("classification_report", ["score_variants"], f"""
+SELECT variant, row, {_r(['precision', 'recall', 'f1'])}, support FROM (
+  SELECT variant, '0' AS row, CASE WHEN tn + fn = 0 THEN 0e0 ELSE tn / (tn + fn) END AS precision,
+         CASE WHEN tn + fp = 0 THEN 0e0 ELSE tn / (tn + fp) END AS recall,
+         CASE WHEN 2 * tn + fn + fp = 0 THEN 0e0 ELSE 2 * tn / (2 * tn + fn + fp) END AS f1, tn + fp AS support FROM conf
+  UNION ALL
+  SELECT variant, '1', p1, r1, f1_1, s1 FROM rp
+  UNION ALL
+  SELECT variant, 'accuracy', NULL, NULL, (tn + tp) / (tn + fp + fn + tp), tn + fp + fn + tp FROM conf
+  UNION ALL
+  SELECT variant, 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f1_0 + f1_1) / 2, n FROM rp
+  UNION ALL
+  SELECT variant, 'weighted avg', (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n, (f1_0 * s0 + f1_1 * s1) / n, n FROM rp)""",
+  extra=_MT + """,
+rp AS (SELECT variant, tn + fp + fn + tp AS n, tn + fp AS s0, tp + fn AS s1,
+         CASE WHEN tn + fn = 0 THEN 0e0 ELSE tn / (tn + fn) END AS p0, CASE WHEN tn + fp = 0 THEN 0e0 ELSE tn / (tn + fp) END AS r0,
+         CASE WHEN 2 * tn + fn + fp = 0 THEN 0e0 ELSE 2 * tn / (2 * tn + fn + fp) END AS f1_0,
+         CASE WHEN tp + fp = 0 THEN 0e0 ELSE tp / (tp + fp) END AS p1, CASE WHEN tp + fn = 0 THEN 0e0 ELSE tp / (tp + fn) END AS r1,
+         CASE WHEN 2 * tp + fp + fn = 0 THEN 0e0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1_1 FROM conf)""")
+q("weighted_f1", ["score_variants"],
+  f"SELECT variant, {r6('(f1_0 * s0 + f1_1 * s1) / n')} AS weighted_f1 FROM rp",
+  extra=_MT + """,
+rp AS (SELECT variant, tn + fp + fn + tp AS n, tn + fp AS s0, tp + fn AS s1,
+         CASE WHEN 2 * tn + fn + fp = 0 THEN 0e0 ELSE 2 * tn / (2 * tn + fn + fp) END AS f1_0,
+         CASE WHEN 2 * tp + fp + fn = 0 THEN 0e0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1_1 FROM conf)""")
+q("roc_curve", ["score_variants"],
+  f"SELECT variant, score AS threshold, {r6('fp / N')} AS fpr, {r6('tp / P')} AS tpr FROM sc", extra=_MT)
+q("roc_auc", ["score_variants"], f"SELECT variant, {r6('roc_auc')} AS roc_auc FROM ar", extra=_MT)
+q("pr_curve", ["score_variants"],
+  f"SELECT variant, score AS threshold, {r6('prec')} AS precision, {r6('tp / P')} AS recall FROM sc2", extra=_MT)
+q("pr_auc_trapezoid", ["score_variants"], f"SELECT variant, {r6('pr_auc')} AS pr_auc FROM ar", extra=_MT)
+q("average_precision", ["score_variants"],
+  f"SELECT variant, {r6('average_precision')} AS average_precision FROM ar", extra=_MT)
+
+_SWEEP_CTE = """
+sb AS (SELECT variant, LEAST(GREATEST(CAST(FLOOR(CAST(ROUND(score * 1000000) AS BIGINT) / 10000) AS INT), 0), 100) AS b,
+              CAST(SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+              CAST(SUM(CASE WHEN label <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS neg
+       FROM score_variants GROUP BY ALL),
+tot AS (SELECT variant, SUM(pos) AS P, SUM(neg) AS N FROM sb GROUP BY variant),
+grid AS (SELECT variant, P, N, i FROM tot, range(5, 96) r(i)),
+sw0 AS (SELECT g.variant, g.i, g.P, g.N, COALESCE(SUM(sb.pos), 0) AS tp, COALESCE(SUM(sb.neg), 0) AS fp
+        FROM grid g LEFT JOIN sb ON sb.variant = g.variant AND sb.b >= g.i GROUP BY g.variant, g.i, g.P, g.N),
+sw AS (SELECT variant, i / 100e0 AS threshold,
+              CASE WHEN tp + fp = 0 THEN 0e0 ELSE tp / (tp + fp) END AS precision,
+              CASE WHEN P = 0 THEN 0e0 ELSE tp / P END AS recall,
+              CASE WHEN 2 * tp + fp + (P - tp) = 0 THEN 0e0 ELSE 2 * tp / (2 * tp + fp + (P - tp)) END AS f1,
+              (CASE WHEN P = 0 THEN 0e0 ELSE tp / P END) - fp / GREATEST(N, 1) AS youden_j FROM sw0)"""
+q("threshold_sweep", ["score_variants"],
+  f"SELECT variant, {_r(['threshold', 'precision', 'recall', 'f1', 'youden_j'])} FROM sw", extra=_SWEEP_CTE)
+q("youden_j", ["score_variants"], f"SELECT variant, {_r(['threshold', 'youden_j'])} FROM sw", extra=_SWEEP_CTE)
+q("best_threshold", ["score_variants"], f"""
+SELECT a.variant, {r6('a.threshold')} AS best_f1_threshold, {r6('a.f1')} AS best_f1,
+       {r6('b.threshold')} AS best_j_threshold, {r6('b.youden_j')} AS best_j
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY variant ORDER BY f1 DESC, recall DESC, threshold) AS r FROM sw) a
+JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY variant ORDER BY youden_j DESC, threshold) AS r FROM sw) b
+  ON a.variant = b.variant AND a.r = 1 AND b.r = 1""", extra=_SWEEP_CTE)
+q("calibration_curve", ["score_variants"], f"""
+SELECT variant, bin, {r6('AVG(score)')} AS mean_predicted, {r6('AVG(CAST(label AS DOUBLE))')} AS fraction_positive,
+       COUNT(*) AS n
+FROM (SELECT *, CAST(LEAST(GREATEST(FLOOR((CAST(ROUND(score * 1000000) AS BIGINT) + 99999) / 100000) - 1, 0), 9) AS INT) AS bin
+      FROM score_variants) GROUP BY variant, bin""")
+q("brier", ["score_variants"], f"SELECT variant, {r6('brier')} AS brier FROM br", extra=_MT)
+
+_SPLIT_SRC = RANKED + "," + alloc_cte("al", "cc", "0.2e0") + """,
+splitted AS (SELECT id, ranked.label, p AS score, CASE WHEN rk <= n_train THEN 'train' ELSE 'test' END AS split
+             FROM ranked JOIN al USING (label))"""
+q("train_test_metrics", ["loan_base"],
+  "\nUNION ALL\n".join(f"SELECT split, '{m}' AS metric, {r6(m)} AS value FROM mt" for m in _MCOLS),
+  extra=_SPLIT_SRC + "," + _metrics_ctes("splitted", "split"))
+
+_MT_SEL = f"variant, {r6('threshold')} AS threshold, {_r(_MCOLS)}, tn, fp, fn, tp"
+q("name_filter", ["score_variants"],
+  f"SELECT {_MT_SEL} FROM mt WHERE COALESCE(CONTAINS(LOWER(variant), 'lr'), FALSE)", extra=_MT)
+q("unpivot_metrics", ["score_variants"],
+  "\nUNION ALL\n".join(f"SELECT variant, '{m}' AS metric, {r6(m)} AS value FROM mt" for m in _MCOLS), extra=_MT)
+q("rank_models", ["score_variants"],
+  f"SELECT {_MT_SEL}, ROW_NUMBER() OVER (ORDER BY f1 DESC, roc_auc DESC, recall DESC, variant) AS rank FROM mt",
+  extra=_MT)
+q("compare_variants", ["score_variants"], "\nUNION ALL\n".join(
+    f"SELECT '{m}' AS metric, {r6(f'CAST(b.{m} AS DOUBLE)')} AS baseline, {r6(f'CAST(i.{m} AS DOUBLE)')} AS improved, "
+    f"{r6(f'CAST(i.{m} AS DOUBLE) - CAST(b.{m} AS DOUBLE)')} AS delta "
+    f"FROM mt b, mt i WHERE b.variant = 'lr_planted' AND i.variant = 'LR_sqrt'"
+    for m in ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "fn", "fp"]), extra=_MT)
+
+_FOLDED = _kfold_sql(f"{U42}, id") + """,
+folded AS (SELECT rk.id, rk.label, l.p AS score,
+                  CAST((rk > b0)::INT + (rk > b1)::INT + (rk > b2)::INT + (rk > b3)::INT AS INT) AS fold
+           FROM rk JOIN fb USING (label) JOIN loan_base l ON l.id = rk.id)"""
+q("cv_summary", ["loan_base"], f"""
+SELECT metric, {r6('AVG(value)')} AS mean, {r6('STDDEV_POP(value)')} AS std, COUNT(*) AS n_folds FROM (
+  {' UNION ALL '.join(f"SELECT fold, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM mt" for m in ['accuracy', 'precision', 'recall', 'f1', 'roc_auc'])})
+GROUP BY metric""", extra=_FOLDED + "," + _metrics_ctes("folded", "fold"))
