@@ -160,13 +160,13 @@ class DropFirstOneHot(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWrit
 
 # ---- E5 full one-hot (sparse, any cardinality) --------------------------------------
 def onehot_full_stages(cols: Sequence[str]) -> list:
-    """StringIndexer (alphabetical, unseen kept as an extra index) + OneHotEncoder
-    whose dropped last slot is exactly that unseen index: full one-hot of the
+    """StringIndexer (alphabetical, unseen kept as an extra last index, which its
+    metadata lists) + OneHotEncoder dropping that last slot: full one-hot of the
     train categories, unseen -> all zeros, sparse vectors of any width."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc", handleInvalid="keep")
            for c in cols]
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=[f"{c}__ohe" for c in cols],
-                        dropLast=True, handleInvalid="keep")
+                        dropLast=True, handleInvalid="error")
     return [*idx, ohe]
 
 

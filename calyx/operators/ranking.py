@@ -68,13 +68,23 @@ def quantile_bucket_bounds(df: DataFrame, group_cols: Sequence[str], value: str,
     return df.groupBy(*group_cols).agg(agg)
 
 
-def value_bucket(value: str) -> Column:
-    """Number of cut points strictly below the value: equal values share a bucket."""
-    return F.size(F.filter(F.col("_bounds"), lambda b: b < F.col(value))).cast("int")
+def value_bucket(value: str, n_buckets: int) -> Column:
+    """Number of the n_buckets-1 sorted cut points strictly below the value
+    (equal values share a bucket), as a balanced CASE tree: a binary search of
+    log2(B) comparisons per row, compiled by codegen."""
+    v, bounds = F.col(value), F.col("_bounds")
+
+    def search(lo: int, hi: int) -> Column:
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(F.element_at(bounds, mid) < v, search(mid, hi)).otherwise(search(lo, mid - 1))
+
+    return search(0, max(n_buckets - 1, 0)).cast("int")
 
 
 def running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str, measures: Sequence[str],
-                 descending: bool = True, n_buckets: int = 256, prefix: str = "cum_") -> DataFrame:
+                 descending: bool = True, n_buckets: int = 64, prefix: str = "cum_") -> DataFrame:
     """Inclusive running sums of `measures` in `order_col` order, per group.
 
     Rows must be unique per (group, order_col) - callers aggregate to distinct
@@ -86,7 +96,7 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str, measu
     # groups x B cut points: bounded by the bucket count, so broadcast.
     bounds = quantile_bucket_bounds(df, group_cols, order_col, n_buckets)
     with_b = df.join(F.broadcast(bounds), list(group_cols))
-    with_b = with_b.withColumn("_bucket", value_bucket(order_col)).drop("_bounds")
+    with_b = with_b.withColumn("_bucket", value_bucket(order_col, n_buckets)).drop("_bounds")
     offs = _offsets(with_b, group_cols, "_bucket", {m: F.col(m) for m in measures}, descending)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = (Window.partitionBy(*group_cols, "_bucket").orderBy(order)
@@ -98,7 +108,7 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str, measu
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), n_buckets: int = 256,
+                    group_cols: Sequence[str] = (), n_buckets: int = 64,
                     names: Sequence[str] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy's default) per group.
 
@@ -147,5 +157,5 @@ def rank_by_value(df: DataFrame, group_cols: Sequence[str], value: str, tiebreak
         return rank_by_value(df.withColumn("_g", F.lit(0)), ["_g"], value, tiebreak,
                              n_buckets, rank_col).drop("_g")
     bounds = quantile_bucket_bounds(df, group_cols, value, n_buckets)
-    with_b = df.join(F.broadcast(bounds), list(group_cols)).withColumn("_vb", value_bucket(value)).drop("_bounds")
+    with_b = df.join(F.broadcast(bounds), list(group_cols)).withColumn("_vb", value_bucket(value, n_buckets)).drop("_bounds")
     return rank_in_groups(with_b, group_cols, [value, *tiebreak], F.col("_vb"), rank_col).drop("_vb")

@@ -341,3 +341,88 @@ def q_cv_summary(spark, sf):
     base = FX.loan_base(spark, sf)
     folded = S.kfold(base, k=5, shuffle=True, seed=42).select("id", "label", F.col("p").alias("score"), "fold")
     return rounded(E.cv_summary(folded))
+
+
+# ---- E: encoders (fit on the train split, applied to every row) ------------
+from calyx.operators import encode as EN  # noqa: E402
+
+
+def _train_of(df: DataFrame) -> DataFrame:
+    return S.stratified_split(df).where(F.col("split") == "train").drop("split")
+
+
+@register("impute_median")
+def q_impute_median(spark, sf):
+    df = FX.loan_with_nulls(spark, sf)
+    model = EN.MedianImputer(inputCols=["income", "ccavg"]).fit(_train_of(df))
+    return rounded(model.transform(df).select("id", "income", "ccavg"))
+
+
+@register("impute_mode")
+def q_impute_mode(spark, sf):
+    df = FX.loan_with_nulls(spark, sf)
+    model = EN.ModeImputer(inputCols=["segment", "family"]).fit(_train_of(df))
+    return model.transform(df).select("id", "segment", "family")
+
+
+@register("standard_scale")
+def q_standard_scale(spark, sf):
+    df = FX.loan_base(spark, sf)
+    model = EN.PopulationScaler(inputCols=["age", "experience", "income", "mortgage"]).fit(_train_of(df))
+    return rounded(model.transform(df).select("id", "age", "experience", "income", "mortgage"))
+
+
+@register("onehot_drop_first")
+def q_onehot_drop_first(spark, sf):
+    df = FX.loan_base(spark, sf)
+    model = EN.DropFirstOneHot(inputCols=["segment"]).fit(_train_of(df).where(F.col("segment") != "MACHINERY"))
+    out = model.transform(df)
+    cols = model.outputCols()
+    slot = F.lit(None).cast("int")
+    for i, c in reversed(list(enumerate(cols))):
+        slot = F.when(F.col(c) == 1.0, F.lit(i)).otherwise(slot)
+    return out.select("id", "segment", slot.alias("slot"), F.lit(len(cols)).alias("n_slots"))
+
+
+@register("onehot_full")
+def q_onehot_full(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    df = FX.loan_base(spark, sf).withColumn("zip", F.col("zip").cast("string"))
+    model = Pipeline(stages=EN.onehot_full_stages(["zip"])).fit(_train_of(df).where(F.col("zip") != "7"))
+    arr = vector_to_array(F.col("zip__ohe"))
+    out = model.transform(df).select("id", "zip", arr.alias("a"))
+    slot = F.array_position(F.col("a"), 1.0)
+    return out.select("id", F.col("zip").cast("int").alias("zip"),
+                      F.when(slot > 0, slot - 1).cast("int").alias("slot"), F.size("a").alias("n_slots"))
+
+
+def _assembled(spark, sf):
+    from calyx.plans.studies import CATEGORICAL, NUMERIC, prepare_loan
+    prep = prepare_loan(spark, sf)
+    model = EN.preprocessor(None, NUMERIC, CATEGORICAL).fit(prep.train)
+    return model, model.transform(prep.test)
+
+
+@register("assemble_features")
+def q_assemble_features(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    _, out = _assembled(spark, sf)
+    return out.select("id", vector_to_array("features").alias("features"))
+
+
+@register("feature_names")
+def q_feature_names(spark, sf):
+    _, out = _assembled(spark, sf)
+    names = EN.feature_names(out)
+    return spark.createDataFrame(list(enumerate(names)), "idx int, name string")
+
+
+@register("pca2")
+def q_pca2(spark, sf):
+    from pyspark.ml.feature import PCA
+    model, out = _assembled(spark, sf)
+    pca = PCA(k=2, inputCol="features", outputCol="pcs").fit(out)
+    ev = [float(x) for x in pca.explainedVariance]
+    return spark.createDataFrame([(i, v) for i, v in enumerate(ev)] + [(-1, sum(ev))],
+                                 "component int, explained_variance double")

@@ -348,3 +348,38 @@ q("cv_summary", ["loan_base"], f"""
 SELECT metric, {r6('AVG(value)')} AS mean, {r6('STDDEV_POP(value)')} AS std, COUNT(*) AS n_folds FROM (
   {' UNION ALL '.join(f"SELECT fold, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM mt" for m in ['accuracy', 'precision', 'recall', 'f1', 'roc_auc'])})
 GROUP BY metric""", extra=_FOLDED + "," + _metrics_ctes("folded", "fold"))
+
+
+# ---- E: encoders ----
+def _train_cte(src: str) -> str:
+    return f"""
+cc AS (SELECT label, COUNT(*) AS n_c FROM {src} GROUP BY label),
+rkd AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY {U42}, id) AS rk FROM {src}),""" + \
+        alloc_cte("al", "cc", "0.2e0") + """,
+train AS (SELECT rkd.* FROM rkd JOIN al USING (label) WHERE rk <= n_train)"""
+
+
+q("impute_median", ["loan_nulls"], f"""
+SELECT id, {r6('COALESCE(income, mi)')} AS income, {r6('COALESCE(ccavg, mc)')} AS ccavg
+FROM loan_nulls, (SELECT MEDIAN(income) AS mi, MEDIAN(ccavg) AS mc FROM train)""", extra=_train_cte("loan_nulls"))
+q("impute_mode", ["loan_nulls"], """
+SELECT id, COALESCE(segment, ms) AS segment, COALESCE(family, mf) AS family FROM loan_nulls,
+  (SELECT segment AS ms FROM train WHERE segment IS NOT NULL GROUP BY segment ORDER BY COUNT(*) DESC, segment LIMIT 1),
+  (SELECT family AS mf FROM train WHERE family IS NOT NULL GROUP BY family ORDER BY COUNT(*) DESC, family LIMIT 1)""",
+  extra=_train_cte("loan_nulls"))
+_SC = ["age", "experience", "income", "mortgage"]
+q("standard_scale", ["loan_base"],
+  "SELECT id, " + ", ".join(
+      f"{r6(f'({c} - m_{c}) / CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1 ELSE s_{c} END')} AS {c}" for c in _SC)
+  + " FROM loan_base, (SELECT " + ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in _SC)
+  + " FROM train)", extra=_train_cte("loan_base"))
+q("onehot_drop_first", ["loan_base"], """
+SELECT id, l.segment, CAST(c.pos - 2 AS INT) AS slot, (SELECT CAST(COUNT(*) - 1 AS INT) FROM cats) AS n_slots
+FROM loan_base l LEFT JOIN cats c ON l.segment = c.segment AND c.pos > 1""", extra=_train_cte("loan_base") + """,
+cats AS (SELECT segment, ROW_NUMBER() OVER (ORDER BY segment) AS pos
+         FROM (SELECT DISTINCT segment FROM train WHERE segment <> 'MACHINERY' AND segment IS NOT NULL))""")
+q("onehot_full", ["loan_base"], """
+SELECT id, l.zip, CAST(c.pos - 1 AS INT) AS slot, (SELECT CAST(COUNT(*) AS INT) FROM cats) AS n_slots
+FROM loan_base l LEFT JOIN cats c ON CAST(l.zip AS VARCHAR) = c.z""", extra=_train_cte("loan_base") + """,
+cats AS (SELECT z, ROW_NUMBER() OVER (ORDER BY z) AS pos
+         FROM (SELECT DISTINCT CAST(zip AS VARCHAR) AS z FROM train WHERE CAST(zip AS VARCHAR) <> '7'))""")
