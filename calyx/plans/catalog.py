@@ -426,3 +426,14 @@ def q_pca2(spark, sf):
     ev = [float(x) for x in pca.explainedVariance]
     return spark.createDataFrame([(i, v) for i, v in enumerate(ev)] + [(-1, sum(ev))],
                                  "component int, explained_variance double")
+
+
+# ---- D7 SMOTE ----------------------------------------------------------------
+from calyx.operators import smote as SM  # noqa: E402
+
+SMOTE_FEATURES = ["income", "ccavg", "mortgage"]
+
+
+@register("smote")
+def q_smote(spark, sf):
+    return SM.smote(FX.loan_base(spark, sf), SMOTE_FEATURES, k=5, seed=42)

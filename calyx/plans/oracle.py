@@ -383,3 +383,38 @@ SELECT id, l.zip, CAST(c.pos - 1 AS INT) AS slot, (SELECT CAST(COUNT(*) AS INT)
 FROM loan_base l LEFT JOIN cats c ON CAST(l.zip AS VARCHAR) = c.z""", extra=_train_cte("loan_base") + """,
 cats AS (SELECT z, ROW_NUMBER() OVER (ORDER BY z) AS pos
          FROM (SELECT DISTINCT CAST(zip AS VARCHAR) AS z FROM train WHERE CAST(zip AS VARCHAR) <> '7'))""")
+
+
+# ---- D7 SMOTE (brute-force neighbours in the oracle) ----
+def _u(key: str) -> str:
+    return f"(CAST('0x' || SUBSTR(MD5({key}), 1, 8) AS BIGINT) / 4294967296e0)"
+
+
+q("smote", ["loan_base"], """
+SELECT s.syn_id, b.id AS base_id, nn.nn_id, s.lam,
+       b.income + s.lam * (x.income - b.income) AS income,
+       b.ccavg + s.lam * (x.ccavg - b.ccavg) AS ccavg,
+       b.mortgage + s.lam * (x.mortgage - b.mortgage) AS mortgage,
+       1 AS label
+FROM s2 s JOIN ranked b ON b.r = s.r
+JOIN nn ON nn.rep = b.rep AND nn.nn_rank = s.nn_rank
+JOIN reps x ON x.rep = nn.nn_id""", extra=f"""
+mr AS (SELECT id, CAST(income AS DOUBLE) AS income, CAST(ccavg AS DOUBLE) AS ccavg, CAST(mortgage AS DOUBLE) AS mortgage
+       FROM loan_base WHERE label = 1),
+reps AS (SELECT income, ccavg, mortgage, MIN(id) AS rep FROM mr GROUP BY income, ccavg, mortgage),
+pairs AS (SELECT a.rep, b.rep AS nn_id,
+                 (a.income - b.income) * (a.income - b.income) + (a.ccavg - b.ccavg) * (a.ccavg - b.ccavg)
+                 + (a.mortgage - b.mortgage) * (a.mortgage - b.mortgage) AS dist2
+          FROM reps a, reps b WHERE a.rep <> b.rep),
+kk AS (SELECT LEAST(5, COUNT(*) - 1) AS k FROM reps),
+nn AS (SELECT * FROM (SELECT rep, nn_id, ROW_NUMBER() OVER (PARTITION BY rep ORDER BY dist2, nn_id) AS nn_rank FROM pairs)
+       WHERE nn_rank <= (SELECT k FROM kk)),
+ranked AS (SELECT mr.*, reps.rep, ROW_NUMBER() OVER (ORDER BY mr.id) AS r
+           FROM mr JOIN reps USING (income, ccavg, mortgage)),
+cnt AS (SELECT SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS m, SUM(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS n0 FROM loan_base),
+s1 AS (SELECT ROW_NUMBER() OVER () - 1 AS syn_id FROM loan_base),
+s2 AS (SELECT syn_id,
+              CAST(FLOOR({_u("'42|' || CAST(syn_id AS VARCHAR) || '|base'")} * m) + 1 AS BIGINT) AS r,
+              CAST(FLOOR({_u("'42|' || CAST(syn_id AS VARCHAR) || '|nn'")} * (SELECT k FROM kk)) + 1 AS INT) AS nn_rank,
+              {_u("'42|' || CAST(syn_id AS VARCHAR) || '|lam'")} AS lam
+       FROM s1, cnt WHERE syn_id < n0 - m)""")
