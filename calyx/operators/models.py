@@ -29,11 +29,11 @@ from pyspark.sql import types as T
 SEED = 42
 
 
-def logistic(C: float = 1.0, penalty: str = "l2", n_weight: float = 1.0, max_iter: int = 3000,
+def logistic(C: float = 1.0, penalty: str = "l2", n_weight: float = 1.0, max_iter: int = 300,
              weight_col: str | None = None, features: str = "features", label: str = "label") -> LogisticRegression:
     lr = LogisticRegression(featuresCol=features, labelCol=label, regParam=1.0 / (C * n_weight),
                             elasticNetParam=1.0 if penalty == "l1" else 0.0, standardization=False,
-                            maxIter=max_iter, tol=1e-6)
+                            maxIter=max_iter, tol=1e-5)
     if weight_col:
         lr.setWeightCol(weight_col)
     return lr
@@ -62,10 +62,10 @@ def random_forest(n_estimators: int = 200, max_depth: int | None = None, max_fea
     return rf
 
 
-def linear_svc(C: float = 1.0, n_weight: float = 1.0, weight_col: str | None = None, max_iter: int = 500,
+def linear_svc(C: float = 1.0, n_weight: float = 1.0, weight_col: str | None = None, max_iter: int = 100,
                features: str = "features", label: str = "label") -> LinearSVC:
     svc = LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (C * n_weight),
-                    standardization=False, maxIter=max_iter, tol=1e-6)
+                    standardization=False, maxIter=max_iter, tol=1e-5)
     if weight_col:
         svc.setWeightCol(weight_col)
     return svc

@@ -437,3 +437,33 @@ SMOTE_FEATURES = ["income", "ccavg", "mortgage"]
 @register("smote")
 def q_smote(spark, sf):
     return SM.smote(FX.loan_base(spark, sf), SMOTE_FEATURES, k=5, seed=42)
+
+
+# ---- F / G / H16-18 / A6 / I: model studies (invariant-checked) ---------------
+from calyx.plans import studies as ST  # noqa: E402
+
+for _name, _fn in {
+    "lr_baseline": ST.lr_baseline, "lr_elastic": ST.lr_elastic, "lr_balanced": ST.lr_balanced,
+    "lr_smote": ST.lr_smote, "lr_settings_sweep": ST.lr_settings_sweep,
+    "calibrate_platt": lambda s, d: ST._metrics(ST.calibrated_scores(s, d, "sigmoid"), "lr_sigmoid"),
+    "calibrate_isotonic": lambda s, d: ST._metrics(ST.calibrated_scores(s, d, "isotonic"), "lr_isotonic"),
+    "calibration_choice": ST.calibration_choice,
+    "dt_baseline": ST.dt_baseline, "dt_depth_sweep": ST.dt_depth_sweep, "dt_smote": ST.dt_smote,
+    "tree_nodes": ST.tree_nodes, "rf_fit": lambda s, d: ST.rf_fit(s, d)[0], "rf_smote": ST.rf_smote,
+    "svm_linear": ST.svm_linear_metrics, "svm_rbf": ST.svm_rbf, "svm_probability": ST.svm_probability,
+    "svm_smote": ST.svm_smote, "svm_margin_rows": ST.svm_margin_rows, "decision_grid": ST.decision_grid,
+    "predict_class_proba": ST.predict_class_proba,
+    "grid_search_lr": ST.grid_search_lr, "grid_search_dt": ST.grid_search_dt, "grid_search_rf": ST.grid_search_rf,
+    "grid_search_svm": ST.grid_search_svm, "best_params": ST.best_params, "cv_summary_model": ST.cv_summary_model,
+    "validation_curve": ST.validation_curve, "learning_curve": ST.learning_curve,
+    "train_ratio_metrics": ST.train_ratio_metrics,
+    "lr_coefficients": ST.lr_coefficients, "tree_importance": ST.tree_importance,
+    "permutation_importance": ST.permutation_importance, "coef_selector": ST.coef_selector,
+    "model_roundtrip": ST.model_roundtrip, "batch_score": ST.batch_score, "stream_score": ST.stream_score,
+}.items():
+    REGISTRY[_name] = _fn
+
+
+@register("complete_rows")
+def q_complete_rows(spark, sf):
+    return ST.complete_rows(FX.loan_with_nulls(spark, sf))

@@ -418,3 +418,14 @@ s2 AS (SELECT syn_id,
               CAST(FLOOR({_u("'42|' || CAST(syn_id AS VARCHAR) || '|nn'")} * (SELECT k FROM kk)) + 1 AS INT) AS nn_rank,
               {_u("'42|' || CAST(syn_id AS VARCHAR) || '|lam'")} AS lam
        FROM s1, cnt WHERE syn_id < n0 - m)""")
+
+
+# ---- I2 ----
+_SCORE_COLS = ["age", "experience", "income", "family", "ccavg", "education", "mortgage",
+               "securities_account", "cd_account", "online", "creditcard", "segment"]
+_NM = " + ".join(f"CAST({c} IS NULL AS INT)" for c in _SCORE_COLS)
+_MISS = ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in _SCORE_COLS)
+q("complete_rows", ["loan_nulls"], f"""
+SELECT id, {_NM} AS n_missing, CONCAT_WS(',', {_MISS}) AS missing_columns,
+       CASE WHEN {_NM} = 0 THEN 'complete' ELSE 'rejected' END AS status
+FROM loan_nulls""")

@@ -6,6 +6,7 @@ is a narrow `transform`; evaluation reads the resulting scores table.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -70,3 +71,458 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = lr_pipeline(1.0, "l2", prep.n_train).fit(prep.train)
     scores = score(model, prep.test).withColumn("variant", F.lit("lr_baseline"))
     return E.metrics_table(scores, 0.5, ["variant"])
+
+
+# ---- model families ------------------------------------------------------------
+from pyspark.ml.feature import VectorAssembler  # noqa: E402
+
+from calyx.functions.hashing import uniform  # noqa: E402,F401
+from calyx.operators import explain as XP  # noqa: E402
+from calyx.operators import search as G  # noqa: E402
+from calyx.operators import smote as SM  # noqa: E402
+
+
+def _metrics(scores: DataFrame, variant: str, threshold: float = 0.5) -> DataFrame:
+    return E.metrics_table(scores.withColumn("variant", F.lit(variant)), threshold, ["variant"])
+
+
+def raw_assembler(cols=NUMERIC, out: str = "features") -> VectorAssembler:
+    return VectorAssembler(inputCols=list(cols), outputCol=out)
+
+
+def lr_baseline(spark, sf):
+    prep = prepare_loan(spark, sf)
+    model = lr_pipeline(1.0, "l2", prep.n_train).fit(prep.train)
+    return score(model, prep.test)
+
+
+def lr_elastic(spark, sf, C: float = 2.0, penalty: str = "l1"):
+    prep = prepare_loan(spark, sf)
+    model = lr_pipeline(C, penalty, prep.n_train).fit(prep.train)
+    return _metrics(score(model, prep.test), f"lr_{penalty}_C{C}")
+
+
+def lr_balanced(spark, sf, C: float = 1.0):
+    prep = prepare_loan(spark, sf, weights=True)
+    # regParam scales with the total weight, as C multiplies the weighted loss
+    total_w = prep.train.agg(F.sum("weight")).first()[0]
+    model = lr_pipeline(C, "l2", total_w, weight_col="weight").fit(prep.train)
+    return _metrics(score(model, prep.test), "lr_balanced")
+
+
+def lr_smote(spark, sf, k: int = 5):
+    prep = prepare_loan(spark, sf)
+    pre = EN.preprocessor(None, NUMERIC, CATEGORICAL).fit(prep.train)
+    enc_train = pre.transform(prep.train)
+    resampled = SM.smote_vectors(enc_train, "features", "label", k=k, seed=SEED)
+    n = resampled.count()
+    clf = M.logistic(1.0, "l2", n).fit(resampled)
+    out = M.positive_probability(clf.transform(pre.transform(prep.test))).select("id", "label", "score")
+    return _metrics(out, "lr_smote")
+
+
+# The five logistic-regression settings (C, class weight, threshold).
+LR_SETTINGS = [("baseline", 1.0, None, 0.50), ("stronger_reg", 0.1, None, 0.50), ("weaker_reg", 5.0, None, 0.50),
+               ("balanced_weight", 1.0, "balanced", 0.50), ("threshold_0.35", 1.0, None, 0.35)]
+
+
+def lr_settings_sweep(spark, sf):
+    prep = prepare_loan(spark, sf, weights=True)
+    total_w = prep.train.agg(F.sum("weight")).first()[0]
+    out = None
+    for name, C, cw, t in LR_SETTINGS:
+        wcol = "weight" if cw else None
+        model = lr_pipeline(C, "l2", total_w if cw else prep.n_train, weight_col=wcol).fit(prep.train)
+        m = _metrics(score(model, prep.test), name, t).withColumn("C", F.lit(C)) \
+            .withColumn("class_weight", F.lit(cw or "None"))
+        out = m if out is None else out.unionByName(m)
+    return out.orderBy(F.col("f1").desc())
+
+
+def _oof_margins(prep: Prepared, k: int = 5, C: float = 1.0):
+    """Out-of-fold LR margins on the train split: (id, label, fold, margin),
+    and the k fold models."""
+    folded = S.kfold(prep.train, k=k, shuffle=True, seed=SEED).persist()
+    models, parts = [], []
+    for f in range(k):
+        m = lr_pipeline(C, "l2", prep.n_train * (k - 1) / k).fit(folded.where(F.col("fold") != f))
+        models.append(m)
+        parts.append(M.margin(m.transform(folded.where(F.col("fold") == f))).select("id", "label", "fold", "margin"))
+    oof = parts[0]
+    for p in parts[1:]:
+        oof = oof.unionByName(p)
+    return oof, models
+
+
+def calibrated_scores(spark, sf, method: str = "isotonic", k: int = 5):
+    """Per fold: model on the other folds, calibrator on its held-out margins;
+    the score is the mean of the k calibrated probabilities (F6-F8)."""
+    prep = prepare_loan(spark, sf, three_way=True)
+    oof, models = _oof_margins(prep, k)
+    cols = []
+    test = prep.test.select("id", "label", *NUMERIC, *CATEGORICAL)
+    for f, m in enumerate(models):
+        held = oof.where(F.col("fold") == f)
+        if method == "sigmoid":
+            cal = M.PlattCalibrator(inputCol="margin", outputCol=f"_s{f}").fit(held)
+        else:
+            cal = M.isotonic_calibrator("margin").setPredictionCol(f"_s{f}").fit(held)
+        scored = cal.transform(M.margin(m.transform(test)).select("id", "label", "margin"))
+        cols.append(scored.select("id", f"_s{f}"))
+    out = test.select("id", "label")
+    for c in cols:
+        out = out.join(c, "id")
+    return out.select("id", "label", (sum(F.col(f"_s{f}") for f in range(k)) / k).alias("score"))
+
+
+def calibration_choice(spark, sf):
+    """Validation Brier of sigmoid and isotonic calibration; the lower wins, a tie goes to sigmoid."""
+    rows = []
+    for rank, method in enumerate(["sigmoid", "isotonic"]):
+        b = E.brier(calibrated_scores(spark, sf, method)).first()["brier"]
+        rows.append((method, float(b), rank))
+    df = spark.createDataFrame(rows, "method string, brier double, method_rank int")
+    best = df.orderBy("brier", "method_rank").first()["method"]
+    return df.withColumn("chosen", F.col("method") == F.lit(best)).drop("method_rank")
+
+
+def tree_study(spark, sf, depth: int = 5, criterion: str = "gini", weights: bool = True, min_leaf: int = 5):
+    prep = prepare_loan(spark, sf, weights=weights)
+    asm = raw_assembler()
+    dt = M.decision_tree(criterion, depth, min_leaf, weight_col="weight" if weights else None)
+    model = Pipeline(stages=[asm, dt]).fit(prep.train)
+    return prep, model
+
+
+def dt_baseline(spark, sf):
+    prep, model = tree_study(spark, sf)
+    return _metrics(score(model, prep.test), "dt_baseline")
+
+
+def dt_depth_sweep(spark, sf, depths=range(1, 16)):
+    prep = prepare_loan(spark, sf)
+    asm = raw_assembler()
+    train, test = asm.transform(prep.train), asm.transform(prep.test)
+    dt = M.decision_tree("gini", 5, 1)
+    maps = [{dt.maxDepth: d} for d in depths]
+    rows = []
+    for idx, model in dt.fitMultiple(train, maps):
+        d = list(depths)[idx]
+        for name, part in (("train", train), ("test", test)):
+            acc = E.with_basic_metrics(E.confusion(M.positive_probability(model.transform(part)))).first()["accuracy"]
+            rows.append((d, name, float(acc)))
+    return spark.createDataFrame(rows, "max_depth int, split string, accuracy double")
+
+
+def dt_smote(spark, sf):
+    prep = prepare_loan(spark, sf)
+    res = SM.smote_resample(prep.train, NUMERIC, k=5, seed=SEED,
+                            keep_integers=["age", "family", "education", "securities_account", "cd_account",
+                                           "online", "creditcard"])
+    res = P.attach_weights(res)
+    model = Pipeline(stages=[raw_assembler(), M.decision_tree("gini", 5, 5, weight_col="weight")]).fit(res)
+    return _metrics(score(model, prep.test), "dt_smote")
+
+
+def tree_nodes(spark, sf):
+    _, model = tree_study(spark, sf, depth=4, criterion="entropy", weights=False, min_leaf=1)
+    return XP.tree_nodes(spark, model.stages[-1], NUMERIC)
+
+
+def tree_importance(spark, sf):
+    _, model = tree_study(spark, sf)
+    return XP.tree_importance(spark, model.stages[-1], NUMERIC)
+
+
+def rf_fit(spark, sf, n_trees: int = 100, depth: int = 7):
+    prep = prepare_loan(spark, sf)
+    model = Pipeline(stages=[raw_assembler(), M.random_forest(n_trees, depth, "sqrt", 6)]).fit(prep.train)
+    return _metrics(score(model, prep.test), "rf"), model, prep
+
+
+def rf_smote(spark, sf):
+    prep = prepare_loan(spark, sf)
+    asm = raw_assembler()
+    rc = M.ResampledClassifier(M.random_forest(100, 7, "sqrt", 6),
+                               lambda d: SM.smote_vectors(d, "features", "label", k=3, seed=SEED))
+    model = Pipeline(stages=[asm, rc]).fit(prep.train)
+    return _metrics(score(model, prep.test), "rf_smote")
+
+
+def svm_linear(spark, sf, C: float = 1.0):
+    prep = prepare_loan(spark, sf, weights=True)
+    total_w = prep.train.agg(F.sum("weight")).first()[0]
+    pre = EN.preprocessor(None, NUMERIC, CATEGORICAL)
+    model = Pipeline(stages=[*pre.getStages(), M.linear_svc(C, total_w, "weight")]).fit(prep.train)
+    return prep, model
+
+
+def svm_margin_scores(spark, sf, C: float = 1.0):
+    prep, model = svm_linear(spark, sf, C)
+    return M.margin(model.transform(prep.test)).select("id", "label", "margin"), prep, model
+
+
+def svm_linear_metrics(spark, sf):
+    s, _, _ = svm_margin_scores(spark, sf)
+    # class from the sign of the margin; AUC etc. from the margin itself
+    return _metrics(s.withColumnRenamed("margin", "score"), "svm_linear", 0.0)
+
+
+def svm_probability(spark, sf):
+    """Platt scaling of out-of-fold SVM margins (5 folds of the train split)."""
+    prep, model = svm_linear(spark, sf)
+    folded = S.kfold(prep.train, k=5, shuffle=True, seed=SEED)
+    parts = []
+    for f in range(5):
+        tr = folded.where(F.col("fold") != f)
+        total_w = tr.agg(F.sum("weight")).first()[0]
+        pre = EN.preprocessor(None, NUMERIC, CATEGORICAL)
+        fm = Pipeline(stages=[*pre.getStages(), M.linear_svc(1.0, total_w, "weight")]).fit(tr)
+        parts.append(M.margin(fm.transform(folded.where(F.col("fold") == f))).select("label", "margin"))
+    oof = parts[0]
+    for p in parts[1:]:
+        oof = oof.unionByName(p)
+    cal = M.PlattCalibrator(inputCol="margin", outputCol="score").fit(oof)
+    test = cal.transform(M.margin(model.transform(prep.test)).select("id", "label", "margin"))
+    return _metrics(test.select("id", "label", "score"), "svm_platt")
+
+
+def svm_rbf(spark, sf, C: float = 10.0, n_components: int = 100):
+    prep = prepare_loan(spark, sf, weights=True)
+    pre = EN.preprocessor(None, NUMERIC, CATEGORICAL).fit(prep.train)
+    tr = pre.transform(prep.train)
+    p = len(EN.feature_names(tr))
+    gamma = M.gamma_scale(tr, "features", p)
+    rff = M.RandomFourierFeatures(inputCol="features", outputCol="rff", gamma=gamma, nComponents=n_components,
+                                  nFeatures=p, seed=SEED)
+    total_w = tr.agg(F.sum("weight")).first()[0]
+    svc = M.linear_svc(C, total_w, "weight", features="rff").fit(rff.transform(tr))
+    te = M.margin(svc.transform(rff.transform(pre.transform(prep.test)))).select("id", "label", "margin")
+    return _metrics(te.withColumnRenamed("margin", "score"), "svm_rbf_rff", 0.0)
+
+
+def svm_margin_rows(spark, sf):
+    s, _, _ = svm_margin_scores(spark, sf)
+    return XP.margin_rows(s)
+
+
+def decision_grid(spark, sf, steps: int = 300):
+    """2-feature linear SVM on scaled income and ccavg; decision value on a lattice."""
+    prep = prepare_loan(spark, sf, weights=True)
+    scaler = EN.PopulationScaler(inputCols=["income", "ccavg"]).fit(prep.train)
+    tr = raw_assembler(["income", "ccavg"]).transform(scaler.transform(prep.train))
+    total_w = tr.agg(F.sum("weight")).first()[0]
+    svc = M.linear_svc(1.0, total_w, "weight").fit(tr)
+    b = tr.agg(F.min("income"), F.max("income"), F.min("ccavg"), F.max("ccavg")).first()
+    return XP.decision_grid(spark, {"income": (b[0], b[1]), "ccavg": (b[2], b[3])}, svc.coefficients.toArray(),
+                            svc.intercept, steps, 1.0, ("income", "ccavg"))
+
+
+def predict_class_proba(spark, sf):
+    _, model, prep = rf_fit(spark, sf, 50, 7)
+    return score(model, prep.test).select("id", F.col("pred").alias("predicted_class"), F.col("score").alias("proba"))
+
+
+def lr_coefficients(spark, sf):
+    prep = prepare_loan(spark, sf)
+    model = lr_pipeline(1.0, "l1", prep.n_train).fit(prep.train)
+    names = EN.feature_names(model.transform(prep.test.limit(1)))
+    return XP.coefficients(spark, model.stages[-1], names, 15)
+
+
+def coef_selector(spark, sf):
+    """Keep features with a nonzero L1 coefficient; (feature, kept)."""
+    prep = prepare_loan(spark, sf)
+    model = lr_pipeline(0.05, "l1", prep.n_train).fit(prep.train)
+    names = EN.feature_names(model.transform(prep.test.limit(1)))
+    coefs = model.stages[-1].coefficients.toArray()
+    return spark.createDataFrame([(n, bool(abs(c) > 0)) for n, c in zip(names, coefs)], "feature string, kept boolean")
+
+
+def permutation_importance(spark, sf, n_repeats: int = 10):
+    _, model, prep = rf_fit(spark, sf, 50, 7)
+    return XP.permutation_importance(model, prep.test, NUMERIC, n_repeats=n_repeats, seed=SEED)
+
+
+# ---- search -----------------------------------------------------------------------
+def _folded_train(spark, sf, weights=False):
+    prep = prepare_loan(spark, sf, weights=weights)
+    return prep, S.kfold(prep.train, k=5, shuffle=False).persist()
+
+
+# The full search grids of the studies (the registered queries run a subset).
+LR_GRID_C = (0.01, 0.05, 0.1, 0.5, 1, 2, 5, 10)
+DT_GRID = {"criterion": ("gini", "entropy"), "max_depth": (4, 5, 6, 7, 8, None), "min_samples_leaf": (1, 2, 5, 10)}
+RF_GRID = {"max_depth": (6, 7), "min_samples_leaf": (6, 8), "class_weight": (None, "balanced")}
+SVM_GRID_C = (0.1, 1, 10)
+
+
+def grid_search_lr(spark, sf, Cs=(0.1, 1.0), penalties=("l1", "l2")):
+    prep, folded = _folded_train(spark, sf)
+    n = prep.n_train * 4 / 5
+    lr = M.logistic(1.0, "l2", 1.0, max_iter=100)
+    pipe = Pipeline(stages=[*EN.preprocessor(None, NUMERIC, CATEGORICAL).getStages(), lr])
+    maps = [{lr.regParam: 1.0 / (C * n), lr.elasticNetParam: 1.0 if p == "l1" else 0.0} for p in penalties for C in Cs]
+    cvm = G.grid_search(pipe, maps, folded, "roc_auc")
+    return G.grid_table(spark, cvm, maps, "roc_auc")
+
+
+def grid_search_dt(spark, sf, depths=(3, 5, 8), criteria=("gini", "entropy")):
+    prep, folded = _folded_train(spark, sf)
+    dt = M.decision_tree("gini", 5, 1)
+    maps = [{dt.impurity: c, dt.maxDepth: d} for c in criteria for d in depths]
+    cvm = G.grid_search(Pipeline(stages=[raw_assembler(), dt]), maps, folded, "f1")
+    return G.grid_table(spark, cvm, maps, "f1")
+
+
+def grid_search_rf(spark, sf, depths=(6, 7), leaves=(6, 8)):
+    prep, folded = _folded_train(spark, sf)
+    rf = M.random_forest(50, 7, "sqrt", 6)
+    maps = [{rf.maxDepth: d, rf.minInstancesPerNode: m} for d in depths for m in leaves]
+    cvm = G.grid_search(Pipeline(stages=[raw_assembler(), rf]), maps, folded, "f1")
+    return G.grid_table(spark, cvm, maps, "f1")
+
+
+def grid_search_svm(spark, sf, Cs=(0.1, 1.0)):
+    prep, folded = _folded_train(spark, sf, weights=True)
+    total_w = folded.agg(F.sum("weight")).first()[0] * 4 / 5
+    svc = M.linear_svc(1.0, total_w, "weight", max_iter=50)
+    pipe = Pipeline(stages=[*EN.preprocessor(None, NUMERIC, CATEGORICAL).getStages(), svc])
+    maps = [{svc.regParam: 1.0 / (C * total_w)} for C in Cs]
+    cvm = G.grid_search(pipe, maps, folded, "f1")
+    return G.grid_table(spark, cvm, maps, "f1")
+
+
+def best_params(spark, sf):
+    """The winning candidate of the tree grid (first maximum in grid order)."""
+    return grid_search_dt(spark, sf).where("is_best")
+
+
+def cv_summary_model(spark, sf):
+    """Out-of-fold predictions of the tuned tree once, then per-fold metrics."""
+    prep, folded = _folded_train(spark, sf)
+    parts = []
+    for f in range(5):
+        m = Pipeline(stages=[raw_assembler(), M.decision_tree("entropy", 4, 1)]).fit(folded.where(F.col("fold") != f))
+        parts.append(score(m, folded.where(F.col("fold") == f), keep=("id", "label", "fold")))
+    oof = parts[0]
+    for p in parts[1:]:
+        oof = oof.unionByName(p)
+    return E.cv_summary(oof)
+
+
+def validation_curve_svm(spark, sf, Cs=(0.1, 1.0, 10.0, 50.0)):
+    prep, folded = _folded_train(spark, sf)
+    n = prep.n_train * 4 / 5
+
+    def build(C):
+        return Pipeline(stages=[*EN.preprocessor(None, NUMERIC, CATEGORICAL).getStages(),
+                                M.logistic(C, "l2", n, max_iter=100)])
+    return G.validation_curve(spark, build, Cs, folded, "accuracy", "C")
+
+
+def validation_curve_rf(spark, sf, trees=(10, 25, 50)):
+    prep, folded = _folded_train(spark, sf)
+
+    def build(t):
+        return Pipeline(stages=[raw_assembler(), M.random_forest(int(t), 7, "sqrt", 6)])
+    return G.validation_curve(spark, build, [float(t) for t in trees], folded, "f1", "n_estimators")
+
+
+def learning_curve(spark, sf):
+    prep = prepare_loan(spark, sf)
+    folded = S.kfold(prep.train, k=5, shuffle=True, seed=SEED).persist()
+    subsets = S.learning_subsets(folded.select("id", "label", "fold"), fracs=(0.2, 0.6, 1.0)).persist()
+    est = Pipeline(stages=[raw_assembler(), M.random_forest(25, 7, "sqrt", 6)])
+    return G.learning_curve(spark, est, subsets, folded, "f1")
+
+
+def train_ratio_metrics(spark, sf, ratios=(0.5, 0.6, 0.7, 0.8)):
+    """Fit and test per train ratio of the sweep."""
+    base = FX.loan_base(spark, sf).withColumn("experience", clip_lower("experience")) \
+        .select("id", *NUMERIC, *CATEGORICAL, "label")
+    sw = S.train_ratio_sweep(base, ratios=ratios).join(base.drop("label"), "id").persist()
+    out = None
+    for r in ratios:
+        part = sw.where(F.col("train_ratio") == r)
+        tr, te = part.where("split = 'train'"), part.where("split = 'test'")
+        n = tr.count()
+        model = lr_pipeline(1.0, "l2", n).fit(tr)
+        m = _metrics(score(model, te), f"ratio_{r}").withColumn("train_ratio", F.lit(r)) \
+            .withColumn("train_samples", F.lit(n))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+# ---- persistence and scoring ------------------------------------------------------
+SCORE_COLUMNS = ["age", "experience", "income", "family", "ccavg", "education", "mortgage",
+                 "securities_account", "cd_account", "online", "creditcard", "segment"]
+
+
+def saved_model(spark, sf) -> tuple[str, PipelineModel, Prepared]:
+    prep = prepare_loan(spark, sf)
+    model = lr_pipeline(1.0, "l2", prep.n_train).fit(prep.train)
+    path = XP.scratch_path(spark, "lr-pipeline")
+    model.write().overwrite().save(path)
+    return path, model, prep
+
+
+def model_roundtrip(spark, sf):
+    path, model, prep = saved_model(spark, sf)
+    again = PipelineModel.load(path)
+    a = score(model, prep.test).select("id", "label", F.col("score").alias("score_before"))
+    b = score(again, prep.test).select("id", F.col("score").alias("score_after"))
+    return a.join(b, "id").withColumn("equal", F.col("score_before") == F.col("score_after"))
+
+
+def batch_score(spark, sf, path: str | None = None, df: DataFrame | None = None):
+    """Load a saved pipeline, check and order the input columns, clip experience,
+    append the predicted class and the class-1 probability."""
+    from calyx.sources.tables import require_columns
+    if path is None:
+        path, _, _ = saved_model(spark, sf)
+    model = PipelineModel.load(path)
+    src = df if df is not None else FX.loan_base(spark, sf)
+    inp = require_columns(src, ["id", *SCORE_COLUMNS]).withColumn("experience", clip_lower("experience"))
+    out = M.positive_probability(model.transform(inp), out="_p")
+    return out.select("id", *SCORE_COLUMNS, apply_threshold("_p", 0.5).alias("Predicted Class"),
+                      F.col("_p").alias("Probability Personal Loan = 1"))
+
+
+def complete_rows(df: DataFrame, cols=SCORE_COLUMNS, id_col: str = "id") -> DataFrame:
+    """Per row: number of missing feature values and their names; complete rows
+    go on to scoring, the others to a rejects table."""
+    missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in cols])
+    n = sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0))
+    return df.select(id_col, n.alias("n_missing"), missing.alias("missing_columns"),
+                     F.when(n == 0, "complete").otherwise("rejected").alias("status"))
+
+
+def svm_smote(spark, sf, C: float = 2.0):
+    """Encode -> SMOTE(k=3) on the train split only -> linear SVM."""
+    prep = prepare_loan(spark, sf)
+    pre = EN.preprocessor(None, NUMERIC, CATEGORICAL).fit(prep.train)
+    res = SM.smote_vectors(pre.transform(prep.train), "features", "label", k=3, seed=SEED)
+    n = res.count()
+    svc = M.linear_svc(C, n).fit(res)
+    te = M.margin(svc.transform(pre.transform(prep.test))).select("id", "label", "margin")
+    return _metrics(te.withColumnRenamed("margin", "score"), "svm_smote", 0.0)
+
+
+def validation_curve(spark, sf):
+    a = validation_curve_svm(spark, sf).withColumnRenamed("C", "param").withColumn("study", F.lit("C_accuracy"))
+    b = validation_curve_rf(spark, sf).withColumnRenamed("n_estimators", "param") \
+        .withColumn("study", F.lit("n_estimators_f1"))
+    return a.unionByName(b)
+
+
+def stream_score(spark, sf):
+    """Score the test split as a file stream with the saved pipeline."""
+    from calyx.streaming.score_stream import run_to_completion, score_stream
+    path, _, prep = saved_model(spark, sf)
+    src = XP.scratch_path(spark, "stream-src")
+    prep.test.select("id", *SCORE_COLUMNS).write.mode("overwrite").parquet(src)
+    schema = spark.read.parquet(src).schema
+    name = "scored_" + os.path.basename(src).replace("-", "_")
+    q = score_stream(spark, path, src, schema, SCORE_COLUMNS, XP.scratch_path(spark, "stream-ckpt"), name)
+    return run_to_completion(spark, q, name)
