@@ -38,12 +38,16 @@ def main():
     scored = lambda: line().select(F.col("l_orderkey").alias("id"), "label", F.col("p").alias("score"))
 
     def q_lr():
+        from pyspark.ml import Pipeline
         from pyspark.ml.feature import VectorAssembler
+
+        from calyx.operators.encode import PopulationScaler
         df = S.stratified_split(line().withColumn("id", F.xxhash64(*FX.LINE_KEY)))
-        asm = VectorAssembler(inputCols=FX.LINE_FEATURES, outputCol="features")
-        df = asm.transform(df)
         train, test = df.where("split = 'train'"), df.where("split = 'test'")
-        model = M.logistic(1.0, "l2", 480_000, max_iter=100).fit(train)
+        pipe = Pipeline(stages=[PopulationScaler(inputCols=FX.LINE_FEATURES),
+                                VectorAssembler(inputCols=FX.LINE_FEATURES, outputCol="features"),
+                                M.logistic(1.0, "l2", 480_000, max_iter=100)])
+        model = pipe.fit(train)
         out = M.positive_probability(model.transform(test)).select("label", "score")
         return E.metrics_table(out)
 
