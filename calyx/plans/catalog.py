@@ -467,3 +467,17 @@ for _name, _fn in {
 @register("complete_rows")
 def q_complete_rows(spark, sf):
     return ST.complete_rows(FX.loan_with_nulls(spark, sf))
+
+for _name, _fn in {
+    "run_summary": ST.lr_run_summary, "sink_roundtrip": ST.sink_roundtrip,
+    "doc_quality": ST.doc_quality, "pca2_embeddings": ST.pca2_embeddings,
+    "smote_embeddings": ST.smote_embeddings,
+}.items():
+    REGISTRY[_name] = _fn
+
+
+@register("doc_class_counts")
+def q_doc_class_counts(spark, sf):
+    d = FX.doc_base(spark, sf)
+    return d.groupBy("toxic", "quality").agg(F.count(F.lit(1)).alias("n"),
+                                             F.round(F.avg("chars_per_word"), 6).alias("mean_chars_per_word"))

@@ -429,3 +429,7 @@ q("complete_rows", ["loan_nulls"], f"""
 SELECT id, {_NM} AS n_missing, CONCAT_WS(',', {_MISS}) AS missing_columns,
        CASE WHEN {_NM} = 0 THEN 'complete' ELSE 'rejected' END AS status
 FROM loan_nulls""")
+
+q("doc_class_counts", ["doc_base"],
+  "SELECT toxic, quality, COUNT(*) AS n, ROUND(AVG(chars_per_word), 6) AS mean_chars_per_word "
+  "FROM doc_base GROUP BY toxic, quality")

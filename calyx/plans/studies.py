@@ -526,3 +526,82 @@ def stream_score(spark, sf):
     name = "scored_" + os.path.basename(src).replace("-", "_")
     q = score_stream(spark, path, src, schema, SCORE_COLUMNS, XP.scratch_path(spark, "stream-ckpt"), name)
     return run_to_completion(spark, q, name)
+
+
+def lr_run_summary(spark, sf):
+    """LR study summary: params, features dropped by the correlation and VIF
+    rules on the train split, and train/test metrics (written as JSON)."""
+    from calyx.functions.exprs import engineer_features, numeric_columns
+    from calyx.operators import collinearity as CO
+    from calyx.sources.sinks import run_summary, write_table
+    prep = prepare_loan(spark, sf)
+    pair = CO.drop_high_corr_pair(prep.train, "age", "experience").first()
+    eng = engineer_features(prep.train)
+    cols = [c for c in numeric_columns(eng.drop("id", "label")) if c != pair["dropped"]]
+    _, vif_dropped, _ = CO.vif_filter(eng, cols, 10.0, protected={"income"})
+    dropped = [d for d in [pair["dropped"]] if d] + [d["feature"] for d in vif_dropped]
+    model = lr_pipeline(1.0, "l2", prep.n_train).fit(prep.train)
+    both = score(model, prep.train).withColumn("split", F.lit("train")).unionByName(
+        score(model, prep.test).withColumn("split", F.lit("test")))
+    metrics = E.metrics_table(both, 0.5, ["split"])
+    summary = run_summary(spark, "logistic_regression", {"C": 1.0, "penalty": "l2", "threshold": 0.5},
+                          dropped, metrics)
+    path = write_table(summary, XP.scratch_path(spark, "run-summary"), "json")
+    return spark.read.json(path)
+
+
+def sink_roundtrip(spark, sf):
+    """Metrics table written as CSV and parquet and read back."""
+    from calyx.sources.sinks import write_table
+    m = E.metrics_table(FX.score_variants(spark, sf), 0.5, ["variant"])
+    p1 = write_table(m, XP.scratch_path(spark, "metrics-csv"), "csv")
+    p2 = write_table(m, XP.scratch_path(spark, "metrics-parquet"), "parquet")
+    a = spark.read.option("header", True).option("inferSchema", True).csv(p1).select("variant", F.col("f1").alias("f1_csv"))
+    b = spark.read.parquet(p2).select("variant", F.col("f1").alias("f1_parquet"))
+    return a.join(b, "variant")
+
+
+# ---- real labels: documents and embeddings ------------------------------------------
+DOC_NUMERIC = ["n_chars", "n_words", "chars_per_word", "distinct_word_ratio"]
+DOC_CATEGORICAL = ["lang", "source"]
+
+
+def doc_features(spark, sf) -> DataFrame:
+    """doc_base plus the share of distinct words over the whole text (JVM-side
+    split / array_distinct, no Python)."""
+    docs = FX.load_table(spark, sf, "documents").select("doc_id", "text")
+    words = F.split(F.lower(F.trim(F.col("text"))), r"\s+")
+    ratio = (F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))).alias("distinct_word_ratio")
+    return FX.doc_base(spark, sf).join(docs.select("doc_id", ratio), "doc_id")
+
+
+def doc_quality(spark, sf):
+    """LR on document shape features and language/source to flag low quality."""
+    docs = doc_features(spark, sf).withColumnRenamed("doc_id", "id") \
+        .withColumn("label", F.when(F.col("quality") == 0, 1).otherwise(0))
+    sizes = S.class_sizes(docs)
+    split = S.stratified_split(docs, sizes=sizes).persist()
+    train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    n = train.count()
+    pipe = Pipeline(stages=[*EN.preprocessor(None, DOC_NUMERIC, DOC_CATEGORICAL).getStages(), M.logistic(1.0, "l2", n)])
+    model = pipe.fit(train)
+    return _metrics(score(model, test), "doc_low_quality_lr")
+
+
+def pca2_embeddings(spark, sf):
+    """Two principal components of the embedding vectors: explained variance."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+    emb = FX.vec_base(spark, sf).select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    pca = PCA(k=2, inputCol="features", outputCol="pcs").fit(emb)
+    ev = [float(x) for x in pca.explainedVariance]
+    return spark.createDataFrame([(i, v) for i, v in enumerate(ev)], "component int, explained_variance double")
+
+
+def smote_embeddings(spark, sf):
+    """SMOTE on 64-dimensional embeddings (label 0 vs rest): class counts after."""
+    emb = FX.vec_base(spark, sf)
+    cols = [f"e{i}" for i in range(64)]
+    wide = emb.select("id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    res = SM.smote_resample(wide, cols, k=5, seed=SEED)
+    return res.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
