@@ -79,8 +79,8 @@ def boxplot_stats(df: DataFrame, features: Sequence[str], label: str = "label",
     iqr = F.col("q3") - F.col("q1")
     fences = q.select("feature", label, "n", "q1", "median", "q3",
                       (F.col("q1") - whis * iqr).alias("_lo"), (F.col("q3") + whis * iqr).alias("_hi"))
-    # features x classes rows
-    j = long.where(F.col("value").isNotNull()).join(F.broadcast(fences), ["feature", label])
+    # one fence row per (feature, class); AQE broadcasts it once its size is known
+    j = long.where(F.col("value").isNotNull()).join(fences, ["feature", label])
     inside = (F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))
     return j.groupBy("feature", label, "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),

@@ -93,9 +93,10 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str, measu
     if not group_cols:
         return running_sums(df.withColumn("_g", F.lit(0)), ["_g"], order_col, measures,
                             descending, n_buckets, prefix).drop("_g")
-    # groups x B cut points: bounded by the bucket count, so broadcast.
+    # groups x B cut points; AQE broadcasts them after measuring the real size
+    # (no hint: the group count is the caller's, not bounded here)
     bounds = quantile_bucket_bounds(df, group_cols, order_col, n_buckets)
-    with_b = df.join(F.broadcast(bounds), list(group_cols))
+    with_b = df.join(bounds, list(group_cols))
     with_b = with_b.withColumn("_bucket", value_bucket(order_col, n_buckets)).drop("_bounds")
     offs = _offsets(with_b, group_cols, "_bucket", {m: F.col(m) for m in measures}, descending)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
@@ -157,5 +158,5 @@ def rank_by_value(df: DataFrame, group_cols: Sequence[str], value: str, tiebreak
         return rank_by_value(df.withColumn("_g", F.lit(0)), ["_g"], value, tiebreak,
                              n_buckets, rank_col).drop("_g")
     bounds = quantile_bucket_bounds(df, group_cols, value, n_buckets)
-    with_b = df.join(F.broadcast(bounds), list(group_cols)).withColumn("_vb", value_bucket(value, n_buckets)).drop("_bounds")
+    with_b = df.join(bounds, list(group_cols)).withColumn("_vb", value_bucket(value, n_buckets)).drop("_bounds")
     return rank_in_groups(with_b, group_cols, [value, *tiebreak], F.col("_vb"), rank_col).drop("_vb")

@@ -6,7 +6,6 @@ is a narrow `transform`; evaluation reads the resulting scores table.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -76,7 +75,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- model families ------------------------------------------------------------
 from pyspark.ml.feature import VectorAssembler  # noqa: E402
 
-from calyx.functions.hashing import uniform  # noqa: E402,F401
 from calyx.operators import explain as XP  # noqa: E402
 from calyx.operators import search as G  # noqa: E402
 from calyx.operators import smote as SM  # noqa: E402
@@ -523,9 +521,9 @@ def stream_score(spark, sf):
     src = XP.scratch_path(spark, "stream-src")
     prep.test.select("id", *SCORE_COLUMNS).write.mode("overwrite").parquet(src)
     schema = spark.read.parquet(src).schema
-    name = "scored_" + os.path.basename(src).replace("-", "_")
-    q = score_stream(spark, path, src, schema, SCORE_COLUMNS, XP.scratch_path(spark, "stream-ckpt"), name)
-    return run_to_completion(spark, q, name)
+    out = XP.scratch_path(spark, "stream-out")
+    q = score_stream(spark, path, src, schema, SCORE_COLUMNS, XP.scratch_path(spark, "stream-ckpt"), out)
+    return run_to_completion(spark, q, out)
 
 
 def lr_run_summary(spark, sf):

@@ -7,8 +7,6 @@ a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,22 +16,23 @@ from calyx.operators.models import positive_probability
 
 
 def score_stream(spark: SparkSession, model_path: str, source_dir: str, schema, columns: list[str],
-                 checkpoint_dir: str, query_name: str, threshold: float = 0.5, available_now: bool = True):
+                 checkpoint_dir: str, output_dir: str, threshold: float = 0.5, available_now: bool = True):
     """Start a streaming query that scores every new parquet file in
-    `source_dir` and appends rows to an in-memory table `query_name`."""
+    `source_dir` and appends the scored rows as parquet files to `output_dir`
+    (a shared folder; exactly-once through the checkpoint)."""
     model = PipelineModel.load(model_path)
     src = spark.readStream.schema(schema).parquet(source_dir)
     inp = src.select("id", *columns).withColumn("experience", clip_lower("experience"))
     out = positive_probability(model.transform(inp), out="_p")
     out = out.select("id", *columns, apply_threshold("_p", threshold).alias("Predicted Class"),
                      F.col("_p").alias("Probability Personal Loan = 1"))
-    writer = (out.writeStream.outputMode("append").format("memory").queryName(query_name)
-                 .option("checkpointLocation", os.path.join(checkpoint_dir, query_name)))
+    writer = (out.writeStream.outputMode("append").format("parquet").option("path", output_dir)
+                 .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
-def run_to_completion(spark: SparkSession, query, name: str) -> DataFrame:
+def run_to_completion(spark: SparkSession, query, output_dir: str) -> DataFrame:
     query.processAllAvailable()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(output_dir)
