@@ -43,6 +43,7 @@ def main():
 
         from calyx.operators.encode import PopulationScaler
         df = S.stratified_split(line().withColumn("id", F.xxhash64(*FX.LINE_KEY)))
+        df = df.select("id", "label", *FX.LINE_FEATURES, "split").persist()  # reused by every fit pass
         train, test = df.where("split = 'train'"), df.where("split = 'test'")
         pipe = Pipeline(stages=[PopulationScaler(inputCols=FX.LINE_FEATURES),
                                 VectorAssembler(inputCols=FX.LINE_FEATURES, outputCol="features"),

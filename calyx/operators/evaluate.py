@@ -100,6 +100,24 @@ def pr_curve(scores: DataFrame, group_cols: Sequence[str] = (), label: str = "la
                      _div(F.col("tp"), F.col("P")).alias("recall"))
 
 
+def _area_aggs(score: str) -> list[Column]:
+    """Aggregates over score_counts rows: ROC AUC numerator (ties count half),
+    PR-curve trapezoid (starting at recall 0, precision 1) and AP numerators."""
+    tp, fp, pos, neg = F.col("tp"), F.col("fp"), F.col("pos"), F.col("neg")
+    prec = _div(tp, tp + fp)
+    tp0, fp0 = tp - pos, fp - neg
+    prec_prev = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(tp0 / (tp0 + fp0))
+    return [F.sum(neg * (tp0 + 0.5 * pos)).alias("_auc"),
+            F.sum(pos * (prec + prec_prev) / 2).alias("_prauc"),
+            F.sum(pos * prec).alias("_ap")]
+
+
+def _area_cols() -> list[Column]:
+    return [_div(F.col("_auc"), F.col("P") * F.col("N"), float("nan")).alias("roc_auc"),
+            _div(F.col("_prauc"), F.col("P")).alias("pr_auc"),
+            _div(F.col("_ap"), F.col("P")).alias("average_precision")]
+
+
 def areas(scores: DataFrame, group_cols: Sequence[str] = (), label: str = "label",
           score: str = "score") -> DataFrame:
     """(group..., roc_auc, pr_auc, average_precision).
@@ -109,18 +127,8 @@ def areas(scores: DataFrame, group_cols: Sequence[str] = (), label: str = "label
     Each is a sum over distinct scores, so no lag across buckets is needed.
     """
     sc = score_counts(scores, group_cols, label, score)
-    tp, fp, pos, neg = F.col("tp"), F.col("fp"), F.col("pos"), F.col("neg")
-    prec = _div(tp, tp + fp)
-    tp0, fp0 = tp - pos, fp - neg
-    prec_prev = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(tp0 / (tp0 + fp0))
-    agg = sc.groupBy(*group_cols, "P", "N").agg(
-        F.sum(neg * (tp0 + 0.5 * pos)).alias("_auc"),
-        F.sum(pos * (prec + prec_prev) / 2).alias("_prauc"),
-        F.sum(pos * prec).alias("_ap"))
-    return agg.select(*group_cols,
-                      _div(F.col("_auc"), F.col("P") * F.col("N"), float("nan")).alias("roc_auc"),
-                      _div(F.col("_prauc"), F.col("P")).alias("pr_auc"),
-                      _div(F.col("_ap"), F.col("P")).alias("average_precision"))
+    agg = sc.groupBy(*group_cols, "P", "N").agg(*_area_aggs(score))
+    return agg.select(*group_cols, *_area_cols())
 
 
 def brier(scores: DataFrame, group_cols: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
@@ -131,16 +139,27 @@ def brier(scores: DataFrame, group_cols: Sequence[str] = (), label: str = "label
 def metrics_table(scores: DataFrame, threshold: float = 0.5, group_cols: Sequence[str] = (),
                   label: str = "label", score: str = "score") -> DataFrame:
     """One row per group: threshold, accuracy, precision, recall, f1, roc_auc,
-    pr_auc, average_precision, brier, tn, fp, fn, tp."""
+    pr_auc, average_precision, brier, tn, fp, fn, tp.
+
+    Everything is one aggregation over the distinct-score table: the counts at
+    the threshold are sums over scores >= t, the Brier score is
+    sum(pos (s-1)^2 + neg s^2) / n - so the raw scores are read once.
+    """
     if not group_cols:
         return metrics_table(scores.withColumn("_g", F.lit(0)), threshold, ["_g"], label, score).drop("_g")
     g = list(group_cols)
-    base = with_basic_metrics(confusion(scores, threshold, g, label, score))
-    a = areas(scores, g, label, score)
-    b = brier(scores, g, label, score)
-    out = base.join(a, g).join(b, g)  # one row per group on every side
-    return out.select(*g, F.lit(float(threshold)).alias("threshold"), "accuracy", "precision", "recall", "f1",
-                      "roc_auc", "pr_auc", "average_precision", "brier", "tn", "fp", "fn", "tp")
+    sc = score_counts(scores, g, label, score)
+    s, pos, neg = F.col(score), F.col("pos"), F.col("neg")
+    above = s >= F.lit(float(threshold))
+    agg = sc.groupBy(*g, "P", "N").agg(
+        F.sum(F.when(above, pos).otherwise(0)).alias("tp"), F.sum(F.when(above, neg).otherwise(0)).alias("fp"),
+        F.sum(pos * (s - 1) * (s - 1) + neg * s * s).alias("_sq"), *_area_aggs(score))
+    base = agg.select("*", (F.col("P") - F.col("tp")).alias("fn"), (F.col("N") - F.col("fp")).alias("tn"))
+    base = with_basic_metrics(base)
+    return base.select(*g, F.lit(float(threshold)).alias("threshold"), "accuracy", "precision", "recall", "f1",
+                       *_area_cols(), (F.col("_sq") / (F.col("P") + F.col("N"))).alias("brier"),
+                       F.col("tn").cast("bigint").alias("tn"), F.col("fp").cast("bigint").alias("fp"),
+                       F.col("fn").cast("bigint").alias("fn"), F.col("tp").cast("bigint").alias("tp"))
 
 
 # The threshold grid 0.05..0.95 in steps of 0.01, as integer hundredths.
