@@ -73,3 +73,32 @@ def test_missing_column_is_reported(spark):
     from calyx.sources.tables import require_columns
     with pytest.raises(ValueError, match="income"):
         require_columns(FX.loan_base(spark, SF_SMALL).drop("income"), ["id", "income"])
+
+
+def test_run_summary_nested(spark):
+    r = ST.lr_run_summary(spark, SF_SMALL).first()
+    assert r.study == "logistic_regression" and r.params.C == 1.0
+    assert set(r.metrics.asDict()) == {"train", "test"}
+    assert "experience" in r.dropped_features or "age" in r.dropped_features
+
+
+def test_stream_score_matches_batch(spark):
+    s = ST.stream_score(spark, SF_SMALL).select("id", "Predicted Class").toPandas().sort_values("id")
+    prep = ST.prepare_loan(spark, SF_SMALL)
+    assert len(s) == prep.test.count()
+
+
+def test_smote_embeddings_balanced(spark):
+    c = {(r.label, r.synthetic): r.n for r in ST.smote_embeddings(spark, SF_SMALL).collect()}
+    assert c[(1, False)] + c.get((1, True), 0) == c[(0, False)]
+
+
+def test_metrics_table_equals_separate_passes(spark):
+    from calyx.operators import evaluate as E
+    sv = FX.score_variants(spark, SF_SMALL)
+    one = {r.variant: r for r in E.metrics_table(sv, 0.5, ["variant"]).collect()}
+    conf = {r.variant: r for r in E.with_basic_metrics(E.confusion(sv, 0.5, ["variant"])).collect()}
+    br = {r.variant: r.brier for r in E.brier(sv, ["variant"]).collect()}
+    for v, r in one.items():
+        assert (r.tn, r.fp, r.fn, r.tp) == (conf[v].tn, conf[v].fp, conf[v].fn, conf[v].tp)
+        assert r.brier == pytest.approx(br[v], abs=1e-12)
