@@ -68,14 +68,15 @@ def tree_nodes(spark: SparkSession, tree_model, names: Sequence[str]) -> DataFra
                                              "prediction", "left", "right")
 
 
-def permutation_importance(model, df: DataFrame, features: Sequence[str], id_col: str = "id",
-                           label: str = "label", n_repeats: int = 10, seed: int = 42,
-                           threshold: float = 0.5) -> DataFrame:
-    """Mean and std (ddof 0) drop of class-1 F1 when one feature's column is
-    shuffled, over n_repeats shuffles.  One fused job: rows x (feature, repeat)
-    fan out through a generator; the shuffle pairs the row at id-rank i with
-    the donor at hash-rank i of the same (feature, repeat) - an equi-join on
-    rank - and one `transform` scores every variant."""
+def permuted_rows(df: DataFrame, features: Sequence[str], id_col: str = "id", n_repeats: int = 10,
+                  seed: int = 42) -> DataFrame:
+    """rows x (feature, repeat) with that one feature shuffled.
+
+    The row at id-rank i receives the feature value of the row at rank i of
+    u(seed|feature|repeat|id): a fresh permutation per (feature, repeat),
+    applied by an equi-join on rank.  Rows fan out through a generator;
+    output adds `_feat`, `_rep`.
+    """
     n = df.count()
     b = choose_buckets(n)
     base = rank_by_value(df, [], id_col, n_buckets=b, rank_col="_pos")
@@ -88,22 +89,40 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], id_col
                                F.map_from_arrays(F.array(*[F.lit(f) for f in features]),
                                                  F.array(*[F.col(f).cast("double") for f in features])).alias("_dv"))
     j = ex.join(donor_vals, ["_feat", "_rep", "_pos"])
-    permuted = j.select(id_col, label, "_feat", "_rep",
-                        *[F.when(F.col("_feat") == f, F.col("_dv")[f]).otherwise(F.col(f).cast("double")).alias(f)
-                          for f in features],
-                        *[c for c in df.columns if c not in features and c not in (id_col, label)])
-
-    def f1_of(scored, group):
-        s = scored.withColumn("score", vector_to_array("probability")[1])
-        s = s.withColumn("pred", apply_threshold("score", threshold))
-        return E.with_basic_metrics(E.confusion(s, group_cols=group, pred="pred"))
-
-    base_f1 = f1_of(model.transform(df), []).first()["f1"]
-    per = f1_of(model.transform(permuted), ["_feat", "_rep"]).select("_feat", "_rep", (F.lit(base_f1) - F.col("f1")).alias("drop"))
+    return j.select(*[F.when(F.col("_feat") == f, F.col("_dv")[f]).otherwise(F.col(f).cast("double")).alias(f)
+                      if f in features else F.col(f) for f in df.columns], "_feat", "_rep")
+
+
+def _f1_drop(base_scored: DataFrame, perm_scored: DataFrame, label: str) -> DataFrame:
+    """Mean and population std over repeats of (base F1 - permuted F1) per feature;
+    inputs carry a 0/1 `pred` column."""
+    base_f1 = E.with_basic_metrics(E.confusion(base_scored, label=label, pred="pred")).first()["f1"]
+    per = E.with_basic_metrics(E.confusion(perm_scored, group_cols=["_feat", "_rep"], label=label, pred="pred"))
+    per = per.select("_feat", "_rep", (F.lit(base_f1) - F.col("f1")).alias("drop"))
     return per.groupBy(F.col("_feat").alias("feature")).agg(
         F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
 
 
+def permutation_importance(model, df: DataFrame, features: Sequence[str], id_col: str = "id",
+                           label: str = "label", n_repeats: int = 10, seed: int = 42,
+                           threshold: float = 0.5) -> DataFrame:
+    """Mean and std (ddof 0) drop of class-1 F1 when one feature is shuffled,
+    over n_repeats shuffles; one `transform` scores every (feature, repeat)."""
+    def scored(d):
+        s = d.withColumn("score", vector_to_array("probability")[1])
+        return s.withColumn("pred", apply_threshold("score", threshold))
+
+    perm = permuted_rows(df, features, id_col, n_repeats, seed)
+    return _f1_drop(scored(model.transform(df)), scored(model.transform(perm)), label)
+
+
+def permutation_importance_expr(df: DataFrame, features: Sequence[str], decision, id_col: str = "id",
+                                label: str = "label", n_repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Same, for a scorer given as a column expression: `decision()` returns the 0/1 class."""
+    perm = permuted_rows(df, features, id_col, n_repeats, seed)
+    return _f1_drop(df.withColumn("pred", decision()), perm.withColumn("pred", decision()), label)
+
+
 def margin_rows(scored: DataFrame, label: str = "label", margin: str = "margin") -> DataFrame:
     """Decision value per row and whether it lies on or inside the margin
     (y * f(x) <= 1 with y in {-1, +1}): the rows that carry a linear SVM."""

@@ -481,3 +481,22 @@ def q_doc_class_counts(spark, sf):
     d = FX.doc_base(spark, sf)
     return d.groupBy("toxic", "quality").agg(F.count(F.lit(1)).alias("n"),
                                              F.round(F.avg("chars_per_word"), 6).alias("mean_chars_per_word"))
+
+
+# ---- H18 with an expression scorer (SQL-checkable) -----------------------------------
+from calyx.operators import explain as XPL  # noqa: E402
+
+PERM_FEATURES = ["income", "experience", "ccavg"]
+
+
+def planted_rule():
+    """Class 1 where the planted logit is >= 0 (the fixture's own decision rule)."""
+    z = (F.col("income") / 20.0 + F.col("experience") / 40.0
+         + F.when(F.col("segment") == "BUILDING", 1.0).otherwise(0.0) - 7.0)
+    return (z >= 0).cast("int")
+
+
+@register("permutation_importance_expr")
+def q_permutation_importance_expr(spark, sf):
+    df = FX.loan_base(spark, sf).select("id", "label", "segment", *PERM_FEATURES)
+    return rounded(XPL.permutation_importance_expr(df, PERM_FEATURES, planted_rule, n_repeats=10, seed=42))

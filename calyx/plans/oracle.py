@@ -433,3 +433,28 @@ FROM loan_nulls""")
 q("doc_class_counts", ["doc_base"],
   "SELECT toxic, quality, COUNT(*) AS n, ROUND(AVG(chars_per_word), 6) AS mean_chars_per_word "
   "FROM doc_base GROUP BY toxic, quality")
+
+
+# ---- H18 with an expression scorer ----
+_PF = ["income", "experience", "ccavg"]
+_RULE = ("CAST(({i} / 20e0 + {e} / 40e0 + CASE WHEN segment = 'BUILDING' THEN 1e0 ELSE 0e0 END - 7e0) >= 0 AS INT)")
+_F1 = ("CASE WHEN 2 * SUM(pred * label) + SUM(pred * (1 - label)) + SUM((1 - pred) * label) = 0 THEN 0e0 "
+       "ELSE 2 * SUM(pred * label) / (2 * SUM(pred * label) + SUM(pred * (1 - label)) + SUM((1 - pred) * label)) END")
+_UP = "CAST('0x' || SUBSTR(MD5('42|' || f || '|' || CAST(r AS VARCHAR) || '|' || CAST(id AS VARCHAR)), 1, 8) AS BIGINT)"
+q("permutation_importance_expr", ["loan_base"], f"""
+SELECT feature, {r6('AVG(drop)')} AS importance_mean, {r6('STDDEV_POP(drop)')} AS importance_std FROM (
+  SELECT f AS feature, r, (SELECT f1 FROM base_f1) - {_F1} AS drop
+  FROM (SELECT f, r, label, {_RULE.format(i='p_income', e='p_experience')} AS pred, segment FROM perm)
+  GROUP BY f, r)
+GROUP BY feature""", extra=f"""
+src AS (SELECT id, label, segment, income, experience, ccavg FROM loan_base),
+base_f1 AS (SELECT {_F1} AS f1 FROM (SELECT label, {_RULE.format(i='income', e='experience')} AS pred FROM src)),
+keys AS (SELECT f, r FROM (VALUES ('income'), ('experience'), ('ccavg')) fs(f), range(10) rr(r)),
+ex AS (SELECT s.*, k.f, k.r, ROW_NUMBER() OVER (PARTITION BY k.f, k.r ORDER BY s.id) AS pos FROM src s, keys k),
+dn AS (SELECT f, r, income AS d_income, experience AS d_experience, ccavg AS d_ccavg,
+              ROW_NUMBER() OVER (PARTITION BY f, r ORDER BY {_UP}, id) AS pos FROM ex),
+perm AS (SELECT ex.id, ex.label, ex.segment, ex.f, ex.r,
+                CASE WHEN ex.f = 'income' THEN dn.d_income ELSE ex.income END AS p_income,
+                CASE WHEN ex.f = 'experience' THEN dn.d_experience ELSE ex.experience END AS p_experience,
+                CASE WHEN ex.f = 'ccavg' THEN dn.d_ccavg ELSE ex.ccavg END AS p_ccavg
+         FROM ex JOIN dn ON ex.f = dn.f AND ex.r = dn.r AND ex.pos = dn.pos)""")
