@@ -202,3 +202,14 @@ class PlattCalibrator(Estimator, DefaultParamsReadable, DefaultParamsWritable):
 def isotonic_calibrator(input_col: str = "margin") -> IsotonicRegression:
     """Isotonic fit of label on the margin (linear between knots, clipped outside)."""
     return IsotonicRegression(featuresCol=input_col, labelCol="label", predictionCol="score", isotonic=True)
+
+
+def isotonic_fit_table(df: DataFrame, x: str = "score", label: str = "label"):
+    """Isotonic fit of the label on x, pre-aggregated to distinct x with
+    weights (exact: pooling equal inputs is what PAV does first), so the
+    driver-side merge of Spark's parallel PAV sees one row per distinct x.
+    Returns (fitted model, table (x, fitted) at the distinct x)."""
+    agg = df.groupBy(x).agg(F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
+    iso = IsotonicRegression(featuresCol=x, labelCol="_y", weightCol="_w", predictionCol="fitted", isotonic=True)
+    model = iso.fit(agg)
+    return model, model.transform(agg).select(x, "fitted")

@@ -500,3 +500,13 @@ def planted_rule():
 def q_permutation_importance_expr(spark, sf):
     df = FX.loan_base(spark, sf).select("id", "label", "segment", *PERM_FEATURES)
     return rounded(XPL.permutation_importance_expr(df, PERM_FEATURES, planted_rule, n_repeats=10, seed=42))
+
+
+@register("isotonic_fit")
+def q_isotonic_fit(spark, sf):
+    """Isotonic calibration map of the mis-calibrated score (2-decimal bins) - F7 core."""
+    from calyx.operators import models as MD
+    sv = FX.score_variants(spark, sf).where(F.col("variant") == "LR_sqrt") \
+        .select("label", F.round("score", 2).alias("score"))
+    _, table = MD.isotonic_fit_table(sv, "score", "label")
+    return rounded(table)

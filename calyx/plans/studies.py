@@ -164,7 +164,8 @@ def calibrated_scores(spark, sf, method: str = "isotonic", k: int = 5):
         if method == "sigmoid":
             cal = M.PlattCalibrator(inputCol="margin", outputCol=f"_s{f}").fit(held)
         else:
-            cal = M.isotonic_calibrator("margin").setPredictionCol(f"_s{f}").fit(held)
+            cal, _ = M.isotonic_fit_table(held, "margin", "label")
+            cal = cal.setFeaturesCol("margin").setPredictionCol(f"_s{f}")
         scored = cal.transform(M.margin(m.transform(test)).select("id", "label", "margin"))
         cols.append(scored.select("id", f"_s{f}"))
     out = test.select("id", "label")
