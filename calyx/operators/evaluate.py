@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from calyx.functions.exprs import score_micro
 from calyx.operators.ranking import running_sums
+from calyx.session import cut_lineage
 
 
 def _div(num: Column, den: Column, zero: float = 0.0) -> Column:
@@ -78,6 +79,10 @@ def score_counts(scores: DataFrame, group_cols: Sequence[str] = (), label: str =
     hist = scores.groupBy(*group_cols, score).agg(
         F.sum((F.col(label) == 1).cast("bigint")).alias("pos"),
         F.sum((F.col(label) != 1).cast("bigint")).alias("neg"))
+    # the distinct-score table feeds the cut points, offsets, windows and
+    # totals: materialise it once (shared checkpoint folder) so the scores'
+    # lineage runs once
+    hist = cut_lineage(hist)
     cum = running_sums(hist, list(group_cols), score, ["pos", "neg"], descending=True)
     tot = hist.groupBy(*group_cols).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return cum.join(tot, list(group_cols)).withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")

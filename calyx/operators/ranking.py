@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calyx.session import cut_lineage
+
 ROWS_PER_BUCKET = 500_000
 MAX_BUCKETS = 65_536
 
@@ -123,6 +125,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                                n_buckets, names).drop("_g")
     vc = (df.where(F.col(value).isNotNull())
             .groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("_cnt")))
+    # four branches read the distinct-value table: materialise it once in the
+    # shared checkpoint folder so the raw input is scanned once
+    vc = cut_lineage(vc)
     cum = running_sums(vc, group_cols, value, ["_cnt"], descending=False, n_buckets=n_buckets)
     totals = vc.groupBy(*group_cols).agg(F.sum("_cnt").alias("n"))
     cum = cum.join(totals, list(group_cols))
