@@ -42,9 +42,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="calyx-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    jsc = spark.sparkContext._jsc
-    if jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(conf_dir)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote (Connect) session: the server owns the folder
+        return conf_dir
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
