@@ -360,10 +360,9 @@ def grid_search_lr(spark, sf, Cs=(0.1, 1.0), penalties=("l1", "l2")):
     prep, folded = _folded_train(spark, sf)
     n = prep.n_train * 4 / 5
     lr = M.logistic(1.0, "l2", 1.0, max_iter=100)
-    pipe = Pipeline(stages=[*EN.preprocessor(None, NUMERIC, CATEGORICAL).getStages(), lr])
     maps = [{lr.regParam: 1.0 / (C * n), lr.elasticNetParam: 1.0 if p == "l1" else 0.0} for p in penalties for C in Cs]
-    cvm = G.grid_search(pipe, maps, folded, "roc_auc")
-    return G.grid_table(spark, cvm, maps, "roc_auc")
+    table, _ = G.grid_search_encoded(spark, EN.preprocessor(None, NUMERIC, CATEGORICAL), lr, maps, folded, "roc_auc")
+    return table
 
 
 def grid_search_dt(spark, sf, depths=(3, 5, 8), criteria=("gini", "entropy")):
@@ -386,10 +385,9 @@ def grid_search_svm(spark, sf, Cs=(0.1, 1.0)):
     prep, folded = _folded_train(spark, sf, weights=True)
     total_w = folded.agg(F.sum("weight")).first()[0] * 4 / 5
     svc = M.linear_svc(1.0, total_w, "weight", max_iter=50)
-    pipe = Pipeline(stages=[*EN.preprocessor(None, NUMERIC, CATEGORICAL).getStages(), svc])
     maps = [{svc.regParam: 1.0 / (C * total_w)} for C in Cs]
-    cvm = G.grid_search(pipe, maps, folded, "f1")
-    return G.grid_table(spark, cvm, maps, "f1")
+    table, _ = G.grid_search_encoded(spark, EN.preprocessor(None, NUMERIC, CATEGORICAL), svc, maps, folded, "f1")
+    return table
 
 
 def best_params(spark, sf):
