@@ -102,3 +102,18 @@ def test_metrics_table_equals_separate_passes(spark):
     for v, r in one.items():
         assert (r.tn, r.fp, r.fn, r.tp) == (conf[v].tn, conf[v].fp, conf[v].fn, conf[v].tp)
         assert r.brier == pytest.approx(br[v], abs=1e-12)
+
+
+def test_grid_best_is_first_maximum(spark):
+    t = ST.grid_search_dt(spark, SF_SMALL).toPandas().sort_values("candidate")
+    best = t[t.is_best]
+    assert len(best) == 1
+    top = t.mean_score.max()
+    assert best.candidate.iloc[0] == t[t.mean_score == top].candidate.min()
+
+
+def test_threshold_sweep_grid(spark):
+    from calyx.operators import evaluate as E
+    sw = E.threshold_sweep(FX.scores(spark, SF_SMALL)).toPandas().sort_values("threshold")
+    assert len(sw) == 91 and sw.threshold.min() == 0.05 and sw.threshold.max() == 0.95
+    assert (sw.recall.diff().dropna() <= 1e-12).all()  # recall never rises with the threshold
