@@ -119,6 +119,8 @@ def kde_by_class(df: DataFrame, feature: str, label: str = "label", grid: int =
         F.count(F.lit(1)).alias("_n"), F.stddev_samp(feature).alias("_sd"),
         F.min(feature).alias("_mn"), F.max(feature).alias("_mx"))
     stats = stats.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), -0.2))
+    # a class with one distinct value has no bandwidth: no density, as the plotting library skips it
+    stats = stats.where(F.col("_h") > 0)
     stats = stats.withColumn("_lo", F.col("_mn") - cut * F.col("_h")).withColumn(
         "_step", (F.col("_mx") + cut * F.col("_h") - F.col("_lo")) / (grid - 1))
     j = vals.join(F.broadcast(stats), label)  # one stats row per class

@@ -69,3 +69,12 @@ def test_median_is_midpoint(spark):
     m = EN.MedianImputer(inputCols=["x"]).fit(df)
     assert m.getStats() == [6.0]
     assert m.transform(df).where(F.col("x") == 6.0).count() == 1
+
+
+def test_kde_skips_zero_bandwidth_class(spark):
+    from calyx.operators.profile import kde_by_class
+    df = spark.createDataFrame([(0, 1.0), (0, 1.0), (1, 0.5), (1, 2.0), (1, 3.0)], "label int, v double")
+    out = kde_by_class(df, "v", grid=20).toPandas()
+    assert set(out.label) == {1} and len(out) == 20
+    step = out.sort_values("grid_index").x.diff().dropna().mean()
+    assert (out.density.sum() * step) == pytest.approx(1.0, abs=0.05)
