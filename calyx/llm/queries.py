@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calyx.llm import mixing, packed_ids, pieces, token_counts
+from pyspark.sql import functions as F
+
+from calyx.llm import (exact_topk, jaccard_join, line_dedup, mixing, packed_ids, perplexity, pieces, substring_dedup,
+                       token_counts, vp_tree)
 from calyx.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -20,10 +23,35 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), PIECES, digests=True)
 
 
+def op5_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), digests=True)
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -32,4 +60,6 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.packed_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op4_pieces, op9_mixing, op10_packed_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_token_counts, op2_jaccard_join, op3_line_dedup, op4_pieces, op5_vp_tree, op6_perplexity, op7_substring_dedup,
+    op8_exact_topk, op9_mixing, op10_packed_ids)}
