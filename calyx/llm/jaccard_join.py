@@ -18,8 +18,10 @@ the overlap from above.  Pairs that pass are intersected exactly as sorted
 arrays.
 
 Groups.  Links matter only between nodes not yet joined: two rounds test each
-tile's nodes against one leader each and join what links; then all remaining
-pairs of a tile that are in different groups are tested.  A large group of near
+node against one leader, the node that leads most of its tiles, and join what
+links; then all remaining pairs of a tile that are in different groups are
+tested, at the first element they share (its places in both sets bound the
+overlap).  A large group of near
 copies thus costs its size, not the square of it, and no link between groups is
 lost.
 
@@ -39,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calyx.llm.bitmaps import BITS_MOST, bit_of, bitmap_bits, has_bit, key_bitmap
 from calyx.llm.common import written
 from calyx.llm.components import components
 from calyx.llm.words import per_text, unique_in_text, word_batches
@@ -104,7 +107,8 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Per row: doc_id, n_shingles, node (null for an empty set), prefix (the elements by which it can be found)."""
+    """Per row: doc_id, n_shingles, node (null for an empty set), bits (its signature), prefix (the elements by which it can
+    be found, in their order)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,34 +125,42 @@ def document_sets(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -
                                               pa.array(value[order][chosen].view(np.int64)))
             unnamed = np.asarray(piece.column("doc_id").is_null())
             node = pa.array(_nodes(value, offsets), mask=(size == 0) | unnamed)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size.astype(np.int64)), node, prefix],
-                                             names=["doc_id", "n_shingles", "node", "prefix"])
+            bits = pa.array([bitmap(value[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size.astype(np.int64)), node, bits, prefix],
+                                             names=["doc_id", "n_shingles", "node", "bits", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, bits binary, prefix array<long>")
 
 
-def node_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: node, size, bits (its signature), items (the sorted set, 8 bytes each)."""
+def node_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """(node, items) of the `wanted` nodes (node): the sorted set, 8 bytes an element.
+
+    The texts are read again where they lie; a bitmap of the wanted nodes, if it fits, leaves out most of the others
+    before the join that leaves out all.
+    """
+    bits = bitmap_bits(wanted.count())
+    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted, bits) if bits <= BITS_MOST else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words in word_batches(batches, "text", lower=True):
             value, _, offsets = _sets(words, n)
-            each = [value[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_nodes(value, offsets)), pa.array(np.diff(offsets)), pa.array([bitmap(v) for v in each], pa.binary()),
-                 pa.array([v.tobytes() for v in each], pa.binary())], names=["node", "size", "bits", "items"])
+            node = _nodes(value, offsets)
+            chosen = np.arange(len(node)) if shared.value is None else np.flatnonzero(has_bit(shared.value, bit_of(node, bits)))
+            chosen = chosen[np.unique(node[chosen], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(node[chosen]), pa.array([value[offsets[i]:offsets[i + 1]].tobytes() for i in chosen], pa.binary())],
+                                             names=["node", "items"])
 
-    return docs.select("text").mapInArrow(run, "node long, size long, bits binary, items binary")
+    found = docs.where("doc_id is not null").select("text").mapInArrow(run, "node long, items binary")
+    return written(found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "jaccard-sets")
 
 
-def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those (a, b) of `pairs` that link: first by signature, then by exact intersection."""
-    left, right = ([F.col("node").alias(s), F.col("size").alias(f"size_{s}")] for s in "ab")
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(f"size_{s}").to_numpy() for s in "ab")
-            apart = np.array([differing_bits(x.as_py(), y.as_py()) for x, y in zip(batch.column("bits_a"), batch.column("bits_b"), strict=True)], np.int64)
+            apart = np.array([differing_bits(x, y) for x, y in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)], np.int64)
             most = np.minimum((na + nb - apart) // 2, np.minimum(na, nb))
             good = 100 * most >= percent * (na + nb - most)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
@@ -162,18 +174,15 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    bits = (pairs.join(sets.select(*left, F.col("bits").alias("bits_a")), "a")
-            .join(sets.select(*right, F.col("bits").alias("bits_b")), "b").mapInArrow(may, "a long, b long"))
-    bits = written(bits, "jaccard-passed")
-    items = (bits.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
+    of = {s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"}
+    passed = written(pairs.join(of["a"], "a").join(of["b"], "b").mapInArrow(may, "a long, b long"), "jaccard-passed")
+    wanted = written(passed.select(F.col("a").alias("node")).union(passed.select("b")).distinct(), "jaccard-wanted")
+    sets = node_sets(docs, n, wanted)
+    items = (passed.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
              .join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b").mapInArrow(do, "a long, b long"))
     return written(items, "jaccard-links")
 
 
-def ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def jaccard_groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable by links), node."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -181,31 +190,28 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id"
     t = percent / 100
 
     # Tiles: elements of prefixes that several nodes share.
-    nodes = members.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"),
-                                                                 F.min("doc_id").alias("sample_id"))
+    nodes = members.where("node is not null").groupBy("node").agg(
+        F.first("n_shingles").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     nodes = written(nodes, "jaccard-nodes")
-    keys = nodes.select("node", "size", F.explode("prefix").alias("key"))
-    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "jaccard-shared")
+    keys = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key"))
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-shared")
     tiles = written(keys.join(shared, "key"), "jaccard-tiles")
-
-    # Sets of the nodes in tiles, from one document of each.
-    wanted = tiles.select("node").distinct()
-    chosen = nodes.join(wanted, "node", "left_semi").select(F.col("sample_id").alias("doc_id")).distinct()
-    texts = docs.join(chosen, "doc_id", "left_semi")
-    sets = node_sets(texts, n).dropDuplicates(["node"])
-    sets = written(sets.join(wanted, "node", "left_semi"), "jaccard-sets")
+    # The text that others are copies of has the most shared elements and the fewest of its own: the best leader.
+    central = written(tiles.groupBy("node").agg((F.sum("n") / F.first("size")).alias("central")), "jaccard-central")
+    tiles = written(tiles.drop("n").join(central, "node"), "jaccard-ranked")
 
     edges, groups, tested = None, None, None
     fits = (F.least("size", "other_size") * 100 >= F.greatest("size", "other_size") * percent)
     for r in range(STAR_ROUNDS):
-        lead = tiles.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("h"), F.col("node").alias("other"), F.col("size").alias("other_size"))).alias("lead"))
+        rank = F.col("central") if r == 0 else F.xxhash64(F.lit(r), "node").cast("double")
+        lead = tiles.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), F.col("node").alias("other"), F.col("size").alias("other_size"))).alias("lead"))
         lead = written(lead.select("key", "lead.other", "lead.other_size"), "jaccard-leaders")
-        pairs = tiles.join(lead, "key").where(fits & (F.col("node") != F.col("other"))).select(*ordered("node", "other")).distinct()
+        votes = tiles.join(lead, "key").where(fits & (F.col("node") != F.col("other"))).groupBy("node", "other").agg(F.count("*").alias("n"))
         if groups is not None:
-            pairs = other_groups(pairs, groups)
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            votes = other_groups(votes, groups).join(tested.select(F.col("a").alias("node"), F.col("b").alias("other")), ["node", "other"], "left_anti")
+        pairs = votes.groupBy("node").agg(F.max(F.struct("n", "other")).alias("best")).select(F.col("node").alias("a"), F.col("best.other").alias("b"))
         pairs = written(pairs, "jaccard-pairs")
-        found = links(pairs, sets, percent)
+        found = links(pairs, nodes, docs, n, percent)
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
         groups = components(edges)
@@ -215,14 +221,16 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id"
     placed = written(placed, "jaccard-placed")
     mixed = written(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key"), "jaccard-mixed")
     band = F.floor(F.log(F.col("size").cast("double")) / -math.log(t) + 1e-9)
-    placed = placed.join(mixed, "key").withColumn("band", band.cast("int"))
-    placed = written(placed, "jaccard-open")
-    other = placed.select("key", F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)).alias("band"),
+    placed = written(placed.join(mixed, "key").withColumn("band", band.cast("int")), "jaccard-open")
+    other = placed.select("key", F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("at").alias("other_at"),
                           F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("comp").alias("other_comp"))
     smaller = (F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("node") < F.col("other")))
-    rest = (placed.join(other, ["key", "band"]).where(smaller & fits & (F.col("comp") != F.col("other_comp")))
-            .select(*ordered("node", "other")).distinct().join(tested, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(links(written(rest, "jaccard-rest"), sets, percent))
+    # At the first element that two linking sets share, what follows in both is enough for the overlap they need.
+    needed = F.ceil(percent * (F.col("size") + F.col("other_size")) / F.lit(100 + percent))
+    reach = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at")) >= needed
+    rest = (placed.join(other, ["key", "band"]).where(smaller & fits & reach & (F.col("comp") != F.col("other_comp")))
+            .select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
+    edges = edges.unionByName(links(written(rest, "jaccard-rest"), nodes, docs, n, percent))
     groups = components(edges)
 
     labelled = members.select("doc_id", "n_shingles", "node").join(groups, "node", "left")
@@ -233,11 +241,11 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id"
 
 
 def other_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs whose nodes aren't yet in one group."""
-    a = groups.select(F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-    b = groups.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return both.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+    """Rows (node, other, n) whose nodes aren't yet in one group."""
+    a = groups.select("node", F.col("comp").alias("comp_a"))
+    b = groups.select(F.col("node").alias("other"), F.col("comp").alias("comp_b"))
+    both = pairs.join(a, "node", "left").join(b, "other", "left")
+    return both.where(F.coalesce("comp_a", "node") != F.coalesce("comp_b", "other")).select("node", "other", "n")
 
 
 def one_of_each_group(docs: DataFrame, n: int, percent: int) -> DataFrame:

@@ -37,15 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calyx.llm.bitmaps import BITS_MOST, bit_of, bitmap_bits, has_bit, key_bitmap
 from calyx.llm.common import row_slices, spread_parts, written
 from calyx.llm.words import Words, mix, unique_in_text, word_batches
 
 WINDOW = 13
 SEED = 5
 HOT = 500
-#: Bitmaps of seeds: at least 2**16 bits, 16 for each seed, up to this many (16 MB).
-BITS_MOST = 1 << 27
-SLICE_BITS = 1 << 17
 #: Passages in a shard, about.
 SHARD_PASSAGES = 40_000
 
@@ -102,38 +100,6 @@ def count_seeds(docs: DataFrame) -> DataFrame:
     return counted.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def bit_of(seed: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(seed.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def seed_bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of `bits` bits with each seed's set; slices are made in tasks, so the driver gets `bits` bits at most."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            at = bit_of(frame["seed"].to_numpy(np.int64), bits)
-            yield pd.DataFrame({"slice": at // SLICE_BITS, "bit": at % SLICE_BITS})
-
-    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        flags = np.zeros(SLICE_BITS, np.uint8)
-        flags[part["bit"].to_numpy()] = 1
-        return pd.DataFrame({"slice": [key[0]], "data": [np.packbits(flags, bitorder="little").tobytes()]})
-
-    slices = seeds.mapInPandas(run, "slice long, bit long").groupBy("slice").applyInPandas(pack, "slice long, data binary").collect()
-    whole = np.zeros(max(1, bits // SLICE_BITS) * SLICE_BITS // 8, np.uint8)
-    for row in slices:
-        whole[row["slice"] * SLICE_BITS // 8:(row["slice"] + 1) * SLICE_BITS // 8] = np.frombuffer(row["data"], np.uint8)
-    return whole
-
-
-def has_bit(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
-def bitmap_bits(n: int) -> int:
-    return max(1 << 17, 1 << max(1, 16 * n - 1).bit_length())
-
-
 PASSAGE = "route long, print1 long, print2 long, doc_id long, text_hash long, place long, windows int"
 
 
@@ -301,7 +267,7 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     bits = bitmap_bits(n)
     parts = max(spread_parts(spark), -(-places // SHARD_PASSAGES))
     if bits <= BITS_MOST:
-        repeated, hot = seed_bitmap(seeds, bits), seed_bitmap(seeds.where(F.col("n") >= HOT), bits)
+        repeated, hot = key_bitmap(seeds.select("seed"), bits), key_bitmap(seeds.where(F.col("n") >= HOT).select("seed"), bits)
         shared = spark.sparkContext.broadcast((repeated, hot))
 
         def emit(with_words: bool) -> DataFrame:
@@ -309,7 +275,7 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     else:
         # Too many repeated seeds for a bitmap of bounded size: join them instead.  Hot seeds still fit a bitmap
         # far longer, as each of them takes HOT documents; beyond that the bitmap's false hits only cut more passages.
-        hot = seed_bitmap(seeds.where(F.col("n") >= HOT), BITS_MOST)
+        hot = key_bitmap(seeds.where(F.col("n") >= HOT).select("seed"), BITS_MOST)
 
         def emit(with_words: bool) -> DataFrame:
             whole = emit_passages(source, None, None, BITS_MOST, with_words).join(seeds.select(F.col("seed").alias("route")), "route", "left_semi")
