@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     bins = max(64, -(-rows.count() // BIN_ROWS))
     rows = rows.withColumn("bin", F.least(F.floor(F.col("spread") * bins), F.lit(bins - 1)))
     target = source_targets(rows, weights, share, cap)
-    target = (target.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    target = (target.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
               .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
     target = written(target, "mix-targets")
 
