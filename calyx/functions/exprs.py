@@ -43,12 +43,6 @@ def right_closed_bins(c: Column | str, edges: Sequence[float], labels: Sequence[
     return expr.otherwise(F.lit(missing))
 
 
-def score_micro(score: Column | str) -> Column:
-    """Score in integer millionths; thresholds and bins compare integers, so
-    both engines agree exactly at the edges."""
-    return F.round(_c(score) * 1_000_000).cast("bigint")
-
-
 def apply_threshold(score: Column | str, threshold: float) -> Column:
     """Class 1 when score >= threshold (inclusive, unlike Spark's own `threshold`)."""
     return (_c(score) >= F.lit(float(threshold))).cast("int")

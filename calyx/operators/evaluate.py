@@ -7,7 +7,7 @@ a 0/1 `label` and a numeric `score`.  Everything is an aggregation:
 * curves and areas: aggregate to distinct (group, score) rows first - ties in
   the data collapse there, so a score shared by a third of the rows is one
   row - then running sums with `running_sums` (bucketed, no single-task window);
-* threshold sweep and calibration: integer score bins (score in millionths),
+* threshold sweep and calibration: score bins with exact edges,
   one aggregate over at most 101 bins per group.
 """
 
@@ -18,8 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calyx.functions.exprs import score_micro
-from calyx.operators.ranking import running_sums
+from calyx.operators.ranking import running_sums, with_totals
 from calyx.session import cut_lineage
 
 
@@ -74,8 +73,6 @@ def score_counts(scores: DataFrame, group_cols: Sequence[str] = (), label: str =
                  score: str = "score") -> DataFrame:
     """Distinct (group, score) with positive and negative counts, and the
     inclusive counts at or above each score (tp, fp if thresholded there)."""
-    if not group_cols:
-        return score_counts(scores.withColumn("_g", F.lit(0)), ["_g"], label, score).drop("_g")
     hist = scores.groupBy(*group_cols, score).agg(
         F.sum((F.col(label) == 1).cast("bigint")).alias("pos"),
         F.sum((F.col(label) != 1).cast("bigint")).alias("neg"))
@@ -84,25 +81,35 @@ def score_counts(scores: DataFrame, group_cols: Sequence[str] = (), label: str =
     # lineage runs once
     hist = cut_lineage(hist)
     cum = running_sums(hist, list(group_cols), score, ["pos", "neg"], descending=True)
-    tot = hist.groupBy(*group_cols).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return cum.join(tot, list(group_cols)).withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
+    return with_totals(cum, hist, group_cols, {"P": "pos", "N": "neg"}).withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
 
 
 def roc_curve(scores: DataFrame, group_cols: Sequence[str] = (), label: str = "label",
               score: str = "score") -> DataFrame:
-    """(group..., threshold, fpr, tpr) at every distinct score."""
+    """(group..., threshold, fpr, tpr) at every distinct score, and the start
+    (0, 0) above all scores, whose threshold is null."""
     sc = score_counts(scores, group_cols, label, score)
-    return sc.select(*group_cols, F.col(score).alias("threshold"),
-                     _div(F.col("fp"), F.col("N")).alias("fpr"), _div(F.col("tp"), F.col("P")).alias("tpr"))
+    start = _ends(sc, group_cols).select(*group_cols, F.lit(None).cast("double").alias("threshold"),
+                                         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return start.unionByName(sc.select(*group_cols, F.col(score).cast("double").alias("threshold"),
+                     _div(F.col("fp"), F.col("N")).alias("fpr"), _div(F.col("tp"), F.col("P")).alias("tpr")))
+
+
+def _ends(sc: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """One row per group of a curve (none if there are no scores)."""
+    return sc.select(*group_cols).distinct() if group_cols else sc.select("P").limit(1)
 
 
 def pr_curve(scores: DataFrame, group_cols: Sequence[str] = (), label: str = "label",
              score: str = "score") -> DataFrame:
-    """(group..., threshold, precision, recall) at every distinct score."""
+    """(group..., threshold, precision, recall) at every distinct score, and the
+    end (precision 1, recall 0) above all scores, whose threshold is null."""
     sc = score_counts(scores, group_cols, label, score)
-    return sc.select(*group_cols, F.col(score).alias("threshold"),
-                     _div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-                     _div(F.col("tp"), F.col("P")).alias("recall"))
+    end = _ends(sc, group_cols).select(*group_cols, F.lit(None).cast("double").alias("threshold"),
+                                       F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return end.unionByName(sc.select(*group_cols, F.col(score).cast("double").alias("threshold"),
+                                     _div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+                                     _div(F.col("tp"), F.col("P")).alias("recall")))
 
 
 def _area_aggs(score: str) -> list[Column]:
@@ -174,13 +181,15 @@ SWEEP_FROM, SWEEP_TO = 5, 95
 def threshold_sweep(scores: DataFrame, group_cols: Sequence[str] = (), label: str = "label",
                     score: str = "score", lo: int = SWEEP_FROM, hi: int = SWEEP_TO) -> DataFrame:
     """(group..., threshold, precision, recall, f1, youden_j) for thresholds
-    lo/100..hi/100.  Scores go to integer 1/100 bins (score >= i/100 iff
-    bin >= i), so the data is read once and the grid is answered from at most
-    101 bins per group."""
+    lo/100..hi/100.  A score's bin is the number of hundredths it reaches
+    (score >= i/100 iff bin >= i, compared as doubles, nothing rounded), so the
+    data is read once and the grid is answered from at most 101 bins per group."""
     if not group_cols:
         return threshold_sweep(scores.withColumn("_g", F.lit(0)), ["_g"], label, score, lo, hi).drop("_g")
     g = list(group_cols)
-    b = F.least(F.greatest(F.floor(score_micro(score) / 10000), F.lit(0)), F.lit(100)).cast("int")
+    near = F.floor(F.least(F.greatest(F.col(score).cast("double"), F.lit(0.0)), F.lit(1.0)) * 100)
+    up, down = F.col(score) >= (near + 1) / F.lit(100.0), F.col(score) < near / F.lit(100.0)
+    b = F.least(F.greatest(near + up.cast("int") - down.cast("int"), F.lit(0)), F.lit(100)).cast("int")
     hist = scores.groupBy(*g, b.alias("_b")).agg(
         F.sum((F.col(label) == 1).cast("bigint")).alias("pos"),
         F.sum((F.col(label) != 1).cast("bigint")).alias("neg"))
@@ -217,9 +226,8 @@ def calibration_curve(scores: DataFrame, n_bins: int = 10, group_cols: Sequence[
                       label: str = "label", score: str = "score") -> DataFrame:
     """Uniform bins on [0,1]; a score on an inner edge falls in the lower bin;
     empty bins are absent.  (group..., bin, mean_predicted, fraction_positive, n)."""
-    width = 1_000_000 // n_bins
-    k = F.floor((score_micro(score) + (width - 1)) / width)  # ceil(score / width), exact on integers
-    b = F.least(F.greatest(k - 1, F.lit(0)), F.lit(n_bins - 1)).cast("int")
+    edges = [i * (1.0 / n_bins) for i in range(1, n_bins)]  # evenly spaced doubles, compared as they are
+    b = sum(((F.col(score) > e).cast("int") for e in edges), F.lit(0))
     return scores.groupBy(*group_cols, b.alias("bin")).agg(
         F.avg(score).alias("mean_predicted"), F.avg(F.col(label).cast("double")).alias("fraction_positive"),
         F.count(F.lit(1)).alias("n"))

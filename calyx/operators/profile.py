@@ -50,7 +50,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 def attach_weights(df: DataFrame, label: str = "label", weight_col: str = "weight") -> DataFrame:
     """Add the balanced class weight per row; the weights table has one row per class."""
     w = class_weights(df, label).select(label, F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)  # AQE broadcasts it once its size is known
 
 
 def describe_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -123,7 +123,7 @@ def kde_by_class(df: DataFrame, feature: str, label: str = "label", grid: int =
     stats = stats.where(F.col("_h") > 0)
     stats = stats.withColumn("_lo", F.col("_mn") - cut * F.col("_h")).withColumn(
         "_step", (F.col("_mx") + cut * F.col("_h") - F.col("_lo")) / (grid - 1))
-    j = vals.join(F.broadcast(stats), label)  # one stats row per class
+    j = vals.join(stats, label)  # one stats row per class; AQE broadcasts it once its size is known
     reach = F.lit(KDE_CUTOFF) * F.col("_h")
     first = F.greatest(F.ceil((x - reach - F.col("_lo")) / F.col("_step")), F.lit(0)).cast("int")
     last = F.least(F.floor((x + reach - F.col("_lo")) / F.col("_step")), F.lit(grid - 1)).cast("int")

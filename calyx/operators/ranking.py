@@ -5,12 +5,14 @@ window with no partition puts the whole table there.  Every ordered operator
 here instead:
 
 1. assigns each row a *bucket* that is monotone in the sort key (a uniform
-   hash slice, or approximate-quantile slices of the key),
+   hash slice, or the range partition of the key),
 2. aggregates per (group, bucket) - a table of at most groups x B rows,
 3. prefix-sums that small table to get each bucket's offset,
 4. runs the window *inside* (group, bucket) and adds the offset.
 
-Task size is then n / B, and B grows with the data (`choose_buckets`).
+Task size is then n / B, and B grows with the data (`choose_buckets`), without
+an upper limit: range partitions are found by sampling the key, so no expression
+grows with B, and joins are on the bucket even where there is no group.
 """
 
 from __future__ import annotations
@@ -24,11 +26,10 @@ from pyspark.sql import functions as F
 from calyx.session import cut_lineage
 
 ROWS_PER_BUCKET = 500_000
-MAX_BUCKETS = 65_536
 
 
-def choose_buckets(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET, cap: int = MAX_BUCKETS) -> int:
-    return int(max(1, min(cap, math.ceil(max(n_rows, 1) / rows_per_bucket))))
+def choose_buckets(n_rows: int, rows_per_bucket: int | None = None) -> int:
+    return max(1, math.ceil(max(n_rows, 1) / (rows_per_bucket or ROWS_PER_BUCKET)))
 
 
 def _offsets(df: DataFrame, group_cols: Sequence[str], bucket: str, measures: dict[str, Column],
@@ -62,46 +63,27 @@ def rank_in_groups(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
                   .drop(b, "_o_n"))
 
 
-def quantile_bucket_bounds(df: DataFrame, group_cols: Sequence[str], value: str,
-                           n_buckets: int, accuracy: int = 10_000) -> DataFrame:
-    """Approximate quantile cut points per group: (group..., _bounds array)."""
-    probs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
-    agg = F.percentile_approx(F.col(value), probs, accuracy).alias("_bounds")
-    return df.groupBy(*group_cols).agg(agg)
+def range_buckets(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], n_buckets: int | None) -> DataFrame:
+    """`df` with `_bucket`, the range partition of (group, order) a row falls in.
 
-
-def value_bucket(value: str, n_buckets: int) -> Column:
-    """Number of the n_buckets-1 sorted cut points strictly below the value
-    (equal values share a bucket), as a balanced CASE tree: a binary search of
-    log2(B) comparisons per row, compiled by codegen."""
-    v, bounds = F.col(value), F.col("_bounds")
-
-    def search(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(F.element_at(bounds, mid) < v, search(mid, hi)).otherwise(search(lo, mid - 1))
-
-    return search(0, max(n_buckets - 1, 0)).cast("int")
+    Written to the checkpoint folder: a partition's number holds only for the
+    run that dealt it.
+    """
+    n = n_buckets or choose_buckets(df.count())
+    dealt = df.repartitionByRange(n, *[F.col(c) for c in group_cols], *order)
+    return cut_lineage(dealt.withColumn("_bucket", F.spark_partition_id()))
 
 
 def running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str, measures: Sequence[str],
-                 descending: bool = True, n_buckets: int = 64, prefix: str = "cum_") -> DataFrame:
+                 descending: bool = True, n_buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Inclusive running sums of `measures` in `order_col` order, per group.
 
     Rows must be unique per (group, order_col) - callers aggregate to distinct
     scores first, so ties in the raw data cannot skew a task.
     """
-    if not group_cols:
-        return running_sums(df.withColumn("_g", F.lit(0)), ["_g"], order_col, measures,
-                            descending, n_buckets, prefix).drop("_g")
-    # groups x B cut points; AQE broadcasts them after measuring the real size
-    # (no hint: the group count is the caller's, not bounded here)
-    bounds = quantile_bucket_bounds(df, group_cols, order_col, n_buckets)
-    with_b = df.join(bounds, list(group_cols))
-    with_b = with_b.withColumn("_bucket", value_bucket(order_col, n_buckets)).drop("_bounds")
-    offs = _offsets(with_b, group_cols, "_bucket", {m: F.col(m) for m in measures}, descending)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    with_b = range_buckets(df, group_cols, [order], n_buckets)
+    offs = _offsets(with_b, group_cols, "_bucket", {m: F.col(m) for m in measures}, descending=False)
     w = (Window.partitionBy(*group_cols, "_bucket").orderBy(order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = with_b.join(offs, [*group_cols, "_bucket"])
@@ -110,8 +92,18 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str, measu
     return out.drop("_bucket", *[f"_o_{m}" for m in measures])
 
 
+def with_totals(df: DataFrame, source: DataFrame, group_cols: Sequence[str], totals: dict[str, str]) -> DataFrame:
+    """`df` with the sums over `source` of columns, {new name: column}: joined by
+    group, or as literals where there is none."""
+    aggs = [F.sum(c).alias(k) for k, c in totals.items()]
+    if group_cols:
+        return df.join(source.groupBy(*group_cols).agg(*aggs), list(group_cols))
+    row = source.agg(*aggs).first()
+    return df.withColumns({k: F.lit(row[k]) for k in totals})
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), n_buckets: int = 64,
+                    group_cols: Sequence[str] = (), n_buckets: int | None = None,
                     names: Sequence[str] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy's default) per group.
 
@@ -120,17 +112,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     columns + one column per prob (named `names` or q<pct>) + `n`.
     """
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    if not group_cols:
-        return exact_quantiles(df.withColumn("_g", F.lit(0)), value, probs, ["_g"],
-                               n_buckets, names).drop("_g")
     vc = (df.where(F.col(value).isNotNull())
             .groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("_cnt")))
     # four branches read the distinct-value table: materialise it once in the
     # shared checkpoint folder so the raw input is scanned once
     vc = cut_lineage(vc)
     cum = running_sums(vc, group_cols, value, ["_cnt"], descending=False, n_buckets=n_buckets)
-    totals = vc.groupBy(*group_cols).agg(F.sum("_cnt").alias("n"))
-    cum = cum.join(totals, list(group_cols))
+    cum = with_totals(cum, vc, group_cols, {"n": "_cnt"})
     # value covers 0-based positions [start, end]
     cum = cum.withColumn("_end", F.col("cum__cnt") - 1).withColumn("_start", F.col("cum__cnt") - F.col("_cnt"))
     sel = []
@@ -157,11 +145,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
 
 def rank_by_value(df: DataFrame, group_cols: Sequence[str], value: str, tiebreak: Sequence[str] = (),
-                  n_buckets: int = 64, rank_col: str = "rank") -> DataFrame:
-    """1-based rank by an arbitrary sortable column, bucketed by approximate quantiles."""
-    if not group_cols:
-        return rank_by_value(df.withColumn("_g", F.lit(0)), ["_g"], value, tiebreak,
-                             n_buckets, rank_col).drop("_g")
-    bounds = quantile_bucket_bounds(df, group_cols, value, n_buckets)
-    with_b = df.join(bounds, list(group_cols)).withColumn("_vb", value_bucket(value, n_buckets)).drop("_bounds")
-    return rank_in_groups(with_b, group_cols, [value, *tiebreak], F.col("_vb"), rank_col).drop("_vb")
+                  n_buckets: int | None = None, rank_col: str = "rank") -> DataFrame:
+    """1-based rank by an arbitrary sortable column, bucketed by its ranges."""
+    dealt = range_buckets(df, group_cols, [F.col(value), *map(F.col, tiebreak)], n_buckets).withColumnRenamed("_bucket", "_vb")
+    return rank_in_groups(dealt, group_cols, [value, *tiebreak], F.col("_vb"), rank_col).drop("_vb")

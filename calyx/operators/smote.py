@@ -123,6 +123,11 @@ def smote(df: DataFrame, features: Sequence[str], label: str = "label", id_col:
 
     rows = df.where(F.col(label) == minority).select(id_col, *[F.col(c).cast("double").alias(c) for c in feats])
     rows = rows.persist()
+    missing = F.lit(False)
+    for c in feats:
+        missing = missing | F.col(c).isNull()
+    if rows.where(missing).limit(1).count():
+        raise ValueError("SMOTE features hold nulls in the minority class: impute them first")
     # distinct points; partial aggregation absorbs a heavily repeated point
     reps = rows.groupBy(*feats).agg(F.min(id_col).alias("rep"))
     nn = nearest_neighbours(reps, feats, k, "rep", seed)
@@ -130,7 +135,7 @@ def smote(df: DataFrame, features: Sequence[str], label: str = "label", id_col:
     k_eff = min(k, n_pts - 1)
     if k_eff < 1:
         raise ValueError("SMOTE needs at least two distinct minority points")
-    row_rep = rows.join(reps, feats)  # null-safe enough: features of minority rows are complete here
+    row_rep = rows.join(reps, feats)  # no feature is null here
     ranked = rank_by_value(row_rep, [], id_col, n_buckets=choose_buckets(m), rank_col="_r")
 
     s = spark.range(n_syn).withColumnRenamed("id", "syn_id")

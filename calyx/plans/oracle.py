@@ -281,23 +281,24 @@ rp AS (SELECT variant, tn + fp + fn + tp AS n, tn + fp AS s0, tp + fn AS s1,
          CASE WHEN 2 * tn + fn + fp = 0 THEN 0e0 ELSE 2 * tn / (2 * tn + fn + fp) END AS f1_0,
          CASE WHEN 2 * tp + fp + fn = 0 THEN 0e0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1_1 FROM conf)""")
 q("roc_curve", ["score_variants"],
-  f"SELECT variant, score AS threshold, {r6('fp / N')} AS fpr, {r6('tp / P')} AS tpr FROM sc", extra=_MT)
+  f"SELECT variant, score AS threshold, {r6('fp / N')} AS fpr, {r6('tp / P')} AS tpr FROM sc "
+  "UNION ALL SELECT DISTINCT variant, CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM sc", extra=_MT)
 q("roc_auc", ["score_variants"], f"SELECT variant, {r6('roc_auc')} AS roc_auc FROM ar", extra=_MT)
 q("pr_curve", ["score_variants"],
-  f"SELECT variant, score AS threshold, {r6('prec')} AS precision, {r6('tp / P')} AS recall FROM sc2", extra=_MT)
+  f"SELECT variant, score AS threshold, {r6('prec')} AS precision, {r6('tp / P')} AS recall FROM sc2 "
+  "UNION ALL SELECT DISTINCT variant, CAST(NULL AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE) FROM sc2", extra=_MT)
 q("pr_auc_trapezoid", ["score_variants"], f"SELECT variant, {r6('pr_auc')} AS pr_auc FROM ar", extra=_MT)
 q("average_precision", ["score_variants"],
   f"SELECT variant, {r6('average_precision')} AS average_precision FROM ar", extra=_MT)
 
 _SWEEP_CTE = """
-sb AS (SELECT variant, LEAST(GREATEST(CAST(FLOOR(CAST(ROUND(score * 1000000) AS BIGINT) / 10000) AS INT), 0), 100) AS b,
-              CAST(SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+sb AS (SELECT variant, score, CAST(SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
               CAST(SUM(CASE WHEN label <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS neg
        FROM score_variants GROUP BY ALL),
 tot AS (SELECT variant, SUM(pos) AS P, SUM(neg) AS N FROM sb GROUP BY variant),
 grid AS (SELECT variant, P, N, i FROM tot, range(5, 96) r(i)),
 sw0 AS (SELECT g.variant, g.i, g.P, g.N, COALESCE(SUM(sb.pos), 0) AS tp, COALESCE(SUM(sb.neg), 0) AS fp
-        FROM grid g LEFT JOIN sb ON sb.variant = g.variant AND sb.b >= g.i GROUP BY g.variant, g.i, g.P, g.N),
+        FROM grid g LEFT JOIN sb ON sb.variant = g.variant AND sb.score >= g.i / 100e0 GROUP BY g.variant, g.i, g.P, g.N),
 sw AS (SELECT variant, i / 100e0 AS threshold,
               CASE WHEN tp + fp = 0 THEN 0e0 ELSE tp / (tp + fp) END AS precision,
               CASE WHEN P = 0 THEN 0e0 ELSE tp / P END AS recall,
@@ -315,7 +316,7 @@ JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY variant ORDER BY youden_j DESC,
 q("calibration_curve", ["score_variants"], f"""
 SELECT variant, bin, {r6('AVG(score)')} AS mean_predicted, {r6('AVG(CAST(label AS DOUBLE))')} AS fraction_positive,
        COUNT(*) AS n
-FROM (SELECT *, CAST(LEAST(GREATEST(FLOOR((CAST(ROUND(score * 1000000) AS BIGINT) + 99999) / 100000) - 1, 0), 9) AS INT) AS bin
+FROM (SELECT *, CAST({' + '.join(f"(CASE WHEN score > {i * 0.1!r}e0 THEN 1 ELSE 0 END)" for i in range(1, 10))} AS INT) AS bin
       FROM score_variants) GROUP BY variant, bin""")
 q("brier", ["score_variants"], f"SELECT variant, {r6('brier')} AS brier FROM br", extra=_MT)
 
