@@ -22,6 +22,7 @@ An empty table writes no segment.  Further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -42,13 +43,22 @@ PERCENTILE = 90
 END_ID = 0
 MAGIC = b"PFOR"
 #: Entries after which a worker's memo of encoded units starts anew; a matter of memory, not of results.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 1_000_000
+#: Distinct units encoded as one text.
+JOINED = 500
 
 
 # ---- encoding ---------------------------------------------------------------
 
 _LONE = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_NEAR = re.compile(r"\s\s|^\s|\s$")
+#: White space other than space and line feed, as a character class.
+_OTHER = re.compile(r"[^\S \n]")
+
+
+def is_plain(text: str) -> bool:
+    """Whether all white space of a text is lone spaces and line feeds between visible characters."""
+    return bool(text) and not (text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text
+                               or "\n\n" in text or _OTHER.search(text))
 
 
 def units_of(text: str) -> list[str]:
@@ -56,7 +66,7 @@ def units_of(text: str) -> list[str]:
 
     A byte-level pre-tokenizer always starts a pre-token there, so the ids of a text are those of its units in a row.
     """
-    if _NEAR.search(text):
+    if not is_plain(text):
         return _LONE.split(text)
     first, *rest = text.replace("\n", " \n").split(" ")
     return [first, *(u if u[:1] == "\n" else " " + u for u in rest)]
@@ -69,9 +79,10 @@ class UnitEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-        import json
-
+        self.tokenizer = Tokenizer.from_file(path)
+        #: Ids (4 bytes each) of whole units, and of the units of plain texts, there without their leading space.
+        self.memo: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         splitter = spec.get("pre_tokenizer") or {}
@@ -80,18 +91,46 @@ class UnitEncoder:
                         and not splitter.get("add_prefix_space", True)
                         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])
                                     for t in spec.get("added_tokens", [])))
+        gap = {self.tokenizer.encode(c, add_special_tokens=False).tokens[0] for c in " \n"}
+        vocab = self.tokenizer.get_vocab()
+        #: Whether a token begins with a space or a line feed.
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t[:1] in gap]] = True
+
+    def _learn(self, units: list[str]) -> None:
+        found = self.tokenizer.encode_batch(units, add_special_tokens=False)
+        self.memo.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(units, found, strict=True))
+
+    def _learn_plain(self, units: list[str]) -> None:
+        """Ids of units with one space or line feed, in front: many are encoded as one text, whose tokens that begin with
+        such a character are the units' first ones."""
+        for lo in range(0, len(units), JOINED):
+            part = units[lo:lo + JOINED]
+            ids = np.array(self.tokenizer.encode("".join(u if u[0] == "\n" else " " + u for u in part), add_special_tokens=False).ids, "<u4")
+            edge = np.flatnonzero(self.begins[ids])
+            if len(edge) != len(part):
+                raise ValueError("a unit's first token doesn't begin with its white space")
+            raw, edge = ids.tobytes(), [*(4 * edge).tolist(), 4 * len(ids)]
+            self.plain.update(zip(part, (raw[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [units_of(t) if self.by_unit else [t] for t in texts]
-        wanted = {u for units in split for u in units}
-        new = [u for u in wanted if u not in self.memo]
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
+        easy = [self.by_unit and is_plain(t) for t in texts]
+        split = [t.replace("\n", " \n").split(" ") if e else units_of(t) if self.by_unit else [t] for t, e in zip(texts, easy, strict=True)]
+        whole = {u for units, e in zip(split, easy, strict=True) for u in (units[:1] if e else units)}
+        plain = set().union(*(units[1:] for units, e in zip(split, easy, strict=True) if e))
+        new, more = whole.difference(self.memo), plain.difference(self.plain)
+        if len(self.memo) + len(self.plain) + len(new) + len(more) > MEMO_ENTRIES:
             self.memo.clear()
-            new = list(wanted)
-        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        self.memo.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(new, found, strict=True))
-        return [b"".join(map(self.memo.__getitem__, units)) for units in split]
+            self.plain.clear()
+            new, more = whole, plain
+        if new:
+            self._learn(list(new))
+        if more:
+            self._learn_plain(list(more))
+        memo, of = self.memo, self.plain.__getitem__
+        return [memo[units[0]] + b"".join(map(of, units[1:])) if e else b"".join(map(memo.__getitem__, units))
+                for units, e in zip(split, easy, strict=True)]
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
