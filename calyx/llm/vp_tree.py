@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from calyx.llm import vectors
 
 LEAF = 64
-#: Least recall measured with this factor: see README.
+#: 1 is exact search.
 RELAX = 1.0
 #: Distances computed at once.
 CELLS = 1 << 21
