@@ -21,7 +21,8 @@ from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, Logist
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
+                             MLReadable, MLReader, MLWritable, MLWriter)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,26 +82,63 @@ def margin(df: DataFrame, raw_col: str = "rawPrediction", out: str = "margin") -
 
 
 # ---- resampling inside fit -------------------------------------------------------
-class ResampledClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """Fit = resample the training rows (e.g. SMOTE) and fit the wrapped classifier.
+class ResampledClassifier(Estimator, MLReadable, MLWritable):
+    """Fit = SMOTE on the training rows, then the wrapped classifier.
 
     Returns only the classifier's model, so scoring never resamples: inside a
-    CrossValidator the resampling touches only each fold's train part.
+    CrossValidator the resampling touches only each fold's train part.  Both
+    parameters can be axes of a grid; saving keeps them and the classifier.
     """
 
-    def __init__(self, classifier=None, resampler=None):
+    smoteK = Param(Params._dummy(), "smoteK", "neighbours of SMOTE", TypeConverters.toInt)
+    smoteSeed = Param(Params._dummy(), "smoteSeed", "seed of SMOTE", TypeConverters.toInt)
+
+    def __init__(self, classifier=None, smoteK=5, smoteSeed=SEED):
         super().__init__()
         self.classifier = classifier
-        self.resampler = resampler
+        self._set(smoteK=smoteK, smoteSeed=smoteSeed)
 
     def _fit(self, df: DataFrame):
-        return self.classifier.fit(self.resampler(df))
+        from calyx.operators.smote import smote_vectors
+        c = self.classifier
+        return c.fit(smote_vectors(df, c.getFeaturesCol(), c.getLabelCol(), k=self.getOrDefault(self.smoteK),
+                                   seed=self.getOrDefault(self.smoteSeed)))
 
     def copy(self, extra=None):
-        extra = extra or {}
-        that = ResampledClassifier(self.classifier.copy(extra), self.resampler)
+        that = super().copy(extra)
+        that.classifier = self.classifier.copy(extra or {})
         return that
 
+    def write(self):
+        return _ResampledWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _ResampledReader(cls)
+
+
+class _ResampledWriter(MLWriter):
+    def __init__(self, instance: ResampledClassifier):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        self.instance.classifier.write().save(f"{path}/classifier")
+
+
+class _ResampledReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> ResampledClassifier:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        out = self.cls(DefaultParamsReader.loadParamsInstance(f"{path}/classifier", self.sparkSession))
+        out._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(out, metadata)
+        return out
+
 
 # ---- kernel approximation (RBF via random Fourier features) ----------------------------
 class RandomFourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):

@@ -47,10 +47,12 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
                                       / (F.count(F.lit(1)).over(all_classes) * F.col("n"))).alias("weight"))
 
 
-def attach_weights(df: DataFrame, label: str = "label", weight_col: str = "weight") -> DataFrame:
-    """Add the balanced class weight per row; the weights table has one row per class."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(weight_col))
-    return df.join(w, label)  # AQE broadcasts it once its size is known
+def attach_weights(df: DataFrame, label: str = "label", weight_col: str = "weight",
+                   counted: F.Column | None = None) -> DataFrame:
+    """Add the balanced class weight per row; the weights table has one row per class.
+    `counted`: only these rows (the train part) set the weights; classes they lack get NULL."""
+    w = class_weights(df if counted is None else df.where(counted), label).select(label, F.col("weight").alias(weight_col))
+    return df.join(w, label, "left")  # AQE broadcasts it once its size is known
 
 
 def describe_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from calyx.functions.exprs import apply_threshold
 from calyx.operators import evaluate as E
-from calyx.operators.models import positive_probability
+from calyx.operators.models import margin, positive_probability
 
 PARALLELISM = 4
 
@@ -63,7 +63,11 @@ def best_params(cv_model, param_maps: list) -> dict:
 
 
 def _score_split(model, df: DataFrame, metric: str, threshold: float = 0.5) -> float:
-    scored = positive_probability(model.transform(df)).select("label", "score")
+    out = model.transform(df)
+    if "probability" in out.columns:
+        scored = positive_probability(out).select("label", "score")
+    else:  # a margin classifier: its decision value, cut at 0
+        scored, threshold = margin(out, out="score").select("label", "score"), 0.0
     if metric == "roc_auc":
         return E.areas(scored).first()["roc_auc"]
     m = E.with_basic_metrics(E.confusion(scored.withColumn("pred", apply_threshold("score", threshold)),
@@ -126,10 +130,12 @@ def learning_curve(spark: SparkSession, estimator: Estimator, subsets: DataFrame
 
 def grid_search_encoded(spark: SparkSession, preprocessor: Estimator, estimator: Estimator, param_maps: list,
                         folded: DataFrame, metric: str = "roc_auc", n_folds: int = 5,
-                        parallelism: int = PARALLELISM):
+                        parallelism: int = PARALLELISM, refit_maps: list | None = None):
     """Grid search when the grid does not touch the encoder: per fold, fit the
     preprocessor on the train part once, persist the encoded train/validation
-    rows, and fit every candidate on them with `fitMultiple`.  Returns
+    rows, and fit every candidate on them with `fitMultiple`.  `refit_maps`: the
+    same candidates for the refit on all rows, where a parameter (a penalty)
+    depends on the number of rows.  Returns
     (table like `grid_table`, best refitted PipelineModel-like pair)."""
     from pyspark import StorageLevel
     from pyspark.ml import PipelineModel
@@ -159,5 +165,5 @@ def grid_search_encoded(spark: SparkSession, preprocessor: Estimator, estimator:
     table = spark.createDataFrame(rows, "candidate int, params string, mean_score double, std_score double, "
                                         "is_best boolean").withColumn("metric", F.lit(metric))
     pre_all = preprocessor.fit(folded)
-    best_model = estimator.copy(param_maps[best]).fit(pre_all.transform(folded))
+    best_model = estimator.copy((refit_maps or param_maps)[best]).fit(pre_all.transform(folded))
     return table, PipelineModel(stages=[*pre_all.stages, best_model])

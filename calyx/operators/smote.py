@@ -156,16 +156,15 @@ def smote(df: DataFrame, features: Sequence[str], label: str = "label", id_col:
 def smote_resample(df: DataFrame, features: Sequence[str], label: str = "label", id_col: str = "id",
                    k: int = 5, seed: int = 42, keep_integers: Sequence[str] = ()) -> DataFrame:
     """Original rows plus synthetic ones (features + label + `synthetic` flag).
-    `keep_integers` truncates those columns back to integers, as resampling
-    an integer frame does."""
+    `keep_integers` truncates those columns of the synthetic rows back to
+    integers, as resampling an integer frame does; original rows stay as they are."""
     syn = smote(df, features, label, id_col, k, seed)
     orig = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("int").alias(label),
                      F.lit(False).alias("synthetic"))
     new = syn.select(*features, label, F.lit(True).alias("synthetic"))
-    out = orig.unionByName(new)
     for c in keep_integers:
-        out = out.withColumn(c, F.floor(F.col(c)).cast("double"))
-    return out
+        new = new.withColumn(c, F.col(c).cast("bigint").cast("double"))
+    return orig.unionByName(new)
 
 
 def smote_vectors(df: DataFrame, features_col: str = "features", label: str = "label", k: int = 5,

@@ -179,7 +179,7 @@ def q_vif_filter(spark, sf):
     split = S.stratified_split(base)
     train = split.where(F.col("split") == "train")
     cols = X.numeric_columns(train.drop("id", "label", "u", "p", "zip"))
-    kept, dropped, table = C.vif_filter(train, cols, 10.0, protected={"income"})
+    kept, dropped, table = C.vif_filter(train, cols, 10.0, protected=ST.VIF_PROTECTED)
     rows = [("dropped", d["feature"], float(d["vif"])) for d in dropped] + [("final", f, v) for f, v in table]
     return spark.createDataFrame(rows, "stage string, feature string, vif double")
 
@@ -401,7 +401,7 @@ def _assembled(spark, sf):
     from calyx.plans.studies import CATEGORICAL, NUMERIC, prepare_loan
     prep = prepare_loan(spark, sf)
     model = EN.preprocessor(None, NUMERIC, CATEGORICAL).fit(prep.train)
-    return model, model.transform(prep.test)
+    return model.transform(prep.train), model.transform(prep.train.unionByName(prep.test))
 
 
 @register("assemble_features")
@@ -421,8 +421,8 @@ def q_feature_names(spark, sf):
 @register("pca2")
 def q_pca2(spark, sf):
     from pyspark.ml.feature import PCA
-    model, out = _assembled(spark, sf)
-    pca = PCA(k=2, inputCol="features", outputCol="pcs").fit(out)
+    train, _ = _assembled(spark, sf)
+    pca = PCA(k=2, inputCol="features", outputCol="pcs").fit(train)
     ev = [float(x) for x in pca.explainedVariance]
     return spark.createDataFrame([(i, v) for i, v in enumerate(ev)] + [(-1, sum(ev))],
                                  "component int, explained_variance double")

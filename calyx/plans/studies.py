@@ -25,6 +25,7 @@ from calyx.sources import fixtures as FX
 NUMERIC = ["age", "experience", "income", "family", "ccavg", "education", "mortgage",
            "securities_account", "cd_account", "online", "creditcard"]
 CATEGORICAL = ["segment"]
+VIF_PROTECTED = {"income", "ccavg", "mortgage"}
 SEED = 42
 
 
@@ -44,7 +45,7 @@ def prepare_loan(spark: SparkSession, sf_dir: str, three_way: bool = False, weig
     sizes = S.class_sizes(base)
     split = S.three_way_split(base, sizes=sizes) if three_way else S.stratified_split(base, sizes=sizes)
     if weights:
-        split = P.attach_weights(split)
+        split = P.attach_weights(split, counted=F.col("split") == "train")
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
@@ -84,6 +85,11 @@ def _metrics(scores: DataFrame, variant: str, threshold: float = 0.5) -> DataFra
     return E.metrics_table(scores.withColumn("variant", F.lit(variant)), threshold, ["variant"])
 
 
+def _margin_metrics(margins: DataFrame, variant: str) -> DataFrame:
+    """Metrics of a margin classifier, cut at 0; a margin is no probability, so its Brier score is NULL."""
+    return _metrics(margins.withColumnRenamed("margin", "score"), variant, 0.0).withColumn("brier", F.lit(None).cast("double"))
+
+
 def raw_assembler(cols=NUMERIC, out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(cols), outputCol=out)
 
@@ -140,7 +146,7 @@ def lr_settings_sweep(spark, sf):
 def _oof_margins(prep: Prepared, k: int = 5, C: float = 1.0):
     """Out-of-fold LR margins on the train split: (id, label, fold, margin),
     and the k fold models."""
-    folded = S.kfold(prep.train, k=k, shuffle=True, seed=SEED).persist()
+    folded = S.kfold(prep.train, k=k, shuffle=False).persist()
     models, parts = [], []
     for f in range(k):
         m = lr_pipeline(C, "l2", prep.n_train * (k - 1) / k).fit(folded.where(F.col("fold") != f))
@@ -152,13 +158,15 @@ def _oof_margins(prep: Prepared, k: int = 5, C: float = 1.0):
     return oof, models
 
 
-def calibrated_scores(spark, sf, method: str = "isotonic", k: int = 5):
+def calibrated_scores(spark, sf, method: str = "isotonic", k: int = 5, part: str = "test"):
     """Per fold: model on the other folds, calibrator on its held-out margins;
-    the score is the mean of the k calibrated probabilities (F6-F8)."""
+    the score of each row of `part` (test or validation) is the mean of the k
+    calibrated probabilities (F6-F8), one column each of the same pass."""
     prep = prepare_loan(spark, sf, three_way=True)
     oof, models = _oof_margins(prep, k)
-    cols = []
-    test = prep.test.select("id", "label", *NUMERIC, *CATEGORICAL)
+    rows = prep.validation if part == "validation" else prep.test
+    # the encoder scales in place: each model gets the features afresh from `row`
+    out = rows.select("id", "label", F.struct(*NUMERIC, *CATEGORICAL).alias("row"))
     for f, m in enumerate(models):
         held = oof.where(F.col("fold") == f)
         if method == "sigmoid":
@@ -166,11 +174,9 @@ def calibrated_scores(spark, sf, method: str = "isotonic", k: int = 5):
         else:
             cal, _ = M.isotonic_fit_table(held, "margin", "label")
             cal = cal.setFeaturesCol("margin").setPredictionCol(f"_s{f}")
-        scored = cal.transform(M.margin(m.transform(test)).select("id", "label", "margin"))
-        cols.append(scored.select("id", f"_s{f}"))
-    out = test.select("id", "label")
-    for c in cols:
-        out = out.join(c, "id")
+        done = ["id", "label", "row", *[f"_s{i}" for i in range(f)]]
+        margins = M.margin(m.transform(out.select(*done, "row.*"))).select(*done, "margin")
+        out = cal.transform(margins).drop("margin")
     return out.select("id", "label", (sum(F.col(f"_s{f}") for f in range(k)) / k).alias("score"))
 
 
@@ -178,7 +184,7 @@ def calibration_choice(spark, sf):
     """Validation Brier of sigmoid and isotonic calibration; the lower wins, a tie goes to sigmoid."""
     rows = []
     for rank, method in enumerate(["sigmoid", "isotonic"]):
-        b = E.brier(calibrated_scores(spark, sf, method)).first()["brier"]
+        b = E.brier(calibrated_scores(spark, sf, method, part="validation")).first()["brier"]
         rows.append((method, float(b), rank))
     df = spark.createDataFrame(rows, "method string, brier double, method_rank int")
     best = df.orderBy("brier", "method_rank").first()["method"]
@@ -216,8 +222,7 @@ def dt_depth_sweep(spark, sf, depths=range(1, 16)):
 def dt_smote(spark, sf):
     prep = prepare_loan(spark, sf)
     res = SM.smote_resample(prep.train, NUMERIC, k=5, seed=SEED,
-                            keep_integers=["age", "family", "education", "securities_account", "cd_account",
-                                           "online", "creditcard"])
+                            keep_integers=["family", "education", "securities_account", "cd_account", "online", "creditcard"])
     res = P.attach_weights(res)
     model = Pipeline(stages=[raw_assembler(), M.decision_tree("gini", 5, 5, weight_col="weight")]).fit(res)
     return _metrics(score(model, prep.test), "dt_smote")
@@ -233,7 +238,7 @@ def tree_importance(spark, sf):
     return XP.tree_importance(spark, model.stages[-1], NUMERIC)
 
 
-def rf_fit(spark, sf, n_trees: int = 100, depth: int = 7):
+def rf_fit(spark, sf, n_trees: int = 200, depth: int = 7):
     prep = prepare_loan(spark, sf)
     model = Pipeline(stages=[raw_assembler(), M.random_forest(n_trees, depth, "sqrt", 6)]).fit(prep.train)
     return _metrics(score(model, prep.test), "rf"), model, prep
@@ -242,8 +247,7 @@ def rf_fit(spark, sf, n_trees: int = 100, depth: int = 7):
 def rf_smote(spark, sf):
     prep = prepare_loan(spark, sf)
     asm = raw_assembler()
-    rc = M.ResampledClassifier(M.random_forest(100, 7, "sqrt", 6),
-                               lambda d: SM.smote_vectors(d, "features", "label", k=3, seed=SEED))
+    rc = M.ResampledClassifier(M.random_forest(200, 7, "sqrt", 6), smoteK=3, smoteSeed=SEED)
     model = Pipeline(stages=[asm, rc]).fit(prep.train)
     return _metrics(score(model, prep.test), "rf_smote")
 
@@ -264,7 +268,7 @@ def svm_margin_scores(spark, sf, C: float = 1.0):
 def svm_linear_metrics(spark, sf):
     s, _, _ = svm_margin_scores(spark, sf)
     # class from the sign of the margin; AUC etc. from the margin itself
-    return _metrics(s.withColumnRenamed("margin", "score"), "svm_linear", 0.0)
+    return _margin_metrics(s, "svm_linear")
 
 
 def svm_probability(spark, sf):
@@ -286,7 +290,7 @@ def svm_probability(spark, sf):
     return _metrics(test.select("id", "label", "score"), "svm_platt")
 
 
-def svm_rbf(spark, sf, C: float = 10.0, n_components: int = 100):
+def svm_rbf(spark, sf, C: float = 10.0, n_components: int = 300):
     prep = prepare_loan(spark, sf, weights=True)
     pre = EN.preprocessor(None, NUMERIC, CATEGORICAL).fit(prep.train)
     tr = pre.transform(prep.train)
@@ -297,7 +301,7 @@ def svm_rbf(spark, sf, C: float = 10.0, n_components: int = 100):
     total_w = tr.agg(F.sum("weight")).first()[0]
     svc = M.linear_svc(C, total_w, "weight", features="rff").fit(rff.transform(tr))
     te = M.margin(svc.transform(rff.transform(pre.transform(prep.test)))).select("id", "label", "margin")
-    return _metrics(te.withColumnRenamed("margin", "score"), "svm_rbf_rff", 0.0)
+    return _margin_metrics(te, "svm_rbf_rff")
 
 
 def svm_margin_rows(spark, sf):
@@ -318,7 +322,7 @@ def decision_grid(spark, sf, steps: int = 300):
 
 
 def predict_class_proba(spark, sf):
-    _, model, prep = rf_fit(spark, sf, 50, 7)
+    _, model, prep = rf_fit(spark, sf)
     return score(model, prep.test).select("id", F.col("pred").alias("predicted_class"), F.col("score").alias("proba"))
 
 
@@ -358,10 +362,12 @@ SVM_GRID_C = (0.1, 1, 10)
 
 def grid_search_lr(spark, sf, Cs=(0.1, 1.0), penalties=("l1", "l2")):
     prep, folded = _folded_train(spark, sf)
-    n = prep.n_train * 4 / 5
     lr = M.logistic(1.0, "l2", 1.0, max_iter=100)
-    maps = [{lr.regParam: 1.0 / (C * n), lr.elasticNetParam: 1.0 if p == "l1" else 0.0} for p in penalties for C in Cs]
-    table, _ = G.grid_search_encoded(spark, EN.preprocessor(None, NUMERIC, CATEGORICAL), lr, maps, folded, "roc_auc")
+
+    def maps(n):
+        return [{lr.regParam: 1.0 / (C * n), lr.elasticNetParam: 1.0 if p == "l1" else 0.0} for p in penalties for C in Cs]
+    table, _ = G.grid_search_encoded(spark, EN.preprocessor(None, NUMERIC, CATEGORICAL), lr, maps(prep.n_train * 4 / 5),
+                                     folded, "roc_auc", refit_maps=maps(prep.n_train))
     return table
 
 
@@ -383,10 +389,13 @@ def grid_search_rf(spark, sf, depths=(6, 7), leaves=(6, 8)):
 
 def grid_search_svm(spark, sf, Cs=(0.1, 1.0)):
     prep, folded = _folded_train(spark, sf, weights=True)
-    total_w = folded.agg(F.sum("weight")).first()[0] * 4 / 5
+    total_w = folded.agg(F.sum("weight")).first()[0]
     svc = M.linear_svc(1.0, total_w, "weight", max_iter=50)
-    maps = [{svc.regParam: 1.0 / (C * total_w)} for C in Cs]
-    table, _ = G.grid_search_encoded(spark, EN.preprocessor(None, NUMERIC, CATEGORICAL), svc, maps, folded, "f1")
+
+    def maps(w):
+        return [{svc.regParam: 1.0 / (C * w)} for C in Cs]
+    table, _ = G.grid_search_encoded(spark, EN.preprocessor(None, NUMERIC, CATEGORICAL), svc, maps(total_w * 4 / 5),
+                                     folded, "f1", refit_maps=maps(total_w))
     return table
 
 
@@ -414,7 +423,7 @@ def validation_curve_svm(spark, sf, Cs=(0.1, 1.0, 10.0, 50.0)):
 
     def build(C):
         return Pipeline(stages=[*EN.preprocessor(None, NUMERIC, CATEGORICAL).getStages(),
-                                M.logistic(C, "l2", n, max_iter=100)])
+                                M.linear_svc(C, n)])
     return G.validation_curve(spark, build, Cs, folded, "accuracy", "C")
 
 
@@ -503,7 +512,7 @@ def svm_smote(spark, sf, C: float = 2.0):
     n = res.count()
     svc = M.linear_svc(C, n).fit(res)
     te = M.margin(svc.transform(pre.transform(prep.test))).select("id", "label", "margin")
-    return _metrics(te.withColumnRenamed("margin", "score"), "svm_smote", 0.0)
+    return _margin_metrics(te, "svm_smote")
 
 
 def validation_curve(spark, sf):
@@ -527,7 +536,8 @@ def stream_score(spark, sf):
 
 def lr_run_summary(spark, sf):
     """LR study summary: params, features dropped by the correlation and VIF
-    rules on the train split, and train/test metrics (written as JSON)."""
+    rules on the train split, and train/test metrics of the model on the
+    features that are left (written as JSON)."""
     from calyx.functions.exprs import engineer_features, numeric_columns
     from calyx.operators import collinearity as CO
     from calyx.sources.sinks import run_summary, write_table
@@ -535,11 +545,11 @@ def lr_run_summary(spark, sf):
     pair = CO.drop_high_corr_pair(prep.train, "age", "experience").first()
     eng = engineer_features(prep.train)
     cols = [c for c in numeric_columns(eng.drop("id", "label")) if c != pair["dropped"]]
-    _, vif_dropped, _ = CO.vif_filter(eng, cols, 10.0, protected={"income"})
+    kept, vif_dropped, _ = CO.vif_filter(eng, cols, 10.0, protected=VIF_PROTECTED)
     dropped = [d for d in [pair["dropped"]] if d] + [d["feature"] for d in vif_dropped]
-    model = lr_pipeline(1.0, "l2", prep.n_train).fit(prep.train)
-    both = score(model, prep.train).withColumn("split", F.lit("train")).unionByName(
-        score(model, prep.test).withColumn("split", F.lit("test")))
+    model = lr_pipeline(1.0, "l2", prep.n_train, numeric=kept, categorical=[*CATEGORICAL, "age_bin", "income_bin"]).fit(eng)
+    both = score(model, eng).withColumn("split", F.lit("train")).unionByName(
+        score(model, engineer_features(prep.test)).withColumn("split", F.lit("test")))
     metrics = E.metrics_table(both, 0.5, ["split"])
     summary = run_summary(spark, "logistic_regression", {"C": 1.0, "penalty": "l2", "threshold": 0.5},
                           dropped, metrics)
