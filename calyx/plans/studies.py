@@ -274,7 +274,7 @@ def svm_linear_metrics(spark, sf):
 def svm_probability(spark, sf):
     """Platt scaling of out-of-fold SVM margins (5 folds of the train split)."""
     prep, model = svm_linear(spark, sf)
-    folded = S.kfold(prep.train, k=5, shuffle=True, seed=SEED)
+    folded = S.kfold(prep.train, k=5, shuffle=True, seed=SEED).persist(StorageLevel.MEMORY_AND_DISK)  # read by every fold's fit
     parts = []
     for f in range(5):
         tr = folded.where(F.col("fold") != f)
