@@ -16,7 +16,7 @@ import pyarrow as pa
 from calyx.llm.common import row_slices
 
 #: Text handled at once; smaller than elsewhere, as each byte takes some 60 bytes of working arrays.
-WORD_SLICE = 2 << 20
+WORD_SLICE = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
