@@ -255,6 +255,32 @@ def test_held_out_accuracy(spark):
     assert np.mean(clean) >= 0.995 and np.mean(junk) <= 0.1
 
 
+def held_out(spark, sf):
+    labels, table = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    return perplexity.quality_scores(table, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+
+
+def test_held_out_junk_on_the_larger_table(spark):
+    """The limit is a 0.99 quantile without slack: it may cost a hundredth of the clean texts, and junk near it goes."""
+    out = held_out(spark, "/root/testdata/sf0.1")
+    clean = [r["keep"] for r in out if r["quality"] == 1 and r["toxic"] == 0]
+    junk = [r["keep"] for r in out if r["quality"] == 0]
+    print(f"clean kept {sum(clean)} of {len(clean)}, junk kept {sum(junk)} of {len(junk)}, "
+          f"toxic kept {sum(r['keep'] for r in out if r['quality'] == r['toxic'] == 1)}")
+    assert np.mean(clean) >= 0.98 and np.mean(junk) <= 0.1
+
+
+def test_limit_is_of_unseen_texts(spark):
+    """Copies of a text share a fold, so a lone trusted text sets no limit, and two of different folds do."""
+    frame = docs(spark, [(1, "one lone text", "en", None, 0, *["z"] * 7), (2, "one lone text", "en", None, 0, *["z"] * 7),
+                         (3, "#" * 500, "en", None, 0, *["z"] * 7), (4, "and quite another", "en", None, 0, *["z"] * 7)])
+    folds = {r[0]: r[1] for r in frame.select("doc_id", perplexity.fold(F.col("text"))).collect()}
+    for ids in ([1, 2], [1, 2, 4]):
+        labels = spark.createDataFrame([(i, 1, 0) for i in ids], LABELS)
+        limits = [r["limit"] for r in perplexity.quality_scores(frame, labels).collect()]
+        assert len(limits) == 4 and all((x is None) == (len({folds[i] for i in ids}) == 1) for x in limits)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     table = spark.read.parquet(f"{SF}/documents.parquet")
