@@ -268,6 +268,31 @@ def test_held_out_junk_on_the_larger_table(spark):
     print(f"clean kept {sum(clean)} of {len(clean)}, junk kept {sum(junk)} of {len(junk)}, "
           f"toxic kept {sum(r['keep'] for r in out if r['quality'] == r['toxic'] == 1)}")
     assert np.mean(clean) >= 0.98 and np.mean(junk) <= 0.1
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [r["keep"] and r["toxic_keep"] for r in out if r["toxic"] == 1 and r["lang"] == lang]
+        print(f"{lang}: toxic kept {sum(toxic)} of {len(toxic)}")
+        assert lang != "en" or np.mean(toxic) <= 0.1
+    both = [r["keep"] and r["toxic_keep"] for r in out if r["quality"] == 1 and r["toxic"] == 0]
+    print(f"clean kept by both {sum(both)} of {len(both)}")
+    assert np.mean(both) >= 0.97
+
+
+def test_toxic_documents_are_caught(spark, monkeypatch):
+    """A few words make a clean text toxic; models over the bound are taken language by language with the same result."""
+    base = ["the cat sat on the mat and ran", "a dog ran to the mat and sat", "the dog and the cat ran on", "a cat and a dog sat on a mat"]
+    given = [(i, f"{base[i % 4]} {base[i * 7 % 4]} {i}", ("en", "fr", None)[i % 3], None, 0, *["z"] * 7) for i in range(60)]
+    given += [(100 + i, f"{base[i % 4]} you grumblewort {base[i % 3]}", ("en", "fr", None)[i % 3], None, 0, *["z"] * 7) for i in range(12)]
+    given += [(200, None, "en", None, 0, *["z"] * 7), (201, "", "en", None, 0, *["z"] * 7)]
+    frame = docs(spark, given)
+    labels = spark.createDataFrame([(i, 1, int(i >= 100)) for i in [*range(60), *range(100, 106)]], LABELS)
+    kept = {r["doc_id"] for r in perplexity.good_documents(frame, labels).collect()}
+    assert not kept & set(range(100, 112)) and len(kept & set(range(60))) >= 57 and {200, 201} <= kept
+    models, toxic = perplexity.train_folds(*perplexity.labelled_text(frame, labels))
+    at_once, by_language = [], []
+    for out in (at_once, by_language):
+        out += sorted((r["doc_id"], r["lm_worst"]) for r in perplexity.with_worst(frame, models[-1], toxic).collect())
+        monkeypatch.setattr(perplexity, "TABLE_ROWS", 0)
+    assert len(at_once) == len(given) and [(i, x and pytest.approx(x)) for i, x in at_once] == by_language
 
 
 def test_limit_is_of_unseen_texts(spark):
