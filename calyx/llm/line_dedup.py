@@ -32,7 +32,12 @@ from calyx.llm.common import WORD, written
 MIN_LINES = 2
 LONG_LINE = 8
 
-DOC = ["doc_id", "text_hash"]
+#: named: whether there is an id; without one, doc_id is 0, as joins drop nulls.
+DOC = ["named", "doc_id", "text_hash"]
+
+
+def id_key(doc_id: Column) -> list[Column]:
+    return [doc_id.isNotNull().alias("named"), F.coalesce(doc_id, F.lit(0)).alias("doc_id")]
 
 
 def text_key(text: Column) -> Column:
@@ -40,10 +45,10 @@ def text_key(text: Column) -> Column:
 
 
 def line_sequence(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per line with words: doc_id, text_hash, line (place in the text), place (in the sequence), key1, key2, words."""
+    """One row per line with words: DOC, line (place in the text), place (in the sequence), key1, key2, words."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where("text is not null")
-    lines = rows.select("doc_id", text_key(F.col("text")).alias("text_hash"), F.transform(
+    lines = rows.select(*id_key(F.col("doc_id")), text_key(F.col("text")).alias("text_hash"), F.transform(
         F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("words_of"))).alias("all"))
     lines = lines.select(*DOC, F.posexplode(F.filter("all", lambda x: x["words_of"].rlike(WORD))).alias("place", "one"))
     body = F.col("one.words_of")
@@ -76,21 +81,22 @@ def removed_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int =
     later = level.where(F.col("first") < here)
     covered = later.select(*DOC, F.explode(F.sequence("place", F.col("place") + (min_lines - 1))).alias("place"))
     gone = covered.unionByName(single).distinct()
-    return sequence.select(*DOC, "place", "line").distinct().join(gone, [*DOC, "place"], "left_semi").select(*DOC, "line")
+    return sequence.select(*DOC, "place", "line").distinct().join(gone, [*DOC, "place"], "left_semi").select(
+        F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "text_hash", "line")
 
 
 def repeated_runs(docs: DataFrame, **settings) -> DataFrame:
     """Maximal runs of deleted lines: doc_id, text_hash, first_line, n_lines (consecutive lines of the text)."""
-    by_line = Window.partitionBy(*DOC).orderBy("line")
+    by_line = Window.partitionBy("doc_id", "text_hash").orderBy("line")
     runs = removed_lines(docs, **settings).withColumn("island", F.col("line") - F.row_number().over(by_line))
-    return runs.groupBy(*DOC, "island").agg(F.min("line").alias("first_line"), F.count("*").alias("n_lines")).drop("island")
+    return runs.groupBy("doc_id", "text_hash", "island").agg(F.min("line").alias("first_line"), F.count("*").alias("n_lines")).drop("island")
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the repeated lines cut from the text column, and two new columns, line_total and line_removed."""
     gone = removed_lines(docs, min_lines, long_line, id_col, text_col)
-    gone = written(gone.groupBy(*DOC).agg(F.collect_set("line").alias("gone_lines")), "lines-gone")
+    gone = written(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone_lines")), "lines-gone")
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone_lines")
     text = F.col(text_col).cast("string")
     both = docs.withColumn("line_text_hash", text_key(text)).join(

@@ -207,3 +207,13 @@ def test_wavelet_rank():
     w = substring_dedup.WaveletMatrix(s, 6)
     c, at = rng.integers(0, 37, 300), rng.integers(0, 1001, 300)
     assert w.rank(c, at).tolist() == [int((s[:a] == x).sum()) for x, a in zip(c, at, strict=True)]
+
+
+def test_lines_of_rows_without_id(spark):
+    """Rows without an id are cleaned of repeated runs like others, and the first of them is the earliest copy."""
+    given = [(None, "a b\nc d\nown one"), (None, "a b\nc d\nown two"), (0, "a b\nc d\nown three")]
+    frame = docs(spark, [(i, t, "en", "s", 0, *["z"] * 7) for i, t in given])
+    got = sorted(r["text"] for r in line_dedup.dedup_lines(frame).collect())
+    assert sum(t.startswith("a b\nc d\n") for t in got) == 1 and "own three" in got
+    assert {r["doc_id"] for r in line_dedup.removed_lines(frame).collect()} == {None, 0}
+    assert collect(line_dedup.repeated_runs(frame), "doc_id", "first_line", "n_lines") == [(0, 0, 2), (None, 0, 2)]
