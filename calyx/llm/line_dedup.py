@@ -103,8 +103,10 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LO
         gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.col("line_text_hash") == F.col("gone_hash")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
     columns = [F.when(F.col("gone_lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return both.select(*columns, F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("line_total"),
-                       F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("line_removed"))
+    def count(items: Column) -> Column:  # size(null) is -1 or null, by a session setting
+        return F.when(items.isNull(), 0).otherwise(F.size(items)).cast("long")
+
+    return both.select(*columns, count(F.split(text, "\n")).alias("line_total"), count(F.col("gone_lines")).alias("line_removed"))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:

@@ -217,3 +217,14 @@ def test_lines_of_rows_without_id(spark):
     assert sum(t.startswith("a b\nc d\n") for t in got) == 1 and "own three" in got
     assert {r["doc_id"] for r in line_dedup.removed_lines(frame).collect()} == {None, 0}
     assert collect(line_dedup.repeated_runs(frame), "doc_id", "first_line", "n_lines") == [(0, 0, 2), (None, 0, 2)]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_untouched_documents_have_no_line_removed(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        frame = docs(spark, [(i, t, "en", "s", 0, *["z"] * 7) for i, t in enumerate([None, "", " \n ", "one"])])
+        assert collect(line_dedup.dedup_lines(frame), "doc_id", "line_total", "line_removed") == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 1, 0)]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
