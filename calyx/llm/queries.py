@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calyx.llm import (exact_topk, jaccard_join, line_dedup, mixing, packed_ids, perplexity, pieces, substring_dedup,
-                       token_counts, vp_tree)
+                       token_counts, toxicity, vp_tree)
 from calyx.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -60,6 +60,10 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.packed_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_token_counts, op2_jaccard_join, op3_line_dedup, op4_pieces, op5_vp_tree, op6_perplexity, op7_substring_dedup,
-    op8_exact_topk, op9_mixing, op10_packed_ids)}
+    op8_exact_topk, op9_mixing, op10_packed_ids, op13_toxicity)}
