@@ -2,13 +2,14 @@
 
 op3: runs of lines by their text.  op7: windows of 13 words by their text.
 op8: all products of queries and rows.  op9: the same keys, filling and cut as the operator, in one pass.
-Not here: op1, op4 and op10 (tokenizers), op5 (its doubles may differ in the last place), op6 (a language model) and
+op11: every document that shares a term, scored.
+Not here: op13 (a language model), op1, op4 and op10 (tokenizers), op5 (its doubles may differ in the last place), op6 (a language model) and
 op2 and the pipeline (groups by repeated comparison); tests hold these against brute force.
 """
 
 from __future__ import annotations
 
-from calyx.llm import line_dedup, mixing, substring_dedup
+from calyx.llm import lexical_search, line_dedup, mixing, substring_dedup, terms
 
 ORACLE: dict[str, str] = {}
 
@@ -72,3 +73,21 @@ r AS (SELECT k.doc_id, k.source, k.size, e.source_size, e.target, e.epochs, e.ta
       FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
 c AS (SELECT *, CAST(epochs + CASE WHEN rest > 0 AND running + size / 2e0 <= rest THEN 1 ELSE 0 END AS INT) AS copies FROM r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken, source, copies FROM c"""
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{terms.TERM}')"
+ORACLE["op11_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term),
+size AS (SELECT r, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS total FROM size),
+q AS (SELECT i, item_id, term, count(*) AS qtf
+      FROM (SELECT i, item_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS i, * FROM (SELECT DISTINCT item_id, text FROM benchmark)))
+      GROUP BY i, item_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole
+      WHERE term IN (SELECT term FROM q) GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 75 + (25 * n * n_docs) // total AS m FROM size, whole),
+scored AS (SELECT i, item_id, m.doc_id, m.r, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+           FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY i, item_id, m.doc_id, m.r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= {lexical_search.K}"""
