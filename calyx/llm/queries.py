@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from calyx.llm import (exact_topk, jaccard_join, lexical_search, line_dedup, mixing, packed_ids, perplexity, pieces, substring_dedup,
-                       token_counts, toxicity, vp_tree)
+from calyx.llm import (exact_topk, jaccard_join, lexical_search, line_dedup, mixing, packed_ids, perplexity, phrases, pieces,
+                       substring_dedup, token_counts, toxicity, vp_tree)
 from calyx.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -64,10 +64,14 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_token_counts, op2_jaccard_join, op3_line_dedup, op4_pieces, op5_vp_tree, op6_perplexity, op7_substring_dedup,
-    op8_exact_topk, op9_mixing, op10_packed_ids, op11_lexical_search, op13_toxicity)}
+    op8_exact_topk, op9_mixing, op10_packed_ids, op11_lexical_search, op12_phrases, op13_toxicity)}

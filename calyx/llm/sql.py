@@ -2,14 +2,14 @@
 
 op3: runs of lines by their text.  op7: windows of 13 words by their text.
 op8: all products of queries and rows.  op9: the same keys, filling and cut as the operator, in one pass.
-op11: every document that shares a term, scored.
+op11: every document that shares a term, scored.  op12: every run of 1 to 4 words, counted.
 Not here: op13 (a language model), op1, op4 and op10 (tokenizers), op5 (its doubles may differ in the last place), op6 (a language model) and
 op2 and the pipeline (groups by repeated comparison); tests hold these against brute force.
 """
 
 from __future__ import annotations
 
-from calyx.llm import lexical_search, line_dedup, mixing, substring_dedup, terms
+from calyx.llm import lexical_search, line_dedup, mixing, phrases, substring_dedup, terms
 
 ORACLE: dict[str, str] = {}
 
@@ -91,3 +91,21 @@ scored AS (SELECT i, item_id, m.doc_id, m.r, CAST(sum(qtf * w * ((1000000000 * t
            FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY i, item_id, m.doc_id, m.r),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= {lexical_search.K}"""
+
+ORACLE["op12_phrases"] = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, words FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces) WHERE len(words) > 0),
+runs AS (SELECT lang, size, unnest([words[i:i + size - 1] FOR i IN range(1, len(words) - size + 2)]) AS p
+         FROM w, (SELECT unnest(range(1, {phrases.MOST + 1})) AS size) WHERE len(words) >= size),
+f AS (SELECT lang, p, size, count(*) AS f FROM runs GROUP BY lang, p, size),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, p, size, f AS a FROM f WHERE size > 1 AND f >= {phrases.LEAST}),
+cuts AS (SELECT c.lang, c.p, c.size, c.a, k, f.f AS l, g.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (f.f + g.f) AS BIGINT) AS score
+         FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c JOIN f ON f.lang = c.lang AND f.p = c.p[1:k] JOIN f g ON g.lang = c.lang AND g.p = c.p[k + 1:]),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS place FROM cuts) WHERE place = 1),
+inside AS (SELECT lang, sub, max(a) AS longer
+           FROM (SELECT lang, a, unnest([p[i:i + m - 1] FOR i IN range(1, size - m + 2)]) AS sub FROM (SELECT *, unnest(range(2, size)) AS m FROM c)) GROUP BY lang, sub),
+ranked AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, b.a, b.l, b.r, b.score
+           FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.sub = b.p WHERE longer IS NULL OR 100 * longer < {phrases.INSIDE} * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked) JOIN total USING (lang) WHERE rank <= {phrases.TOP}"""
