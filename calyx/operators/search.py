@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator
@@ -25,6 +27,13 @@ from calyx.operators.models import margin, positive_probability
 PARALLELISM = 4
 
 
+def in_threads(spark: SparkSession, run: Callable, tasks: Sequence, parallelism: int = PARALLELISM) -> list:
+    """run(task) for all tasks, in order.  Every call has job properties of its own: threads that share them lose each
+    other's execution ids."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(partial(run, t))) for t in tasks]]
+
+
 def evaluator(metric: str = "roc_auc"):
     """Grid scorer: ROC AUC on the class-1 probability, or F1 of class 1."""
     if metric == "roc_auc":
@@ -89,9 +98,7 @@ def fold_scores(build: Callable[[object], Estimator], values: Sequence, folded:
         return [(v, f, "train", float(_score_split(model, train, metric))),
                 (v, f, "validation", float(_score_split(model, valid, metric)))]
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        out = [r for rows in pool.map(run, tasks) for r in rows]
-    return out
+    return [r for rows in in_threads(folded.sparkSession, run, tasks, parallelism) for r in rows]
 
 
 def summarize_curve(spark: SparkSession, rows: list[tuple], value_name: str, value_type: str = "double") -> DataFrame:
@@ -123,8 +130,7 @@ def learning_curve(spark: SparkSession, estimator: Estimator, subsets: DataFrame
         return [(float(n), s, "train", float(_score_split(model, train, metric))),
                 (float(n), s, "validation", float(_score_split(model, valid, metric)))]
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        rows = [r for rs in pool.map(run, keys) for r in rs]
+    rows = [r for rs in in_threads(spark, run, keys, parallelism) for r in rs]
     return summarize_curve(spark, rows, "n_train")
 
 
@@ -150,9 +156,8 @@ def grid_search_encoded(spark: SparkSession, preprocessor: Estimator, estimator:
         def fit_eval(pm, tr_enc=tr_enc, va_enc=va_enc):
             return float(ev.evaluate(estimator.copy(pm).fit(tr_enc).transform(va_enc)))
 
-        with ThreadPoolExecutor(parallelism) as pool:  # candidates are independent jobs
-            for idx, sc in enumerate(pool.map(fit_eval, param_maps)):
-                scores[idx].append(sc)
+        for idx, sc in enumerate(in_threads(spark, fit_eval, param_maps, parallelism)):  # candidates are independent jobs
+            scores[idx].append(sc)
         tr_enc.unpersist()
         va_enc.unpersist()
     means = [sum(s) / len(s) for s in scores]

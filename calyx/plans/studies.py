@@ -77,6 +77,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 from pyspark.ml.feature import VectorAssembler  # noqa: E402
 
 from calyx.operators import explain as XP  # noqa: E402
+from calyx.operators import prefixes as PX  # noqa: E402
 from calyx.operators import search as G  # noqa: E402
 from calyx.operators import smote as SM  # noqa: E402
 
@@ -205,17 +206,13 @@ def dt_baseline(spark, sf):
 
 
 def dt_depth_sweep(spark, sf, depths=range(1, 16)):
+    """Train and test accuracy at every depth, from one fit of the deepest tree."""
     prep = prepare_loan(spark, sf)
     asm = raw_assembler()
-    train, test = asm.transform(prep.train), asm.transform(prep.test)
-    dt = M.decision_tree("gini", 5, 1)
-    maps = [{dt.maxDepth: d} for d in depths]
-    rows = []
-    for idx, model in dt.fitMultiple(train, maps):
-        d = list(depths)[idx]
-        for name, part in (("train", train), ("test", test)):
-            acc = E.with_basic_metrics(E.confusion(M.positive_probability(model.transform(part)))).first()["accuracy"]
-            rows.append((d, name, float(acc)))
+    train = asm.transform(prep.train).withColumn("part", F.lit("train"))
+    both = train.unionByName(asm.transform(prep.test).withColumn("part", F.lit("test")))
+    model = M.decision_tree("gini", max(depths), 1).fit(train)
+    rows = [(c["max_depth"], c["part"], PX.accuracy(c)) for c in PX.depth_confusions(model, both, depths)]
     return spark.createDataFrame(rows, "max_depth int, split string, accuracy double")
 
 
@@ -353,9 +350,10 @@ def _folded_train(spark, sf, weights=False):
     return prep, S.kfold(prep.train, k=5, shuffle=False).persist()
 
 
-# The full search grids of the studies (the registered queries run a subset).
+# The full search grids of the studies (the linear models' queries run a subset).
 LR_GRID_C = (0.01, 0.05, 0.1, 0.5, 1, 2, 5, 10)
-DT_GRID = {"criterion": ("gini", "entropy"), "max_depth": (4, 5, 6, 7, 8, None), "min_samples_leaf": (1, 2, 5, 10)}
+DT_GRID = {"criterion": ("gini", "entropy"), "max_depth": (4, 5, 6, 7, 8, None), "min_samples_leaf": (1, 2, 5, 10),
+           "class_weight": (None, "balanced")}
 RF_GRID = {"max_depth": (6, 7), "min_samples_leaf": (6, 8), "class_weight": (None, "balanced")}
 SVM_GRID_C = (0.1, 1, 10)
 
@@ -371,20 +369,72 @@ def grid_search_lr(spark, sf, Cs=(0.1, 1.0), penalties=("l1", "l2")):
     return table
 
 
-def grid_search_dt(spark, sf, depths=(3, 5, 8), criteria=("gini", "entropy")):
-    prep, folded = _folded_train(spark, sf)
-    dt = M.decision_tree("gini", 5, 1)
-    maps = [{dt.impurity: c, dt.maxDepth: d} for c in criteria for d in depths]
-    cvm = G.grid_search(Pipeline(stages=[raw_assembler(), dt]), maps, folded, "f1")
-    return G.grid_table(spark, cvm, maps, "f1")
+def _candidate_table(spark, scores: dict, metric: str) -> DataFrame:
+    """(candidate, params, mean_score, std_score, is_best, metric) from each candidate's scores by fold, in grid order."""
+    means = {c: sum(s) / len(s) for c, s in scores.items()}
+    best = max(means.values())
+    first = next(c for c in scores if means[c] == best)  # the first maximum in grid order
+    rows = [(i, ", ".join(f"{k}={v}" for k, v in c), means[c], (sum((x - means[c]) ** 2 for x in s) / len(s)) ** 0.5, c == first)
+            for i, (c, s) in enumerate(scores.items())]
+    return spark.createDataFrame(rows, "candidate int, params string, mean_score double, std_score double, "
+                                       "is_best boolean").withColumn("metric", F.lit(metric))
 
 
-def grid_search_rf(spark, sf, depths=(6, 7), leaves=(6, 8)):
-    prep, folded = _folded_train(spark, sf)
-    rf = M.random_forest(50, 7, "sqrt", 6)
-    maps = [{rf.maxDepth: d, rf.minInstancesPerNode: m} for d in depths for m in leaves]
-    cvm = G.grid_search(Pipeline(stages=[raw_assembler(), rf]), maps, folded, "f1")
-    return G.grid_table(spark, cvm, maps, "f1")
+def _fold_parts(spark, sf) -> list[DataFrame]:
+    """Assembled train rows once for each fold, `part` telling the train from the validation rows, with class weights
+    from the train rows."""
+    _, folded = _folded_train(spark, sf)
+    rows = raw_assembler().transform(folded)
+    out = []
+    for f in range(5):
+        split = rows.withColumn("part", F.when(F.col("fold") == f, "validation").otherwise("train"))
+        out.append(P.attach_weights(split, counted=F.col("part") == "train"))
+    return out
+
+
+def grid_search_dt(spark, sf, grid: dict | None = None):
+    """The whole tree grid: one unlimited fit for each fold and setting other than the depth, scored at all depths."""
+    grid = grid or DT_GRID
+    deepest = None if None in grid["max_depth"] else max(grid["max_depth"])
+    settings = [(c, m, w) for c in grid["criterion"] for m in grid["min_samples_leaf"] for w in grid["class_weight"]]
+    scores = {(("criterion", c), ("max_depth", d), ("min_samples_leaf", m), ("class_weight", w)): []
+              for c in grid["criterion"] for d in grid["max_depth"] for m in grid["min_samples_leaf"] for w in grid["class_weight"]}
+
+    for parts in _fold_parts(spark, sf):
+        parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
+        train = parts.where("part = 'train'")
+
+        def fit(setting, parts=parts, train=train):
+            criterion, leaf, weighted = setting
+            weight = "weight" if weighted else None
+            model = M.decision_tree(criterion, deepest, leaf, weight_col=weight).fit(train)
+            return setting, PX.depth_confusions(model, parts, grid["max_depth"], weight=weight)
+
+        for (criterion, leaf, weighted), found in G.in_threads(spark, fit, settings):
+            for cells in found:
+                if cells["part"] == "validation":
+                    scores[("criterion", criterion), ("max_depth", cells["max_depth"]), ("min_samples_leaf", leaf), ("class_weight", weighted)].append(PX.f1(cells))
+        parts.unpersist()
+    return _candidate_table(spark, scores, "f1")
+
+
+def grid_search_rf(spark, sf, grid: dict | None = None, n_trees: int = 200):
+    """The whole forest grid: one fit of the deepest forest for each fold and setting other than the depth."""
+    grid = grid or RF_GRID
+    depths = list(grid["max_depth"])
+    scores = {(("max_depth", d), ("min_samples_leaf", m), ("class_weight", w)): []
+              for d in depths for m in grid["min_samples_leaf"] for w in grid["class_weight"]}
+    for parts in _fold_parts(spark, sf):
+        parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
+        train = parts.where("part = 'train'")
+        for leaf in grid["min_samples_leaf"]:
+            for weighted in grid["class_weight"]:
+                model = M.random_forest(n_trees, max(depths), "sqrt", leaf, weight_col="weight" if weighted else None).fit(train)
+                variants = [(n_trees, d) for d in depths]
+                for cells in PX.forest_confusions(model, parts.where("part = 'validation'"), variants):
+                    scores[("max_depth", cells["max_depth"]), ("min_samples_leaf", leaf), ("class_weight", weighted)].append(PX.f1(cells))
+        parts.unpersist()
+    return _candidate_table(spark, scores, "f1")
 
 
 def grid_search_svm(spark, sf, Cs=(0.1, 1.0)):
@@ -427,12 +477,19 @@ def validation_curve_svm(spark, sf, Cs=(0.1, 1.0, 10.0, 50.0)):
     return G.validation_curve(spark, build, Cs, folded, "accuracy", "C")
 
 
-def validation_curve_rf(spark, sf, trees=(10, 25, 50)):
-    prep, folded = _folded_train(spark, sf)
+# The numbers of trees of the forest curve.
+FOREST_SIZES = (50, 100, 150, 200, 300)
 
-    def build(t):
-        return Pipeline(stages=[raw_assembler(), M.random_forest(int(t), 7, "sqrt", 6)])
-    return G.validation_curve(spark, build, [float(t) for t in trees], folded, "f1", "n_estimators")
+
+def validation_curve_rf(spark, sf, trees=FOREST_SIZES):
+    """F1 of train and validation rows by number of trees, from one forest a fold."""
+    rows = []
+    for f, parts in enumerate(_fold_parts(spark, sf)):
+        parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
+        model = M.random_forest(max(trees), 7, "sqrt", 6).fit(parts.where("part = 'train'"))
+        rows += [(float(c["n_trees"]), f, c["part"], PX.f1(c)) for c in PX.forest_confusions(model, parts, [(t, None) for t in trees])]
+        parts.unpersist()
+    return G.summarize_curve(spark, rows, "n_estimators")
 
 
 def learning_curve(spark, sf):
