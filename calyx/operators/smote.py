@@ -5,14 +5,14 @@ Exact k-nearest neighbours without comparing all pairs:
 
 1. Exact duplicates are merged into distinct points first (a point repeated
    by a third of the rows is one row), each with a representative id.
-2. Every point gets two projections onto fixed random unit directions.
-   Neighbours in the order of the first projection (ranks r-k..r+k, an
-   equi-join on rank) give an upper bound R_i on the k-th neighbour distance.
-3. A true neighbour lies within R_i on both projections (projection onto a
-   unit vector never lengthens a distance), so candidates come from a 2-D
-   grid band join: point i visits the grid cells covering its R_i box,
-   every point sits in one cell.  Distances are computed only for those
-   candidates, and the k nearest (ties by id) are kept.
+2. The points are cut into leaves by recursive median splits, each along the
+   side on which the leaf is widest; the cuts come from a bounded sample, the
+   leaves' boxes from all points.  A leaf with more than BLOCK points is dealt
+   out over blocks, so no task holds more than a block and a chunk of visitors.
+3. A point is compared with its own leaf, which bounds the distance to its
+   k-th neighbour; then with the NEAR nearest leaves within that bound, which
+   tightens it; then with all other leaves whose box is within the new bound.
+   A leaf that is never visited can't hold a neighbour.
 
 Draws are the portable hash of (seed, sample index): base row uniformly
 among the minority rows, neighbour uniformly among its k, lam in [0,1).
@@ -21,82 +21,180 @@ So results do not depend on partitioning and match a brute-force oracle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calyx.functions.hashing import uniform
 from calyx.operators.ranking import choose_buckets, rank_by_value
 from calyx.operators.sampling import class_sizes
+from calyx.session import cut_lineage
 
 
-def _sq_dist(cols: Sequence[str], a: str = "a_", b: str = "b_") -> Column:
-    expr = None
-    for c in cols:
-        d = F.col(a + c) - F.col(b + c)
-        expr = d * d if expr is None else expr + d * d
-    return expr
+#: Points of a block, leaves visited in the second round, points that the cuts are taken from, visitors of a chunk.
+BLOCK, NEAR, SAMPLE, CHUNK = 2048, 4, 1 << 14, 4096
 
 
-def _directions(p: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    v = rng.normal(size=(2, p))
-    v[0] /= np.linalg.norm(v[0])
-    v[1] -= v[1] @ v[0] * v[0]
-    v[1] /= np.linalg.norm(v[1])
-    return v
+class MedianSplits:
+    """Leaves of recursive median splits of a sample."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.dim, self.cut, self.low, self.high, self.leaf = [], [], [], [], []
+        self.n_leaves = 0
+        self._grow(sample, leaves)
+        self.dim, self.cut, self.low, self.high, self.leaf = (np.array(x) for x in (self.dim, self.cut, self.low, self.high, self.leaf))
+
+    def _grow(self, points: np.ndarray, leaves: int) -> int:
+        me = len(self.dim)
+        for column, value in ((self.dim, 0), (self.cut, 0.0), (self.low, -1), (self.high, -1), (self.leaf, -1)):
+            column.append(value)
+        if leaves > 1 and len(points) > 1:
+            widest = int(np.argmax(points.max(axis=0) - points.min(axis=0)))
+            cut = float(np.median(points[:, widest]))
+            below = points[:, widest] < cut
+            if not below.any():
+                below = points[:, widest] <= cut
+                cut = np.nextafter(cut, np.inf)
+            if below.any() and not below.all():
+                self.dim[me], self.cut[me] = widest, cut
+                self.low[me] = self._grow(points[below], leaves // 2)
+                self.high[me] = self._grow(points[~below], leaves - leaves // 2)
+                return me
+        self.leaf[me] = self.n_leaves
+        self.n_leaves += 1
+        return me
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """Leaf of each point."""
+        node = np.zeros(len(points), np.int64)
+        while (open_ := np.flatnonzero(self.leaf[node] < 0)).size:
+            at = node[open_]
+            node[open_] = np.where(points[open_, self.dim[at]] < self.cut[at], self.low[at], self.high[at])
+        return self.leaf[node]
+
+
+def _matrix(batch, feats: Sequence[str]) -> np.ndarray:
+    return np.stack([batch[c].to_numpy(np.float64) for c in feats], axis=1)
+
+
+def _sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All squared distances, summed in the order of the columns."""
+    out = np.zeros((len(a), len(b)))
+    for c in range(a.shape[1]):
+        d = a[:, c][:, None] - b[:, c][None, :]
+        out += d * d
+    return out
+
+
+def _visited(visits: DataFrame, packed: DataFrame, feats: Sequence[str], id_col: str, k: int) -> DataFrame:
+    """(id, nn_id, dist2): the k nearest of each visitor in each block; visits: (id, features, _leaf)."""
+    load = visits.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_chunks"))
+    blocks = packed.join(load, "_leaf")  # one row a block; blocks nobody visits go
+    blocks = blocks.select("_leaf", "_block", "_ids", "_data", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"))
+    split = packed.groupBy("_leaf").agg(F.max("_block").alias("_last")).join(load, "_leaf")
+    dealt = visits.join(split, "_leaf").withColumn("_chunk", F.pmod(F.xxhash64(id_col), F.col("_chunks")).cast("int"))
+    dealt = dealt.select(id_col, *feats, "_leaf", "_chunk", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_block"))
+    keys, kind = ["_leaf", "_block", "_chunk"], dict(visits.dtypes)[id_col]
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({id_col: [], "nn_id": [], "dist2": []})
+        ids = np.asarray(right["_ids"].iloc[0])
+        points = np.frombuffer(right["_data"].iloc[0], np.float64).reshape(len(ids), len(feats))
+        me = left[id_col].to_numpy()
+        d = _sq_dists(_matrix(left, feats), points)
+        d[me[:, None] == ids[None, :]] = np.inf  # no point is its own neighbour
+        order = np.lexsort((np.broadcast_to(ids, d.shape), d))[:, :k] if len(ids) > 1 else np.zeros((len(me), 1), np.int64)
+        best = np.take_along_axis(d, order, axis=1)
+        keep = np.isfinite(best)
+        return pd.DataFrame({id_col: np.broadcast_to(me[:, None], best.shape)[keep], "nn_id": ids[order][keep], "dist2": best[keep]})
+
+    return dealt.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(compare, f"{id_col} {kind}, nn_id {kind}, dist2 double")
 
 
 def nearest_neighbours(points: DataFrame, features: Sequence[str], k: int, id_col: str = "rep",
-                       seed: int = 42) -> DataFrame:
+                       seed: int = 42, visit_limit: int | None = None, report: dict | None = None) -> DataFrame:
     """Exact k nearest other points of each distinct point.
 
     points: (id_col, *features), one row per distinct point.
+    visit_limit: visit so many leaves besides a point's own and stop, which is
+    faster in many dimensions and not exact.  report: gets `compared`, the number
+    of distances taken, and `points`.
     Returns (id_col, nn_rank 1..k, nn_id, dist2).
     """
-    feats = list(features)
-    v = _directions(len(feats), seed)
-    proj = [sum((F.col(c) * float(w) for c, w in zip(feats, row)), F.lit(0.0)) for row in v]
-    pts = points.select(id_col, *feats, proj[0].alias("_p1"), proj[1].alias("_p2"))
+    feats, spark = list(features), points.sparkSession
+    kind = dict(points.dtypes)[id_col]
+    pts = points.select(id_col, *[F.col(c).cast("double").alias(c) for c in feats])
     m = pts.count()
     if m < 2:
-        return points.sparkSession.createDataFrame([], f"{id_col} bigint, nn_rank int, nn_id bigint, dist2 double")
+        return spark.createDataFrame([], f"{id_col} {kind}, nn_rank int, nn_id {kind}, dist2 double")
     k_eff = min(k, m - 1)
+    sample = pts.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(SAMPLE).toPandas()
+    splits = MedianSplits(_matrix(sample, feats), max(1, min(-(-m // BLOCK), SAMPLE // 4)))
+
+    @F.pandas_udf("int")
+    def leaf_of(*columns: pd.Series) -> pd.Series:
+        return pd.Series(splits.of(np.stack([c.to_numpy(np.float64) for c in columns], axis=1)).astype(np.int32))
+
+    placed = cut_lineage(pts.withColumn("_leaf", leaf_of(*feats)))
+    boxes = placed.groupBy("_leaf").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}{i}") for i, c in enumerate(feats)
+                                                                       for n, f in (("lo", F.min), ("hi", F.max))]).toPandas()  # one row a leaf
+    number, n = boxes["_leaf"].to_numpy(), boxes["n"].to_numpy()
+    low, high = (boxes[[f"{s}{i}" for i in range(len(feats))]].to_numpy() for s in ("lo", "hi"))
+    sizes = spark.createDataFrame([(int(b), int(-(-s // BLOCK))) for b, s in zip(number, n, strict=True)], "_leaf int, _blocks int")
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(id_col)
+        return pd.DataFrame({"_leaf": frame["_leaf"].iloc[:1], "_block": frame["_block"].iloc[:1], "_ids": [frame[id_col].to_numpy()],
+                             "_data": [_matrix(frame, feats).tobytes()]})
+
+    blocks = placed.join(sizes, "_leaf").withColumn("_block", F.pmod(F.xxhash64(id_col), F.col("_blocks")).cast("int"))
+    packed = cut_lineage(blocks.groupBy("_leaf", "_block").applyInPandas(pack, f"_leaf int, _block int, _ids array<{kind}>, _data binary"))
+
+    def others(radius: bool, first: int | None, skip: int) -> Callable:
+        """Leaves that a point visits, nearest first: those within its radius, less `skip` of them, at most `first`."""
+        @F.pandas_udf("array<int>")
+        def chosen(own: pd.Series, far: pd.Series, *columns: pd.Series) -> pd.Series:
+            x, out = np.stack([c.to_numpy(np.float64) for c in columns], axis=1), []
+            for own_leaf, r, row in zip(own.to_numpy(), far.to_numpy(np.float64), x, strict=True):
+                gap = np.maximum(np.maximum(low - row, row - high), 0.0)
+                gap = (gap * gap).sum(axis=1)
+                order = np.lexsort((number, gap))
+                order = order[number[order] != own_leaf][skip:]
+                if radius:
+                    order = order[gap[order] <= r * (1 + 1e-9) + 1e-300]
+                out.append(number[order[:first]].astype(np.int32))
+            return pd.Series(out, dtype=object)
+        return chosen
+
+    def best(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy(id_col).orderBy("dist2", "nn_id")  # k rows for each leaf that the point visited
+        return cut_lineage(found.withColumn("nn_rank", F.row_number().over(w).cast("int")).where(F.col("nn_rank") <= k_eff))
+
+    def radii(found: DataFrame) -> DataFrame:
+        bound = found.where(F.col("nn_rank") == k_eff).select(id_col, F.col("dist2").alias("_far"))
+        return placed.join(bound, id_col, "left").withColumn("_far", F.coalesce("_far", F.lit(float("inf"))))
+
+    def compared(visits: DataFrame) -> None:
+        if report is not None:
+            held = spark.createDataFrame([(int(b), int(s)) for b, s in zip(number, n, strict=True)], "_leaf int, _n long")
+            report["compared"] = report.get("compared", 0) + (visits.join(held, "_leaf").agg(F.sum("_n")).first()[0] or 0)
+            report["points"] = m
 
-    # 1. upper bound from neighbours in projection order (exactly 2k candidates each)
-    ranked = rank_by_value(pts, [], "_p1", [id_col], n_buckets=choose_buckets(m), rank_col="_r")
-    ranked = ranked.persist()
-    left = ranked.select(*[F.col(c).alias("a_" + c) for c in [id_col, *feats, "_r"]],
-                         F.explode(F.array(*[F.lit(o) for o in range(-2 * k_eff, 2 * k_eff + 1) if o != 0])).alias("_o"))
-    right = ranked.select(*[F.col(c).alias("b_" + c) for c in [id_col, *feats, "_r"]])
-    near = left.join(right, F.col("a__r") + F.col("_o") == F.col("b__r"))
-    near = near.select(F.col("a_" + id_col).alias("_i"), _sq_dist(feats).alias("_d2"))
-    wk = Window.partitionBy("_i").orderBy("_d2")  # <= 4k rows per point
-    bound = (near.withColumn("_n", F.row_number().over(wk)).where(F.col("_n") == k_eff)
-                 .select("_i", F.sqrt("_d2").alias("_rad")))
-
-    # 2. grid band join on both projections
-    width = bound.agg(F.percentile_approx("_rad", 0.5).alias("w")).first()["w"] or 1.0
-    width = max(width, 1e-12)
-    q = ranked.join(bound, ranked[id_col] == bound["_i"]).select(
-        *[F.col(c).alias("a_" + c) for c in [id_col, *feats, "_p1", "_p2"]], F.col("_rad"))
-    c1 = F.sequence(F.floor((F.col("a__p1") - F.col("_rad")) / width), F.floor((F.col("a__p1") + F.col("_rad")) / width))
-    c2 = F.sequence(F.floor((F.col("a__p2") - F.col("_rad")) / width), F.floor((F.col("a__p2") + F.col("_rad")) / width))
-    q = q.select("*", F.explode(c1).alias("_g1")).select("*", F.explode(c2).alias("_g2"))
-    cells = ranked.select(*[F.col(c).alias("b_" + c) for c in [id_col, *feats, "_p1", "_p2"]],
-                          F.floor(F.col("_p1") / width).alias("_g1"), F.floor(F.col("_p2") / width).alias("_g2"))
-    cand = q.join(cells, ["_g1", "_g2"]).where(
-        (F.col("a_" + id_col) != F.col("b_" + id_col))
-        & (F.abs(F.col("a__p1") - F.col("b__p1")) <= F.col("_rad"))
-        & (F.abs(F.col("a__p2") - F.col("b__p2")) <= F.col("_rad")))
-    cand = cand.select(F.col("a_" + id_col).alias(id_col), F.col("b_" + id_col).alias("nn_id"),
-                       _sq_dist(feats).alias("dist2"), "_rad")
-    cand = cand.where(F.col("dist2") <= F.col("_rad") * F.col("_rad") * (1 + 1e-12) + 1e-300)
-    w = Window.partitionBy(id_col).orderBy("dist2", "nn_id")
-    out = cand.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k_eff)
-    return out.select(id_col, F.col("nn_rank").cast("int"), "nn_id", "dist2")
+    compared(placed)
+    found = best(_visited(placed, packed, feats, id_col, k_eff))
+    if len(number) > 1:
+        near = NEAR if visit_limit is None else visit_limit
+        for radius, first, skip in ((visit_limit is None, near, 0), *([(True, None, near)] if visit_limit is None else [])):
+            visits = radii(found)
+            visits = visits.withColumn("_leaf", F.explode(others(radius, first, skip)("_leaf", "_far", *feats))).select(id_col, *feats, "_leaf")
+            visits = cut_lineage(visits)
+            compared(visits)
+            found = best(found.select(id_col, "nn_id", "dist2").unionByName(_visited(visits, packed, feats, id_col, k_eff)))
+    return found.select(id_col, "nn_rank", "nn_id", "dist2")
 
 
 def smote(df: DataFrame, features: Sequence[str], label: str = "label", id_col: str = "id", k: int = 5,
