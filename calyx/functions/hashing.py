@@ -17,12 +17,16 @@ def hash_int(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
 
 
-def uniform(*parts: Column | str, seed: str | int | None = None) -> Column:
-    """Uniform [0,1) value of `seed|part1|part2...` (parts joined by '|')."""
+def uniform_int(*parts: Column | str, seed: str | int | None = None) -> Column:
+    """`uniform` before its division: a whole number from 0 to 2**32 - 1 in the same order."""
     cols = [F.lit(str(seed))] if seed is not None else []
     cols += [F.col(p) if isinstance(p, str) else p for p in parts]
-    key = F.concat_ws("|", *[c.cast("string") for c in cols])
-    return hash_int(key) / F.lit(TWO_32)
+    return hash_int(F.concat_ws("|", *[c.cast("string") for c in cols]))
+
+
+def uniform(*parts: Column | str, seed: str | int | None = None) -> Column:
+    """Uniform [0,1) value of `seed|part1|part2...` (parts joined by '|')."""
+    return uniform_int(*parts, seed=seed) / F.lit(TWO_32)
 
 
 def duck_uniform(key_sql: str) -> str:

@@ -102,46 +102,59 @@ def with_totals(df: DataFrame, source: DataFrame, group_cols: Sequence[str], tot
     return df.withColumns({k: F.lit(row[k]) for k in totals})
 
 
+#: Accuracy of the sketch that brackets a quantile; groups of up to SMALL_GROUP rows are bracketed by their ends; distinct
+#: bracketed values that one window per group takes.
+ACCURACY, SMALL_GROUP, BRACKETED = 10_000, 20_000, 1_000_000
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), n_buckets: int | None = None,
                     names: Sequence[str] | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles (numpy's default) per group.
-
-    Works on distinct values with counts, so a value repeated by a third of
-    the rows is one row; the ordered pass uses `running_sums`.  Output: group
-    columns + one column per prob (named `names` or q<pct>) + `n`.
+    """Exact linear-interpolated quantiles (numpy's default) per group, by selection.
+
+    A first scan sketches each group: values that surely lie on either side of
+    every quantile, as a sketch's rank error is at most 1 / ACCURACY.  A second
+    one counts the rows below each bracket, and the distinct values inside it,
+    some 4 / ACCURACY of the rows; the values of the wanted ranks are among these.
+    So no value outside of a bracket is shuffled, and one that a third of the rows
+    hold is one row.  Output: group columns + one column per prob (named `names`
+    or q<pct>) + `n`.
     """
-    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    vc = (df.where(F.col(value).isNotNull())
-            .groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("_cnt")))
-    # four branches read the distinct-value table: materialise it once in the
-    # shared checkpoint folder so the raw input is scanned once
-    vc = cut_lineage(vc)
-    cum = running_sums(vc, group_cols, value, ["_cnt"], descending=False, n_buckets=n_buckets)
-    cum = with_totals(cum, vc, group_cols, {"n": "_cnt"})
-    # value covers 0-based positions [start, end]
-    cum = cum.withColumn("_end", F.col("cum__cnt") - 1).withColumn("_start", F.col("cum__cnt") - F.col("_cnt"))
-    sel = []
-    conds = []
-    for p, name in zip(probs, names):
-        h = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        cover_lo = (F.col("_start") <= lo) & (lo <= F.col("_end"))
-        cover_hi = (F.col("_start") <= hi) & (hi <= F.col("_end"))
-        conds += [cover_lo, cover_hi]
-        sel += [F.max(F.when(cover_lo, F.col(value))).alias(f"_lo_{name}"),
-                F.max(F.when(cover_hi, F.col(value))).alias(f"_hi_{name}"),
-                F.first(h - lo).alias(f"_fr_{name}")]
-    cond = conds[0]
-    for c in conds[1:]:
-        cond = cond | c
-    picked = cum.where(cond)
-    agg = picked.groupBy(*group_cols, "n").agg(*sel)
-    out_cols = [*group_cols, "n"]
-    for name in names:
-        lo, hi, fr = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_fr_{name}")
-        out_cols.append((lo + (hi - lo) * fr).alias(name))
-    return agg.select(*out_cols)
+    names, groups = list(names or [f"q{int(round(p * 100))}" for p in probs]), list(group_cols)
+    rows = df.where(F.col(value).isNotNull()).select(*(groups or [F.lit(0).alias("_all")]), F.col(value).alias("_value"))
+    groups = groups or ["_all"]
+    slack = 2.0 / ACCURACY
+    ends = [end for p in probs for end in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    sketch = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min("_value").alias("_min"), F.max("_value").alias("_max"),
+                                       F.percentile_approx("_value", ends, F.lit(ACCURACY)).alias("_ends"))
+    few = F.col("n") <= SMALL_GROUP
+    brackets = cut_lineage(sketch.select(*groups, "n", F.array(*[F.struct(
+        F.when(few, F.col("_min")).otherwise(F.col("_ends")[2 * i]).alias("lo"), F.when(few, F.col("_max")).otherwise(F.col("_ends")[2 * i + 1]).alias("hi"))
+        for i in range(len(probs))]).alias("_brackets")))  # one row a group
+    near = rows.join(brackets, groups)
+    place = F.when(F.col("_value") < F.col("b.lo"), F.lit(None)).otherwise(F.col("_value"))
+    each = near.select(*groups, F.posexplode("_brackets").alias("_q", "b"), "_value").where(F.col("_value") <= F.col("b.hi"))
+    counts = cut_lineage(each.groupBy(*groups, "_q", place.alias("_value")).agg(F.count(F.lit(1)).alias("_cnt")))  # null: below the bracket
+    inside = counts.where(F.col("_value").isNotNull())
+    below = counts.where(F.col("_value").isNull()).select(*groups, "_q", F.col("_cnt").alias("_below"))
+    if inside.count() <= BRACKETED:
+        w = Window.partitionBy(*groups, "_q").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = inside.withColumn("cum__cnt", F.sum("_cnt").over(w))
+    else:
+        cum = running_sums(inside, [*groups, "_q"], "_value", ["_cnt"], descending=False, n_buckets=n_buckets)
+    cum = cum.join(below, [*groups, "_q"], "left")
+    cum = cum.join(brackets.drop("_brackets"), groups)
+    # a value covers 0-based positions [start, end]
+    end = F.coalesce("_below", F.lit(0)) + F.col("cum__cnt") - 1
+    start = end - F.col("_cnt") + 1
+    h = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_q") + 1)
+    lo, hi = F.floor(h), F.ceil(h)
+    picked = cum.groupBy(*groups, "n", "_q").agg(
+        F.max(F.when((start <= lo) & (lo <= end), F.col("_value"))).alias("_lo"),
+        F.max(F.when((start <= hi) & (hi <= end), F.col("_value"))).alias("_hi"), F.first(h - lo).alias("_part"))
+    picked = picked.withColumn("_quantile", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part"))
+    out = picked.groupBy(*groups, "n").agg(*[F.max(F.when(F.col("_q") == i, F.col("_quantile"))).alias(name) for i, name in enumerate(names)])
+    return out.drop("_all")
 
 
 def rank_by_value(df: DataFrame, group_cols: Sequence[str], value: str, tiebreak: Sequence[str] = (),

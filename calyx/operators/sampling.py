@@ -5,6 +5,11 @@ assignment is the same on any partitioning, after any task retry, and in the
 DuckDB oracle.  Class sizes come from one small aggregate collected to the
 driver (one row per class); the per-class allocation follows the largest-
 remainder rule of stratified splitters, with ties going to the lower label.
+
+No row is shuffled or ranked for that.  A histogram of the order's slices tells
+which slice holds the row of a wanted rank, only that slice's keys are looked
+at, and every row is then decided by comparing its key with the cut.  Ids are
+unique.
 """
 
 from __future__ import annotations
@@ -14,9 +19,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from calyx.functions.hashing import uniform
-from calyx.operators.ranking import choose_buckets, rank_by_value, rank_in_groups, uniform_bucket
+from calyx.functions.hashing import uniform, uniform_int
+from calyx.operators.ranking import choose_buckets, rank_by_value
 
 
 def class_sizes(df: DataFrame, label: str = "label") -> dict:
@@ -50,13 +56,74 @@ def _case(label: str, mapping: dict) -> Column:
     return expr
 
 
-def hash_rank(df: DataFrame, label: str, id_col: str, seed: int, sizes: dict,
-              group_cols: Sequence[str] | None = None) -> DataFrame:
-    """Add `_u` = u(seed|id) and `rank` within (group_cols or label) ordered by (u, id)."""
-    g = list(group_cols) if group_cols is not None else [label]
-    with_u = df.withColumn("_u", uniform(F.col(id_col), seed=seed))
-    b = choose_buckets(max(sizes.values()) if sizes else 1)
-    return rank_in_groups(with_u, g, ["_u", id_col], uniform_bucket("_u", b))
+#: Slices of a histogram, and keys of one slice that the driver sorts.
+SLICES, FEW = 4096, 20_000
+
+
+def cut_keys(df: DataFrame, group: str, key: Column, ranks: dict, low: int, high: int, id_col: str | None = None) -> dict:
+    """(key, id) of the row of each wanted 1-based rank, by (key, id), within each group: {group: {rank: (key, id)}}.
+
+    key: a whole number from low to high.  ranks: {group: ranks, from 1 to the group's size}.
+    """
+    keyed = df.select(F.col(group).alias("_g"), key.cast("long").alias("_k"), (F.col(id_col) if id_col else F.lit(None)).alias("_i"))
+    wanted = [(g, r, low, high, r) for g, rs in ranks.items() for r in rs]  # group, rank, span, rank within the span
+    done, last = [], []
+    while wanted:
+        spans = sorted({(g, lo, hi) for g, _, lo, hi, _ in wanted}, key=repr)
+        width = {s: max(1, -(-(s[2] - s[1] + 1) // SLICES)) for s in spans}
+        inside = F.array(*[F.when((F.col("_g") == F.lit(g)) & F.col("_k").between(lo, hi), F.struct(
+            F.lit(i).alias("span"), F.floor((F.col("_k") - F.lit(lo)) / F.lit(width[g, lo, hi])).alias("slice"))) for i, (g, lo, hi) in enumerate(spans)])
+        counts: dict[int, list] = {}
+        for row in keyed.select(F.explode(F.filter(inside, lambda s: s.isNotNull())).alias("s")).groupBy("s.span", "s.slice").count().collect():
+            counts.setdefault(row["span"], []).append((row["slice"], row["count"]))  # at most SLICES a span
+        again = []
+        for g, rank, lo, hi, within in wanted:
+            step = width[g, lo, hi]
+            for number, n in sorted(counts[spans.index((g, lo, hi))]):
+                if within <= n:
+                    span = (g, rank, lo + number * step, min(hi, lo + (number + 1) * step - 1), within)
+                    (again if n > FEW and step > 1 else last).append(span)
+                    break
+                within -= n
+        wanted = again
+    if last:
+        near = None
+        for g, lo, hi in sorted({(g, lo, hi) for g, _, lo, hi, _ in last}, key=repr):
+            here = (F.col("_g") == F.lit(g)) & F.col("_k").between(lo, hi)
+            near = here if near is None else near | here
+        done = sorted(((r["_g"], r["_k"], r["_i"]) for r in keyed.where(near).collect()), key=lambda r: (repr(r[0]), r[1], (r[2] is not None, r[2])))  # FEW a span
+    out: dict = {g: {} for g in ranks}
+    for g, rank, lo, hi, within in last:
+        _, k, i = [r for r in done if r[0] == g and lo <= r[1] <= hi][within - 1]
+        out[g][rank] = (k, i)
+    return out
+
+
+def up_to(group: str, key: Column, cuts: dict, sizes: dict, wanted: dict, id_col: str | None = None) -> Column:
+    """Whether a row's rank in its group is at most wanted[group], from the cuts of `cut_keys`."""
+    out = F.lit(False)
+    for g, rank in wanted.items():
+        if rank <= 0:
+            continue
+        here = F.col(group) == F.lit(g)
+        if rank < sizes[g]:
+            k, i = cuts[g][rank]
+            tied = (key == F.lit(k)) & (F.coalesce(F.col(id_col) <= F.lit(i), F.lit(True)) if id_col else F.lit(True))
+            here = here & ((key < F.lit(k)) | tied)
+        out = out | here
+    return F.coalesce(out, F.lit(False))
+
+
+def _ranks(sizes: dict, *wanted: dict) -> dict:
+    """The ranks that need a cut: not those before the first or from the last row on."""
+    return {g: sorted({w[g] for w in wanted if 0 < w[g] < sizes[g]}) for g in sizes}
+
+
+def _hash_cuts(df: DataFrame, label: str, id_col: str, seed: int, sizes: dict, *wanted: dict) -> list[Column]:
+    """For each of `wanted` ({class: rows}), whether a row is among so many first of its class by hash."""
+    key = uniform_int(F.col(id_col), seed=seed)
+    cuts = cut_keys(df, label, key, _ranks(sizes, *wanted), 0, (1 << 32) - 1, id_col)
+    return [up_to(label, key, cuts, sizes, w, id_col) for w in wanted]
 
 
 def stratified_split(df: DataFrame, label: str = "label", id_col: str = "id", test_size: float = 0.2,
@@ -64,22 +131,19 @@ def stratified_split(df: DataFrame, label: str = "label", id_col: str = "id", te
     """Adds `split` in {'train','test'}: the first n_train_c rows of each class by u are train."""
     sizes = sizes or class_sizes(df, label)
     train, _ = split_sizes(sizes, test_size)
-    r = hash_rank(df, label, id_col, seed, sizes)
-    return r.withColumn("split", F.when(F.col("rank") <= _case(label, train), "train").otherwise("test")) \
-            .drop("_u", "rank")
+    (first,) = _hash_cuts(df, label, id_col, seed, sizes, train)
+    return df.withColumn("split", F.when(first, "train").otherwise("test"))
 
 
 def three_way_split(df: DataFrame, label: str = "label", id_col: str = "id", test_size: float = 0.2,
                     val_size: float = 0.25, seed: int = 42, sizes: dict | None = None) -> DataFrame:
     """Adds `split` in {'train','validation','test'}: test first carved off, then
-    validation from the rest; one rank, two cut points."""
+    validation from the rest; one order, two cut points."""
     sizes = sizes or class_sizes(df, label)
     temp, _ = split_sizes(sizes, test_size)
     train, _ = split_sizes(temp, val_size)
-    r = hash_rank(df, label, id_col, seed, sizes)
-    split = (F.when(F.col("rank") <= _case(label, train), "train")
-              .when(F.col("rank") <= _case(label, temp), "validation").otherwise("test"))
-    return r.withColumn("split", split).drop("_u", "rank")
+    first, second = _hash_cuts(df, label, id_col, seed, sizes, train, temp)
+    return df.withColumn("split", F.when(first, "train").when(second, "validation").otherwise("test"))
 
 
 def fold_allocation(sizes: dict, k: int) -> dict:
@@ -100,15 +164,19 @@ def kfold(df: DataFrame, label: str = "label", id_col: str = "id", k: int = 5, s
     order (id order, or hash order when shuffled) sized by `fold_allocation`."""
     sizes = sizes or class_sizes(df, label)
     alloc = fold_allocation(sizes, k)
+    bounds = [{c: sum(a[: i + 1]) for c, a in alloc.items()} for i in range(k - 1)]
     if shuffle:
-        r = hash_rank(df, label, id_col, seed, sizes).drop("_u")
-    else:
+        firsts = _hash_cuts(df, label, id_col, seed, sizes, *bounds)
+    elif isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        key = F.col(id_col).cast("long")
+        ends = df.agg(F.min(id_col), F.max(id_col)).first()
+        cuts = cut_keys(df, label, key, _ranks(sizes, *bounds), ends[0] or 0, ends[1] or 0)
+        firsts = [up_to(label, key, cuts, sizes, b) for b in bounds]
+    else:  # ids that have no slices, like strings: ranked
         r = rank_by_value(df, [label], id_col, n_buckets=choose_buckets(max(sizes.values())))
-    fold = F.lit(0)
-    for i in range(k - 1):
-        bound = _case(label, {c: sum(a[: i + 1]) for c, a in alloc.items()})
-        fold = fold + (F.col("rank") > bound).cast("int")
-    return r.withColumn("fold", fold).drop("rank")
+        fold = sum(((F.col("rank") > _case(label, b)).cast("int") for b in bounds), F.lit(0))
+        return r.withColumn("fold", fold).drop("rank")
+    return df.withColumn("fold", sum(((~f).cast("int") for f in firsts), F.lit(0)))
 
 
 # The train ratios of the train-size sweep.
@@ -117,17 +185,14 @@ TRAIN_RATIOS = (0.5, 0.6, 0.7, 0.8)
 
 def train_ratio_sweep(df: DataFrame, label: str = "label", id_col: str = "id",
                       ratios: Sequence[float] = TRAIN_RATIOS, seed: int = 42) -> DataFrame:
-    """Long table (train_ratio, id, label, split): one rank, one cut point per ratio;
+    """Long table (train_ratio, id, label, split): one order, one cut point per ratio;
     rows fan out through a generator, not a join."""
     sizes = class_sizes(df, label)
-    r = hash_rank(df, label, id_col, seed, sizes).drop("_u")
-    cuts = []
-    for tr in ratios:
-        train, _ = split_sizes(sizes, 1 - tr)
-        cuts.append(F.struct(F.lit(float(tr)).alias("train_ratio"), _case(label, train).alias("cut")))
-    ex = r.select("*", F.explode(F.array(*cuts)).alias("_c"))
-    return ex.select(F.col("_c.train_ratio").alias("train_ratio"), id_col, label,
-                     F.when(F.col("rank") <= F.col("_c.cut"), "train").otherwise("test").alias("split"))
+    wanted = [split_sizes(sizes, 1 - tr)[0] for tr in ratios]
+    firsts = _hash_cuts(df, label, id_col, seed, sizes, *wanted)
+    each = F.array(*[F.struct(F.lit(float(tr)).alias("train_ratio"), F.when(first, "train").otherwise("test").alias("split"))
+                     for tr, first in zip(ratios, firsts, strict=True)])
+    return df.select(id_col, label, F.explode(each).alias("_c")).select(F.col("_c.train_ratio").alias("train_ratio"), id_col, label, F.col("_c.split").alias("split"))
 
 
 def learning_subsets(folded: DataFrame, k: int = 5, fracs: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0),
@@ -142,15 +207,16 @@ def learning_subsets(folded: DataFrame, k: int = 5, fracs: Sequence[float] = (0.
     fold_n = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_max = sum(fold_n.values()) - fold_n.get(0, 0)
     n_abs = [max(1, min(n_max, int(math.floor(f * n_max)))) for f in fracs]
-    ex = folded.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cv_split")) \
+    ex = folded.select(id_col, label, "fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cv_split")) \
                .where(F.col("fold") != F.col("cv_split"))
-    ranked = rank_in_groups(ex.withColumn("_u", uniform(F.col("cv_split"), F.col(id_col), seed=seed)),
-                            ["cv_split"], ["_u", id_col], uniform_bucket("_u", choose_buckets(n_max)))
-    subsets = F.array(*[F.struct(F.lit(i).alias("size_index"), F.lit(n).cast("bigint").alias("n_train"))
-                        for i, n in enumerate(n_abs)])
-    out = ranked.select("cv_split", id_col, label, "rank", F.explode(subsets).alias("_s"))
-    return out.where(F.col("rank") <= F.col("_s.n_train")).select(
-        "cv_split", id_col, label, F.col("_s.size_index").alias("size_index"), F.col("_s.n_train").alias("n_train"))
+    sizes = {s: sum(n for f, n in fold_n.items() if f != s) for s in range(k)}
+    wanted = [{s: min(n, sizes[s]) for s in sizes} for n in n_abs]
+    key = uniform_int(F.col("cv_split"), F.col(id_col), seed=seed)
+    cuts = cut_keys(ex, "cv_split", key, _ranks(sizes, *wanted), 0, (1 << 32) - 1, id_col)
+    subsets = F.array(*[F.when(up_to("cv_split", key, cuts, sizes, w, id_col), F.struct(F.lit(i).alias("size_index"), F.lit(n).cast("bigint").alias("n_train")))
+                        for i, (n, w) in enumerate(zip(n_abs, wanted, strict=True))])
+    out = ex.select("cv_split", id_col, label, F.explode(F.filter(subsets, lambda s: s.isNotNull())).alias("_s"))
+    return out.select("cv_split", id_col, label, F.col("_s.size_index").alias("size_index"), F.col("_s.n_train").alias("n_train"))
 
 
 def capped_class_sample(df: DataFrame, cap: int = 180, label: str = "label", id_col: str = "id",
