@@ -15,7 +15,7 @@ unique.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,42 +60,55 @@ def _case(label: str, mapping: dict) -> Column:
 SLICES, FEW = 4096, 20_000
 
 
-def cut_keys(df: DataFrame, group: str, key: Column, ranks: dict, low: int, high: int, id_col: str | None = None) -> dict:
+def histogram(df: DataFrame, group: str, key: Column, low: int, high: int) -> dict:
+    """{group: {slice: rows}} over SLICES even slices of low..high."""
+    width = max(1, -(-(high - low + 1) // SLICES))
+    rows = df.groupBy(F.col(group).alias("_g"), F.floor((key.cast("long") - F.lit(low)) / F.lit(width)).alias("_s")).count().collect()
+    out: dict = {}
+    for r in rows:  # at most SLICES a group
+        out.setdefault(r["_g"], {})[r["_s"]] = r["count"]
+    return out
+
+
+def totals(counts: dict) -> dict:
+    return {g: sum(of.values()) for g, of in counts.items()}
+
+
+def cut_keys(df: DataFrame, group: str, key: Column, counts: dict, ranks: dict, low: int, high: int, id_col: str | None = None) -> dict:
     """(key, id) of the row of each wanted 1-based rank, by (key, id), within each group: {group: {rank: (key, id)}}.
 
-    key: a whole number from low to high.  ranks: {group: ranks, from 1 to the group's size}.
+    key: a whole number from low to high; counts: its `histogram`.  ranks: {group: ranks, from 1 to the group's size}.
     """
     keyed = df.select(F.col(group).alias("_g"), key.cast("long").alias("_k"), (F.col(id_col) if id_col else F.lit(None)).alias("_i"))
     wanted = [(g, r, low, high, r) for g, rs in ranks.items() for r in rs]  # group, rank, span, rank within the span
-    done, last = [], []
+    found = {(g, low, high): of for g, of in counts.items()}
+    last = []
     while wanted:
-        spans = sorted({(g, lo, hi) for g, _, lo, hi, _ in wanted}, key=repr)
-        width = {s: max(1, -(-(s[2] - s[1] + 1) // SLICES)) for s in spans}
-        inside = F.array(*[F.when((F.col("_g") == F.lit(g)) & F.col("_k").between(lo, hi), F.struct(
-            F.lit(i).alias("span"), F.floor((F.col("_k") - F.lit(lo)) / F.lit(width[g, lo, hi])).alias("slice"))) for i, (g, lo, hi) in enumerate(spans)])
-        counts: dict[int, list] = {}
-        for row in keyed.select(F.explode(F.filter(inside, lambda s: s.isNotNull())).alias("s")).groupBy("s.span", "s.slice").count().collect():
-            counts.setdefault(row["span"], []).append((row["slice"], row["count"]))  # at most SLICES a span
         again = []
         for g, rank, lo, hi, within in wanted:
-            step = width[g, lo, hi]
-            for number, n in sorted(counts[spans.index((g, lo, hi))]):
+            step = max(1, -(-(hi - lo + 1) // SLICES))
+            for number, n in sorted(found[g, lo, hi].items()):
                 if within <= n:
                     span = (g, rank, lo + number * step, min(hi, lo + (number + 1) * step - 1), within)
                     (again if n > FEW and step > 1 else last).append(span)
                     break
                 within -= n
-        wanted = again
-    if last:
-        near = None
-        for g, lo, hi in sorted({(g, lo, hi) for g, _, lo, hi, _ in last}, key=repr):
-            here = (F.col("_g") == F.lit(g)) & F.col("_k").between(lo, hi)
-            near = here if near is None else near | here
-        done = sorted(((r["_g"], r["_k"], r["_i"]) for r in keyed.where(near).collect()), key=lambda r: (repr(r[0]), r[1], (r[2] is not None, r[2])))  # FEW a span
+        wanted, found = again, {}
+        for g, lo, hi in {(g, lo, hi) for g, _, lo, hi, _ in wanted}:  # slices of more than FEW rows are cut again
+            here = keyed.where((F.col("_g") == F.lit(g)) & F.col("_k").between(lo, hi))
+            found[g, lo, hi] = histogram(here, "_g", F.col("_k"), lo, hi)[g]
     out: dict = {g: {} for g in ranks}
-    for g, rank, lo, hi, within in last:
-        _, k, i = [r for r in done if r[0] == g and lo <= r[1] <= hi][within - 1]
-        out[g][rank] = (k, i)
+    if last:
+        spans, width = {(g, lo, hi) for g, _, lo, hi, _ in last}, max(1, -(-(high - low + 1) // SLICES))
+        near = F.lit(False)
+        for g, lo, hi in sorted(spans, key=repr):
+            near = near | ((F.col("_g") == F.lit(g)) & F.col("_k").between(lo, hi))
+        # the first test takes the key once a row, the others run on the few rows that pass it
+        near = F.floor((F.col("_k") - F.lit(low)) / F.lit(width)).isin(sorted({(lo - low) // width for _, lo, _ in spans})) & near
+        keys = sorted(((r["_g"], r["_k"], r["_i"]) for r in keyed.where(near).collect()), key=lambda r: (repr(r[0]), r[1], (r[2] is not None, r[2])))  # FEW a span
+        for g, rank, lo, hi, within in last:
+            _, k, i = [r for r in keys if r[0] == g and lo <= r[1] <= hi][within - 1]
+            out[g][rank] = (k, i)
     return out
 
 
@@ -119,31 +132,36 @@ def _ranks(sizes: dict, *wanted: dict) -> dict:
     return {g: sorted({w[g] for w in wanted if 0 < w[g] < sizes[g]}) for g in sizes}
 
 
-def _hash_cuts(df: DataFrame, label: str, id_col: str, seed: int, sizes: dict, *wanted: dict) -> list[Column]:
-    """For each of `wanted` ({class: rows}), whether a row is among so many first of its class by hash."""
-    key = uniform_int(F.col(id_col), seed=seed)
-    cuts = cut_keys(df, label, key, _ranks(sizes, *wanted), 0, (1 << 32) - 1, id_col)
-    return [up_to(label, key, cuts, sizes, w, id_col) for w in wanted]
+def _by_hash(df: DataFrame, label: str, id_col: str, seed: int, wanted: Callable[[dict], list[dict]], name: str,
+             decide: Callable[[list[Column]], Column]) -> DataFrame:
+    """`df` with the column `name` = decide(whether a row is among the first so many of its class by hash, for each of
+    wanted(class sizes))."""
+    key, ends = uniform_int(F.col(id_col), seed=seed), (0, (1 << 32) - 1)
+    counts = histogram(df, label, key, *ends)
+    sizes = totals(counts)
+    rows = wanted(sizes)
+    cuts = cut_keys(df, label, key, counts, _ranks(sizes, *rows), *ends, id_col)
+    firsts = [up_to(label, F.col("_key"), cuts, sizes, w, id_col) for w in rows]
+    return df.withColumn("_key", key).withColumn(name, decide(firsts)).drop("_key")  # the hash is taken once a row
 
 
 def stratified_split(df: DataFrame, label: str = "label", id_col: str = "id", test_size: float = 0.2,
                      seed: int = 42, sizes: dict | None = None) -> DataFrame:
     """Adds `split` in {'train','test'}: the first n_train_c rows of each class by u are train."""
-    sizes = sizes or class_sizes(df, label)
-    train, _ = split_sizes(sizes, test_size)
-    (first,) = _hash_cuts(df, label, id_col, seed, sizes, train)
-    return df.withColumn("split", F.when(first, "train").otherwise("test"))
+    return _by_hash(df, label, id_col, seed, lambda n: [split_sizes(sizes or n, test_size)[0]], "split",
+                    lambda first: F.when(first[0], "train").otherwise("test"))
 
 
 def three_way_split(df: DataFrame, label: str = "label", id_col: str = "id", test_size: float = 0.2,
                     val_size: float = 0.25, seed: int = 42, sizes: dict | None = None) -> DataFrame:
     """Adds `split` in {'train','validation','test'}: test first carved off, then
     validation from the rest; one order, two cut points."""
-    sizes = sizes or class_sizes(df, label)
-    temp, _ = split_sizes(sizes, test_size)
-    train, _ = split_sizes(temp, val_size)
-    first, second = _hash_cuts(df, label, id_col, seed, sizes, train, temp)
-    return df.withColumn("split", F.when(first, "train").when(second, "validation").otherwise("test"))
+    def wanted(found: dict) -> list[dict]:
+        temp, _ = split_sizes(sizes or found, test_size)
+        return [split_sizes(temp, val_size)[0], temp]
+
+    return _by_hash(df, label, id_col, seed, wanted, "split",
+                    lambda first: F.when(first[0], "train").when(first[1], "validation").otherwise("test"))
 
 
 def fold_allocation(sizes: dict, k: int) -> dict:
@@ -162,21 +180,26 @@ def kfold(df: DataFrame, label: str = "label", id_col: str = "id", k: int = 5, s
           seed: int = 42, sizes: dict | None = None) -> DataFrame:
     """Adds `fold` in 0..k-1: within each class, contiguous blocks of the row
     order (id order, or hash order when shuffled) sized by `fold_allocation`."""
-    sizes = sizes or class_sizes(df, label)
-    alloc = fold_allocation(sizes, k)
-    bounds = [{c: sum(a[: i + 1]) for c, a in alloc.items()} for i in range(k - 1)]
+    def bounds(found: dict) -> list[dict]:
+        alloc = fold_allocation(sizes or found, k)
+        return [{c: sum(a[: i + 1]) for c, a in alloc.items()} for i in range(k - 1)]
+
+    def fold(firsts: list[Column]) -> Column:
+        return sum(((~f).cast("int") for f in firsts), F.lit(0))
+
     if shuffle:
-        firsts = _hash_cuts(df, label, id_col, seed, sizes, *bounds)
-    elif isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return _by_hash(df, label, id_col, seed, bounds, "fold", fold)
+    if isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         key = F.col(id_col).cast("long")
-        ends = df.agg(F.min(id_col), F.max(id_col)).first()
-        cuts = cut_keys(df, label, key, _ranks(sizes, *bounds), ends[0] or 0, ends[1] or 0)
-        firsts = [up_to(label, key, cuts, sizes, b) for b in bounds]
-    else:  # ids that have no slices, like strings: ranked
-        r = rank_by_value(df, [label], id_col, n_buckets=choose_buckets(max(sizes.values())))
-        fold = sum(((F.col("rank") > _case(label, b)).cast("int") for b in bounds), F.lit(0))
-        return r.withColumn("fold", fold).drop("rank")
-    return df.withColumn("fold", sum(((~f).cast("int") for f in firsts), F.lit(0)))
+        ends = [e or 0 for e in df.agg(F.min(id_col), F.max(id_col)).first()]
+        counts = histogram(df, label, key, *ends)
+        rows = bounds(totals(counts))
+        cuts = cut_keys(df, label, key, counts, _ranks(totals(counts), *rows), *ends)
+        return df.withColumn("fold", fold([up_to(label, key, cuts, totals(counts), b) for b in rows]))
+    # ids that have no slices, like strings, are ranked
+    sizes = sizes or class_sizes(df, label)
+    r = rank_by_value(df, [label], id_col, n_buckets=choose_buckets(max(sizes.values())))
+    return r.withColumn("fold", sum(((F.col("rank") > _case(label, b)).cast("int") for b in bounds(sizes)), F.lit(0))).drop("rank")
 
 
 # The train ratios of the train-size sweep.
@@ -187,12 +210,13 @@ def train_ratio_sweep(df: DataFrame, label: str = "label", id_col: str = "id",
                       ratios: Sequence[float] = TRAIN_RATIOS, seed: int = 42) -> DataFrame:
     """Long table (train_ratio, id, label, split): one order, one cut point per ratio;
     rows fan out through a generator, not a join."""
-    sizes = class_sizes(df, label)
-    wanted = [split_sizes(sizes, 1 - tr)[0] for tr in ratios]
-    firsts = _hash_cuts(df, label, id_col, seed, sizes, *wanted)
-    each = F.array(*[F.struct(F.lit(float(tr)).alias("train_ratio"), F.when(first, "train").otherwise("test").alias("split"))
-                     for tr, first in zip(ratios, firsts, strict=True)])
-    return df.select(id_col, label, F.explode(each).alias("_c")).select(F.col("_c.train_ratio").alias("train_ratio"), id_col, label, F.col("_c.split").alias("split"))
+    def each(firsts: list[Column]) -> Column:
+        return F.array(*[F.struct(F.lit(float(tr)).alias("train_ratio"), F.when(first, "train").otherwise("test").alias("split"))
+                         for tr, first in zip(ratios, firsts, strict=True)])
+
+    out = _by_hash(df, label, id_col, seed, lambda n: [split_sizes(n, 1 - tr)[0] for tr in ratios], "_c", each)
+    out = out.select(id_col, label, F.explode("_c").alias("_c"))
+    return out.select(F.col("_c.train_ratio").alias("train_ratio"), id_col, label, F.col("_c.split").alias("split"))
 
 
 def learning_subsets(folded: DataFrame, k: int = 5, fracs: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0),
@@ -209,13 +233,13 @@ def learning_subsets(folded: DataFrame, k: int = 5, fracs: Sequence[float] = (0.
     n_abs = [max(1, min(n_max, int(math.floor(f * n_max)))) for f in fracs]
     ex = folded.select(id_col, label, "fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cv_split")) \
                .where(F.col("fold") != F.col("cv_split"))
-    sizes = {s: sum(n for f, n in fold_n.items() if f != s) for s in range(k)}
-    wanted = [{s: min(n, sizes[s]) for s in sizes} for n in n_abs]
-    key = uniform_int(F.col("cv_split"), F.col(id_col), seed=seed)
-    cuts = cut_keys(ex, "cv_split", key, _ranks(sizes, *wanted), 0, (1 << 32) - 1, id_col)
-    subsets = F.array(*[F.when(up_to("cv_split", key, cuts, sizes, w, id_col), F.struct(F.lit(i).alias("size_index"), F.lit(n).cast("bigint").alias("n_train")))
-                        for i, (n, w) in enumerate(zip(n_abs, wanted, strict=True))])
-    out = ex.select("cv_split", id_col, label, F.explode(F.filter(subsets, lambda s: s.isNotNull())).alias("_s"))
+    def each(firsts: list[Column]) -> Column:
+        return F.filter(F.array(*[F.when(first, F.struct(F.lit(i).alias("size_index"), F.lit(n).cast("bigint").alias("n_train")))
+                                  for i, (n, first) in enumerate(zip(n_abs, firsts, strict=True))]), lambda s: s.isNotNull())
+
+    ex = ex.withColumn("_split_id", F.concat_ws("|", F.col("cv_split").cast("string"), F.col(id_col).cast("string")))
+    out = _by_hash(ex, "cv_split", "_split_id", seed, lambda n: [{s: min(m, n[s]) for s in n} for m in n_abs], "_s", each)
+    out = out.select("cv_split", id_col, label, F.explode("_s").alias("_s"))
     return out.select("cv_split", id_col, label, F.col("_s.size_index").alias("size_index"), F.col("_s.n_train").alias("n_train"))
 
 
