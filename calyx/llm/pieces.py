@@ -4,11 +4,11 @@ Encoding keeps an agenda of adjacent symbol pairs in score order (ties: the
 leftmost pair first) and always merges its head, as the library does.  No piece
 of a vocabulary accepted here has the space mark behind another character, or a
 line feed beside another one, so no merge crosses those places: a text falls
-apart into units, and equal units have equal ids.  The agendas of all units
+apart into units, and equal units have equal ids.  The agendas of short units
 that a batch brings anew are held in flat arrays and advance together; each
-round merges the head of every unit's agenda.  The ids of these new units are
-checked, batch by batch, against the sentencepiece library, and a difference
-raises an error.  Ids are decoded by the library's decode().
+round merges the head of every unit's agenda.  A long unit has a heap of its own
+over a linked list of symbols.  The ids of these new units are checked, portion by
+portion, against the sentencepiece library, and a difference raises an error.  Ids are decoded by the library's decode().
 
 Null texts count as empty: the begin and the end id alone, decoded to ''.
 Repeated rows and null ids are kept; further columns are ignored.
@@ -17,6 +17,7 @@ Repeated rows and null ids are kept; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -31,6 +32,11 @@ MARK = "▁"
 #: Entries after which a worker's memo of units starts anew; a matter of memory, not of results.
 MEMO_ENTRIES = 500_000
 
+#: Text handled at once, and characters of new units whose agendas advance together.
+SLICE, PORTION = 1 << 20, 1 << 17
+#: Characters from which a unit has an agenda of its own.
+LONG = 48
+
 _MODELS: dict[str, "MergeModel"] = {}
 
 
@@ -68,6 +74,12 @@ class MergeModel:
         self.place = np.empty(n, np.int64)
         distinct = np.unique(-score)
         self.place[:] = np.searchsorted(distinct, -score)
+        self.pairs = pairs
+        # Symbol of each character: its piece, or -1 less its number, which is in no pair.
+        self.symbol = -1 - np.arange(0x110000, dtype=np.int64)
+        for piece, i in normal.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Id of the piece that each adjacent pair makes, or -1."""
@@ -82,13 +94,64 @@ class MergeModel:
         after = np.minimum(at + 1, len(symbol) - 1)
         return np.where((unit[at] == unit[after]) & (after > at), self.pair(symbol[at], symbol[after]), -1)
 
-    def merge(self, units: list[str]) -> list[list[int]]:
-        """Ids of each unit (already marked, no begin or end id)."""
+    def merge(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit (already marked, no begin or end id) as little-endian unsigned 32-bit integers."""
+        found = [b""] * len(units)
+        portion, size = [], 0
+        for i, u in enumerate(units):
+            if len(u) >= LONG:
+                found[i] = np.array(self.merge_long(u), "<u4").tobytes()
+                continue
+            portion.append(i)
+            size += len(u)
+            if size >= PORTION:
+                for j, ids in zip(portion, self.merge_short([units[j] for j in portion]), strict=True):
+                    found[j] = ids
+                portion, size = [], 0
+        for j, ids in zip(portion, self.merge_short([units[j] for j in portion]), strict=True):
+            found[j] = ids
+        return found
+
+    def merge_long(self, unit: str) -> list[int]:
+        """Ids of one unit: a heap of (place, where) over a linked list of symbols.  Entries whose pair has changed
+        meanwhile are passed over."""
+        symbol = [self.normal.get(c, -1) for c in unit]
+        n, pairs, place = len(unit), self.pairs, self.place
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = []
+
+        def offer(at: int) -> None:
+            to = after[at]
+            if to >= 0 and symbol[at] >= 0 and symbol[to] >= 0:
+                made = pairs.get(symbol[at] << 32 | symbol[to])
+                if made is not None:
+                    heapq.heappush(heap, (int(place[made]), at, made, symbol[at], symbol[to]))
+
+        for at in range(n - 1):
+            offer(at)
+        gone = bytearray(n)
+        while heap:
+            _, at, made, left, right = heapq.heappop(heap)
+            to = after[at]
+            if gone[at] or to < 0 or symbol[at] != left or symbol[to] != right:
+                continue
+            symbol[at], after[at] = made, after[to]
+            gone[to] = 1
+            if after[to] >= 0:
+                before[after[to]] = at
+            offer(at)
+            if before[at] >= 0:
+                offer(before[at])
+        out: list[int] = []
+        for at in range(n):
+            if not gone[at]:
+                out += [symbol[at]] if symbol[at] >= 0 else [self.bytes[b] for b in unit[at].encode()]
+        return out
+
+    def merge_short(self, units: list[str]) -> list[bytes]:
+        """As merge: all agendas advance together."""
         lengths = np.array([len(u) for u in units], np.int64)
-        chars = "".join(units)
-        seen = sorted(set(chars))
-        number = {c: self.normal.get(c, -1 - k) for k, c in enumerate(seen)}
-        symbol = np.fromiter((number[c] for c in chars), np.int64, len(chars))
+        symbol = self.symbol[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
         unit = np.repeat(np.arange(len(units)), lengths)
         last = np.int64(1 << 40)
         done_symbol, done_unit = [], []
@@ -113,13 +176,18 @@ class MergeModel:
             made[near] = self.pairs_at(symbol, unit, near)
         symbol, unit = np.concatenate(done_symbol or [symbol]), np.concatenate(done_unit or [unit])
         order = np.argsort(unit, kind="stable")
-        ids: list[list[int]] = [[] for _ in units]
-        for u, s in zip(unit[order].tolist(), symbol[order].tolist(), strict=True):
-            if s >= 0:
-                ids[u].append(s)
-            else:
-                ids[u].extend(self.bytes[b] for b in seen[-1 - s].encode())
-        return ids
+        symbol, unit = symbol[order], unit[order]
+        odd = np.flatnonzero(symbol < 0)
+        if len(odd):  # characters that are no pieces go byte by byte
+            spelled = [[self.bytes[b] for b in chr(-1 - c).encode()] for c in symbol[odd].tolist()]
+            size = np.ones(len(symbol), np.int64)
+            size[odd] = [len(x) for x in spelled]
+            start = (np.cumsum(size) - size)[odd]
+            symbol, unit = np.repeat(symbol, size), np.repeat(unit, size)
+            for at, ids in zip(start.tolist(), spelled, strict=True):
+                symbol[at:at + len(ids)] = ids
+        whole, first = symbol.astype("<u4").tobytes(), (4 * np.searchsorted(unit, np.arange(len(units) + 1))).tolist()
+        return [whole[lo:hi] for lo, hi in zip(first, first[1:], strict=False)]
 
 
 def model(path: str) -> MergeModel:
@@ -155,29 +223,34 @@ class Encoder:
         found = self.model.merge(new)
         parts = found if lead is new else [self.model.merge([MARK])[0], *found]
         # A unit of marks alone, or one that begins with marks after such, must not touch another mark: a line feed parts them.
-        text, want, feed = [], [], self.model.bytes[10] if "\n" not in self.model.normal else self.model.normal["\n"]
+        feed = self.model.normal["\n"] if "\n" in self.model.normal else self.model.bytes[10]
+        feed, text, want = feed.to_bytes(4, "little"), [], []
         for u, ids in zip(lead, parts, strict=True):
             if text and u.startswith(MARK):
                 text.append("\n")
                 want.append(feed)
             text.append(u)
-            want.extend(ids)
+            want.append(ids)
         said = self.model.sp.encode("".join(text).replace(MARK, " ")[1:], num_threads=1)
-        if said != want:
+        if np.array(said, "<u4").tobytes() != b"".join(want):
             raise ValueError("the merge agenda and the sentencepiece library differ on a batch of units")
         if len(self.memo) + len(new) > MEMO_ENTRIES:
             self.memo.clear()
-        self.memo.update((u, np.array(ids, "<u4").tobytes()) for u, ids in zip(new, found, strict=True))
+        self.memo.update(zip(new, found, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, with the begin and the end id."""
         split = [units_of(t) for t in texts]
-        self.learn({u for units in split for u in units})
-        if any(u not in self.memo for units in split for u in units):  # the memo was begun anew meanwhile
-            self.memo.clear()
-            self.learn({u for units in split for u in units})
         begin, end = (i.to_bytes(4, "little") for i in (self.model.bos, self.model.eos))
-        return [b"".join([begin, *map(self.memo.__getitem__, units), end]) for units in split]
+        for attempt in range(2):
+            self.learn(set().union(*split))
+            try:
+                return [b"".join([begin, *map(self.memo.__getitem__, units), end]) for units in split]
+            except KeyError:  # the memo was begun anew meanwhile
+                if attempt:
+                    raise
+                self.memo.clear()
+        raise AssertionError
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -197,7 +270,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path)
         for batch in batches:
-            for piece in row_slices(batch, "text"):
+            for piece in row_slices(batch, "text", SLICE):
                 ids = enc.encode([t or "" for t in piece.column("text").to_pylist()])
                 decoded = enc.model.sp.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1)
                 columns = [piece.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64())]

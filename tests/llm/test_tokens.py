@@ -137,3 +137,16 @@ def test_outliers_become_exceptions():
     ids = np.full(4096, 9, np.uint32)
     ids[::100] = 2 ** 31
     assert len(packed_ids.pack_segment(ids)) < 4096
+
+
+@pytest.mark.parametrize("unit", ["ab" * 100_000, "é日x" * 30_000, "the" * 16, "y" * (pieces.LONG - 2), "y" * (pieces.LONG - 1), "\U0001f600" * 100, "ﬁ\x01"])
+def test_long_units_have_an_agenda_of_their_own(sp, unit):
+    model = pieces.model(PIECES)
+    assert np.frombuffer(model.merge([pieces.MARK + unit])[0], "<u4").tolist() == sp.encode(unit)
+
+
+def test_portions_of_units(sp, monkeypatch):
+    monkeypatch.setattr(pieces, "PORTION", 20)
+    texts = [r[1] or "" for r in rows()] + ["x" * 60 + " short " + "y" * 70]
+    enc = pieces.Encoder(PIECES)
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == sp.encode(texts, add_bos=True, add_eos=True)
