@@ -3,8 +3,10 @@
 Pre-tokens are the words of a text, each with the word-start mark in front.
 The distinct pre-tokens of a batch go into a trie.  A trie node stands for one
 prefix, so its best segmentation (the forward score) is the same for every word
-below it and is computed once, when the node is made.  Terminal nodes hand their
-token count to a memo that later batches of the same Python worker reuse.
+below it and is computed once, when the node is made.  An automaton over the
+vocabulary, carried along the trie, names the pieces that end at a node.
+Terminal nodes hand their token count to a memo that later batches of the same
+Python worker reuse.
 
 Scores: the vocabulary file ranks its pieces; piece r (0-based among the normal
 pieces) scores -ln(r + 2), a Zipf unigram model of that ranking.  A character
@@ -30,73 +32,84 @@ MARK = "▁"
 UNKNOWN_BYTE = -20.0
 #: Scores are held as integers (millionths) so that sums, and with them ties, are exact.
 SCALE = 1_000_000
-#: Entries after which a worker's memo starts anew; a matter of memory, not of results.
+#: Entries after which a worker's memo, or its automaton, starts anew; a matter of memory, not of results.
 MEMO_ENTRIES = 400_000
-#: Words beyond this length are scored alone, off the trie, so that a trie stays small.
-TRIE_WORD = 200
+#: One unit of score in a weight, whose lower part counts tokens; beyond any word's number of tokens.
+TOKEN = 1 << 32
 
-_VOCABULARIES: dict[str, tuple[dict[str, int], int]] = {}
+_VOCABULARIES: dict[str, Automaton] = {}
 _MEMO: dict[str, dict[str, int]] = {}
 
 
-def vocabulary(path: str) -> tuple[dict[str, int], int]:
-    """Piece -> integer score, and the longest piece, from a sentencepiece model file."""
-    if path not in _VOCABULARIES:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        normal = [i for i in range(sp.get_piece_size())
-                  if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        scores = {sp.id_to_piece(i): round(-math.log(r + 2) * SCALE) for r, i in enumerate(normal)}
-        _VOCABULARIES[path] = scores, max(map(len, scores), default=1)
-    return _VOCABULARIES[path]
-
-
-def _step(path: list[tuple[int, int]], text: str, end: int, scores: dict[str, int], longest: int) -> tuple[int, int]:
-    """Best (score, -tokens) of text[:end], given those of every shorter prefix in `path`."""
-    ch = text[end - 1]
-    width = len(ch.encode("utf-8", "surrogatepass"))
-    best = None
-    for start in range(max(0, end - longest), end):
-        s = scores.get(text[start:end])
-        if s is not None:
-            before = path[start]
-            found = (before[0] + s, before[1] - 1)
-            if best is None or found > best:
-                best = found
-    if best is None or ch not in scores:
-        before = path[end - 1]
-        fallback = (before[0] + round(UNKNOWN_BYTE * SCALE) * width, before[1] - width)
-        best = fallback if best is None else max(best, fallback)
-    return best
-
-
-def count_word(word: str, scores: dict[str, int], longest: int) -> int:
-    """Tokens of one pre-token, without a trie."""
-    text, path = MARK + word, [(0, 0)]
-    for end in range(1, len(text) + 1):
-        path.append(_step(path, text, end, scores, longest))
-    return -path[-1][1]
-
-
-def count_words(words: set[str], scores: dict[str, int], longest: int) -> dict[str, int]:
-    """Token counts of distinct words: forward scores once for each node of their trie."""
-    child: dict[tuple[int, str], int] = {}
-    forward: list[tuple[int, int]] = [(0, 0)]
-    counts = {}
-    for word in words:
-        if len(word) > TRIE_WORD:
-            counts[word] = count_word(word, scores, longest)
-            continue
-        text, node, path = MARK + word, 0, [(0, 0)]
-        for end in range(1, len(text) + 1):
-            below = child.get((node, text[end - 1]))
-            if below is None:
-                below = child[node, text[end - 1]] = len(forward)
-                forward.append(_step(path, text, end, scores, longest))
-            node = below
-            path.append(forward[node])
-        counts[word] = -forward[node][1]
+def vocabulary(path: str) -> dict[str, int]:
+    """Piece -> integer score, from a sentencepiece model file."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    normal = [i for i in range(sp.get_piece_size())
+              if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    return {sp.id_to_piece(i): round(-math.log(r + 2) * SCALE) for r, i in enumerate(normal)}
+
+
+class Automaton:
+    """The vocabulary's pieces that end at a place of a text, found by one look-up a character.
+
+    A state is the longest end of the text read so far that begins some piece.  `move[state + ch]` holds the next state
+    and the pieces that end there, each as (characters, weight); made when first met.  A weight holds a piece's score in
+    its upper part and one token in its lower part, so sums compare by score, then by fewer tokens.
+    """
+
+    def __init__(self, scores: dict[str, int]):
+        self.weights = {p: s * TOKEN - 1 for p, s in scores.items()}
+        self.begins = {p[:n] for p in scores for n in range(1, len(p) + 1)}
+        self.move: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
+
+    def enter(self, seen: str) -> tuple[str, tuple[tuple[int, int], ...]]:
+        """Make the entry for a state and the character read after it."""
+        if len(self.move) >= MEMO_ENTRIES:
+            self.move.clear()
+        ends = [(len(seen) - i, w) for i in range(len(seen)) if (w := self.weights.get(seen[i:])) is not None]
+        ch = seen[-1]
+        if ch not in self.weights:
+            width = len(ch.encode("utf-8", "surrogatepass"))
+            ends.append((1, width * (round(UNKNOWN_BYTE * SCALE) * TOKEN - 1)))
+        state = next((seen[i:] for i in range(len(seen)) if seen[i:] in self.begins), "")
+        found = self.move[seen] = state, tuple(ends)
+        return found
+
+
+def count_words(words: set[str], scores: dict[str, int] | Automaton) -> dict[str, int]:
+    """Token counts of distinct words: forward scores once for each node of their trie.
+
+    Sorted words meet the trie's nodes depth first, so only the nodes from the root to the current word are held: the
+    automaton's state and the best sum at each.  A word goes on where it leaves the path of the one before.
+    """
+    pieces = scores if isinstance(scores, Automaton) else Automaton(scores)
+    move, enter = pieces.move, pieces.enter
+    counts: dict[str, int] = {}
+    before = ""
+    states, forward = [""], [0]
+    for word in sorted(words):
+        text = MARK + word
+        shared = 0
+        for a, b in zip(text, before):
+            if a != b:
+                break
+            shared += 1
+        del states[shared + 1:], forward[shared + 1:]
+        state = states[-1]
+        for ch in text[shared:]:
+            found = move.get(state + ch)
+            state, ends = found if found is not None else enter(state + ch)
+            best = None
+            for back, weight in ends:
+                total = forward[-back] + weight
+                if best is None or total > best:
+                    best = total
+            states.append(state)
+            forward.append(best)
+        counts[word] = -forward[-1] % TOKEN
+        before = text
     return counts
 
 
@@ -104,7 +117,9 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """Per row of `docs`: id, n_words, n_tokens.  Map-only: no row leaves its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores, longest = vocabulary(model_path)
+        if model_path not in _VOCABULARIES:
+            _VOCABULARIES[model_path] = Automaton(vocabulary(model_path))
+        pieces = _VOCABULARIES[model_path]
         memo = _MEMO.setdefault(model_path, {})
         for batch in batches:
             for piece in row_slices(batch, "text"):
@@ -114,7 +129,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                     memo.clear()
                     new = {w for words in split for w in words}
                 named = {w: w.decode("utf-8", "replace") for w in new}
-                counted = count_words(set(named.values()), scores, longest)
+                counted = count_words(set(named.values()), pieces)
                 memo.update((w, counted[s]) for w, s in named.items())
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("id"), pa.array([len(words) for words in split], pa.int64()),
