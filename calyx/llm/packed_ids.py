@@ -45,7 +45,7 @@ MAGIC = b"PFOR"
 #: Entries after which a worker's memo of encoded units starts anew; a matter of memory, not of results.
 MEMO_ENTRIES = 1_000_000
 #: Distinct units encoded as one text.
-JOINED = 500
+JOINED = 128
 
 
 # ---- encoding ---------------------------------------------------------------
@@ -98,7 +98,7 @@ class UnitEncoder:
         self.begins[[i for t, i in vocab.items() if t[:1] in gap]] = True
 
     def _learn(self, units: list[str]) -> None:
-        found = self.tokenizer.encode_batch(units, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
         self.memo.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(units, found, strict=True))
 
     def _learn_plain(self, units: list[str]) -> None:
@@ -106,7 +106,7 @@ class UnitEncoder:
         such a character are the units' first ones."""
         for lo in range(0, len(units), JOINED):
             part = units[lo:lo + JOINED]
-            ids = np.array(self.tokenizer.encode("".join(u if u[0] == "\n" else " " + u for u in part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(u if u[0] == "\n" else " " + u for u in part)], add_special_tokens=False)[0].ids, "<u4")
             edge = np.flatnonzero(self.begins[ids])
             if len(edge) != len(part):
                 raise ValueError("a unit's first token doesn't begin with its white space")
@@ -206,7 +206,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = unit_encoder(tokenizer_path), TaskContext.get().partitionId()
-        number, start, held, names, lengths = 0, 0, [], [], []
+        number, start, size, held, names, lengths = 0, 0, 0, [], [], []
 
         def segment() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), "<u4")
@@ -223,9 +223,10 @@ def write_packed(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
                     held.append(ids + end)
                     names.append(name)
                     lengths.append(len(held[-1]) // 4)
-                    if sum(lengths) >= SEGMENT_IDS:
+                    size += lengths[-1]
+                    if size >= SEGMENT_IDS:
                         yield segment()
-                        number, start = number + 1, start + sum(lengths)
+                        number, start, size = number + 1, start + size, 0
                         held, names, lengths = [], [], []
         if held:
             yield segment()
@@ -237,9 +238,6 @@ def write_packed(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
 
 
 
-
-
-
 def shard_starts(segments: DataFrame) -> DataFrame:
     """Per shard: ids of all shards before it.  One row for each shard, and there are as many shards as partitions written."""
     before = Window.partitionBy().orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
