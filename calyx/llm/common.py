@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """`docs` with the columns other than `used` under names of their own, which clash with none that an operator adds."""
+    return docs.toDF(*[c if c in used else f"aside_{i}" for i, c in enumerate(docs.columns)])
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a whole text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -18,7 +18,8 @@ has its objects' entries of all lists.
 Queries are given rows of the table itself; their own row is no candidate.
 Vectors that are null, empty or hold null or non-finite components, and rows
 without an id, take no part; zero vectors do.  Repeated rows count once.  Ties go
-to the smaller id.  Scores are 64-bit; components beyond 2**26 are out of range.
+to the smaller id.  Scores are 64-bit; a component beyond
+2**16 is an error.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ LISTS = 2
 #: Scores held at once in a task: queries x objects.
 CELLS = 1 << 21
 EXACT_DOUBLE = 1 << 53
+#: Largest component: 2,048 products of such, times 1,024 each, stay below 2**63.
+LARGEST = 1 << 16
 
 
 def parts_of(dim: int) -> list[slice]:
@@ -111,7 +114,8 @@ def _above(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def top_products(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per query: query_id, rank (from 1), vec_id, score (long)."""
     rows = vectors.usable(table, id_col, vector_col, nonzero=False)
-    rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x * 1024).cast("double")))
+    rows = rows.withColumn("v", F.transform("v", lambda x: F.when(F.abs(x) <= LARGEST, F.floor(x * 1024).cast("double")).otherwise(
+        F.raise_error(F.lit(f"a component beyond {LARGEST} leaves the range of 64-bit scores")))))
     lists = [f"e{j}" for j in range(LISTS)]
     schema = "query_id long, vec_id long, " + ", ".join(f"{e} long" for e in lists)
 

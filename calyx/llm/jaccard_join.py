@@ -252,6 +252,6 @@ def one_of_each_group(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """`docs` less all but one document of each group: the one with the smallest id stays (of rows alike in id, one)."""
     groups = jaccard_groups(docs, n, percent)
     keep = groups.where(F.col("node").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
     nulls = kept.where("doc_id is null")
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nulls)

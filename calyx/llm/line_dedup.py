@@ -19,7 +19,8 @@ Lines are compared by 128-bit fingerprints.  Hot lines: intervals are counted
 before the shuffle, and the join that returns their names can be split by Spark.
 Null texts have no lines and stay null; empty texts stay.  Rows alike in id and
 text are one place and are treated alike; a null id sorts first.  Further
-columns are ignored.
+columns are ignored and kept, whatever their names; those called line_total or
+line_removed are replaced by the operator's.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calyx.llm.common import WORD, written
+from calyx.llm.common import WORD, set_aside, written
 
 MIN_LINES = 2
 LONG_LINE = 8
@@ -99,14 +100,18 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LO
     gone = written(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone_lines")), "lines-gone")
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone_lines")
     text = F.col(text_col).cast("string")
-    both = docs.withColumn("line_text_hash", text_key(text)).join(
+    new = ("line_total", "line_removed")
+    plain = set_aside(docs.drop(*new), id_col, text_col)
+    both = plain.withColumn("line_text_hash", text_key(text)).join(
         gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.col("line_text_hash") == F.col("gone_hash")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
-    columns = [F.when(F.col("gone_lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    columns = [F.when(F.col("gone_lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c).alias(name)
+               for c, name in zip(plain.columns, docs.drop(*new).columns, strict=True)]
+
     def count(items: Column) -> Column:  # size(null) is -1 or null, by a session setting
         return F.when(items.isNull(), 0).otherwise(F.size(items)).cast("long")
 
-    return both.select(*columns, count(F.split(text, "\n")).alias("line_total"), count(F.col("gone_lines")).alias("line_removed"))
+    return both.select(*columns, count(F.split(text, "\n")).alias(new[0]), count(F.col("gone_lines")).alias(new[1]))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:

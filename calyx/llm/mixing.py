@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calyx.llm.common import word_count, written
+from calyx.llm.common import set_aside, word_count, written
 
 SEED = "mix-1"
 #: Quality weight of a document by its mean word length in characters: inside the range 1, else LOW_QUALITY.
@@ -108,7 +108,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself: rows of `docs`, each as often as it is taken."""
     taken = mix(docs, weights, share, cap).where("copies > 0").groupBy("row_hash").agg(F.sum("copies").cast("int").alias("mix_copies"))
-    named = docs.withColumn("mix_row_hash", F.xxhash64(*docs.columns)).dropDuplicates(["mix_row_hash"])
+    plain = set_aside(docs)
+    named = plain.withColumn("mix_row_hash", F.xxhash64(*plain.columns)).dropDuplicates(["mix_row_hash"])
     return (named.join(taken.withColumnRenamed("row_hash", "mix_row_hash"), "mix_row_hash")
             .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-            .select(*docs.columns))
+            .select(*plain.columns).toDF(*docs.columns))

@@ -33,6 +33,8 @@ RELAX = 1.0
 CELLS = 1 << 21
 #: Slack for the rounding of distances when a bound is compared.
 ROUNDING = 1e-9
+#: Stands where no neighbour was found.
+NO_ID = np.iinfo(np.int64).max
 
 
 def distances(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -87,9 +89,10 @@ class Tree:
             return cls(f["ids"], f["points"], f["nodes"], f["bounds"])
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances), queries x k, nearest first; places without a neighbour have distance inf."""
+        """(ids, distances), queries x k, nearest first; places without a neighbour have NO_ID and
+        distance inf, as have neighbours whose distance is beyond the doubles' range."""
         self.best = np.full((len(queries), k), np.inf)
-        self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.found = np.full((len(queries), k), NO_ID)
         self.query_ids, self.queries, self.k, self.relax = query_ids, queries, k, relax
         self.measured = 0
         if len(self.ids) and len(queries):
@@ -106,7 +109,7 @@ class Tree:
         if len(near):
             w = who[near]
             all_d = np.concatenate([self.best[w], seen[near]], axis=1)
-            all_i = np.concatenate([self.found[w], np.where(np.isinf(seen[near]), np.iinfo(np.int64).max, ids[near])], axis=1)
+            all_i = np.concatenate([self.found[w], np.where(ids[near] == self.query_ids[w, None], NO_ID, ids[near])], axis=1)
             order = np.lexsort((all_i, all_d), axis=1)[:, :self.k]
             self.best[w], self.found[w] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
         return d
@@ -119,6 +122,8 @@ class Tree:
         d = self._take(who, lo, lo + 1)[:, 0]
         near_lo, near_hi, far_lo, far_hi = self.bounds[node]
         floor = {inner: np.maximum(d - near_hi, near_lo - d), outer: np.maximum(d - far_hi, far_lo - d)}
+        # A distance beyond the doubles' range bounds nothing.
+        floor = {child: np.where(np.isfinite(least), least, 0.0) for child, least in floor.items()}
         first_in = floor[inner] <= floor[outer]
         for child, chosen in ((inner, first_in), (outer, ~first_in), (inner, ~first_in), (outer, first_in)):
             chosen = chosen & (self.relax * floor[child] * (1 - ROUNDING) - ROUNDING <= self.best[who, -1])
@@ -145,7 +150,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, relax: float = RELA
             for shard, block in zip(frame["shard_data"], frame["block_data"], strict=True):
                 t, q = Tree.load(shard), Tree.load(block)
                 ids, d = t.search(q.ids, q.points, k, relax)
-                real = np.isfinite(d)
+                real = (ids != NO_ID) | np.isfinite(d)
                 yield pd.DataFrame({"query_id": np.repeat(q.ids, real.sum(1)), "vec_id": ids[real], "score": d[real]})
 
     found = (vectors.grid(shards, queries).select("shard_data", "block_data")

@@ -6,11 +6,15 @@ import re
 from pyspark.sql import types as T
 
 SF = "/root/testdata/sf0.001"
+#: Names that operators use inside, as further columns.
+CLASHES = ["size", "rank", "key", "node", "line", "n_tokens", "target", "gone_lines", "gone_id", "gone_hash", "line_total",
+           "line_removed", "line_text_hash", "mix_copies", "mix_copy", "mix_row_hash", "row_hash", "lm_lang", "lm_cost", "lm_limit",
+           "kept_id", "comp", "size_band"]
+EXTRA = ["z"] * len(CLASHES)
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
-    # columns whose names operators use inside
-    *[T.StructField(c, T.StringType()) for c in ("size", "rank", "key", "node", "line", "n_tokens", "target")]])
+    *[T.StructField(c, T.StringType()) for c in CLASHES]])
 
 
 def rows():
@@ -30,9 +34,9 @@ def rows():
     out = []
     for i, t in enumerate(texts):
         src = None if i % 11 == 5 else ("hot" if i % 3 == 0 else f"s{i % 4}")
-        out.append((i, t, None if i % 13 == 4 else ("en" if i % 2 else "fr"), src, len(t or ""), *["z"] * 7))
-    out.append((7, base, "en", "hot", len(base), *["z"] * 7))  # a repeated id
-    out.append((None, shared + " " + text(5), "en", "s1", 0, *["z"] * 7))  # no id
+        out.append((i, t, None if i % 13 == 4 else ("en" if i % 2 else "fr"), src, len(t or ""), *EXTRA))
+    out.append((7, base, "en", "hot", len(base), *EXTRA))  # a repeated id
+    out.append((None, shared + " " + text(5), "en", "s1", 0, *EXTRA))  # no id
     return out
 
 

@@ -4,7 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from cases import SF, collect, docs, rows, words
+from cases import EXTRA, SF, collect, docs, rows, words
 
 from calyx.llm import jaccard_join, line_dedup, queries, substring_dedup
 from calyx.llm.components import components
@@ -60,7 +60,7 @@ def chains():
         for step in range(25):
             out.append((len(out), " ".join(w)))
             w = w[int(rng.integers(1, 3)):] + [f"n{c}_{step}_{i}" for i in range(int(rng.integers(1, 3)))]
-    return [(i, t, "en", "s", 0, *["z"] * 7) for i, t in out]
+    return [(i, t, "en", "s", 0, *EXTRA) for i, t in out]
 
 
 @pytest.mark.parametrize("every", [1, 16])
@@ -155,7 +155,7 @@ def test_line_query(spark):
 def test_line_columns_stay(spark):
     given = docs(spark)
     out = line_dedup.dedup_lines(given)
-    assert out.columns == [*given.columns, "line_total", "line_removed"] and out.count() == given.count()
+    assert out.columns == [*[c for c in given.columns if c not in ("line_total", "line_removed")], "line_total", "line_removed"] and out.count() == given.count()
 
 
 def test_repeated_runs(spark):
@@ -212,7 +212,7 @@ def test_wavelet_rank():
 def test_lines_of_rows_without_id(spark):
     """Rows without an id are cleaned of repeated runs like others, and the first of them is the earliest copy."""
     given = [(None, "a b\nc d\nown one"), (None, "a b\nc d\nown two"), (0, "a b\nc d\nown three")]
-    frame = docs(spark, [(i, t, "en", "s", 0, *["z"] * 7) for i, t in given])
+    frame = docs(spark, [(i, t, "en", "s", 0, *EXTRA) for i, t in given])
     got = sorted(r["text"] for r in line_dedup.dedup_lines(frame).collect())
     assert sum(t.startswith("a b\nc d\n") for t in got) == 1 and "own three" in got
     assert {r["doc_id"] for r in line_dedup.removed_lines(frame).collect()} == {None, 0}
@@ -224,7 +224,7 @@ def test_untouched_documents_have_no_line_removed(spark, ansi):
     before = spark.conf.get("spark.sql.ansi.enabled")
     spark.conf.set("spark.sql.ansi.enabled", ansi)
     try:
-        frame = docs(spark, [(i, t, "en", "s", 0, *["z"] * 7) for i, t in enumerate([None, "", " \n ", "one"])])
+        frame = docs(spark, [(i, t, "en", "s", 0, *EXTRA) for i, t in enumerate([None, "", " \n ", "one"])])
         assert collect(line_dedup.dedup_lines(frame), "doc_id", "line_total", "line_removed") == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 1, 0)]
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)

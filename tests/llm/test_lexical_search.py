@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from cases import SF, collect, docs, rows
+from cases import EXTRA, SF, collect, docs, rows
 
 from calyx.llm import lexical_search as ls
 from calyx.llm import queries
@@ -53,7 +53,7 @@ def test_search(spark, k, limit):
 def test_empty_tables(spark):
     items, none = spark.createDataFrame(item_rows(), ITEMS), spark.createDataFrame([], ITEMS)
     assert ls.search(docs(spark, []), items).count() == 0 == ls.search(docs(spark), none).count()
-    assert ls.search(docs(spark, [(1, None, None, None, 0, *["z"] * 7)]), items).count() == 0
+    assert ls.search(docs(spark, [(1, None, None, None, 0, *EXTRA)]), items).count() == 0
 
 
 def test_query(spark):

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from cases import collect, docs, rows
+from cases import EXTRA, collect, docs, rows
 
 from calyx.llm import phrases
 
@@ -44,7 +44,7 @@ def test_collocations(spark, least, top):
 
 def test_hot_pairs_and_small_groups(spark, monkeypatch):
     """With pairs routed by all their words, and tasks that hold few entries, counts are the same."""
-    given = [(i, f"big deal {'alpha beta'[i % 3:]} x{i % 7}, big deal. new york city hall " * 3, ("en", None)[i % 2], "s", 0, *["z"] * 7) for i in range(90)] + rows()
+    given = [(i, f"big deal {'alpha beta'[i % 3:]} x{i % 7}, big deal. new york city hall " * 3, ("en", None)[i % 2], "s", 0, *EXTRA) for i in range(90)] + rows()
     for name, value in (("HOT", 50), ("HELD", 40), ("SMALL", 4), ("GROUP", 64), ("SLICE", 500)):
         monkeypatch.setattr(phrases, name, value)
     assert collect(phrases.collocations(docs(spark, given), 5, 2000), *COLUMNS) == brute(given, 5, 2000)
@@ -52,7 +52,7 @@ def test_hot_pairs_and_small_groups(spark, monkeypatch):
 
 def test_empty(spark):
     assert phrases.collocations(docs(spark, [])).count() == 0
-    assert phrases.collocations(docs(spark, [(1, None, None, None, 0, *["z"] * 7), (2, "", "en", None, 0, *["z"] * 7), (None, " . ,", "en", None, 0, *["z"] * 7)])).count() == 0
+    assert phrases.collocations(docs(spark, [(1, None, None, None, 0, *EXTRA), (2, "", "en", None, 0, *EXTRA), (None, " . ,", "en", None, 0, *EXTRA)])).count() == 0
 
 
 @pytest.mark.parametrize("small", [1, 64])
