@@ -183,6 +183,28 @@ class RandomFourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWri
         return df.withColumn(self.getOrDefault(self.outputCol), array_to_vector(project(arr)))
 
 
+class FourierKernel(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Random Fourier features whose gamma comes from the rows it is fitted on: a number, or 'scale' (1 / (p Var)) or
+    'auto' (1 / p)."""
+
+    inputCol = Param(Params._dummy(), "inputCol", "vector input", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "vector output", TypeConverters.toString)
+    gamma = Param(Params._dummy(), "gamma", "'scale', 'auto' or a number", TypeConverters.toString)
+    nComponents = Param(Params._dummy(), "nComponents", "D", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, inputCol="features", outputCol="rff", gamma="scale", nComponents=300):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol, gamma=gamma, nComponents=nComponents)
+
+    def _fit(self, df: DataFrame) -> RandomFourierFeatures:
+        source, rule = self.getOrDefault(self.inputCol), self.getOrDefault(self.gamma)
+        p = len(df.select(vector_to_array(F.col(source)).alias("a")).first()["a"])
+        gamma = gamma_scale(df, source, p) if rule == "scale" else 1.0 / p if rule == "auto" else float(rule)
+        return RandomFourierFeatures(inputCol=source, outputCol=self.getOrDefault(self.outputCol), gamma=gamma,
+                                     nComponents=self.getOrDefault(self.nComponents), nFeatures=p, seed=SEED)
+
+
 def gamma_scale(df: DataFrame, features: str = "features", n_features: int | None = None) -> float:
     """gamma='scale' = 1 / (p * Var(X)) with Var over all entries of the matrix."""
     arr = df.select(F.explode(vector_to_array(F.col(features))).alias("v"))

@@ -134,25 +134,20 @@ def learning_curve(spark: SparkSession, estimator: Estimator, subsets: DataFrame
     return summarize_curve(spark, rows, "n_train")
 
 
-def grid_search_encoded(spark: SparkSession, preprocessor: Estimator, estimator: Estimator, param_maps: list,
+def encoded_fold_scores(spark: SparkSession, preprocessor: Estimator, estimator: Estimator, param_maps: list,
                         folded: DataFrame, metric: str = "roc_auc", n_folds: int = 5,
-                        parallelism: int = PARALLELISM, refit_maps: list | None = None):
-    """Grid search when the grid does not touch the encoder: per fold, fit the
-    preprocessor on the train part once, persist the encoded train/validation
-    rows, and fit every candidate on them with `fitMultiple`.  `refit_maps`: the
-    same candidates for the refit on all rows, where a parameter (a penalty)
-    depends on the number of rows.  Returns
-    (table like `grid_table`, best refitted PipelineModel-like pair)."""
+                        parallelism: int = PARALLELISM) -> list[list[float]]:
+    """Each candidate's score in every fold.  Per fold the preprocessor is fitted on the train part once, and all
+    candidates are fitted on the persisted encoded rows."""
     from pyspark import StorageLevel
-    from pyspark.ml import PipelineModel
     ev = evaluator(metric)
     scores = [[] for _ in param_maps]
     for f in range(n_folds):
         tr = folded.where(F.col("fold") != f)
-        va = folded.where(F.col("fold") == f)
         pre = preprocessor.fit(tr)
         tr_enc = pre.transform(tr).persist(StorageLevel.MEMORY_AND_DISK)
-        va_enc = pre.transform(va).persist(StorageLevel.MEMORY_AND_DISK)
+        va_enc = pre.transform(folded.where(F.col("fold") == f)).persist(StorageLevel.MEMORY_AND_DISK)
+
         def fit_eval(pm, tr_enc=tr_enc, va_enc=va_enc):
             return float(ev.evaluate(estimator.copy(pm).fit(tr_enc).transform(va_enc)))
 
@@ -160,6 +155,18 @@ def grid_search_encoded(spark: SparkSession, preprocessor: Estimator, estimator:
             scores[idx].append(sc)
         tr_enc.unpersist()
         va_enc.unpersist()
+    return scores
+
+
+def grid_search_encoded(spark: SparkSession, preprocessor: Estimator, estimator: Estimator, param_maps: list,
+                        folded: DataFrame, metric: str = "roc_auc", n_folds: int = 5,
+                        parallelism: int = PARALLELISM, refit_maps: list | None = None):
+    """Grid search when the grid does not touch the encoder.  `refit_maps`: the
+    same candidates for the refit on all rows, where a parameter (a penalty)
+    depends on the number of rows.  Returns
+    (table like `grid_table`, best refitted PipelineModel-like pair)."""
+    from pyspark.ml import PipelineModel
+    scores = encoded_fold_scores(spark, preprocessor, estimator, param_maps, folded, metric, n_folds, parallelism)
     means = [sum(s) / len(s) for s in scores]
     stds = [(sum((x - m) ** 2 for x in s) / len(s)) ** 0.5 for s, m in zip(scores, means)]
     best = max(range(len(means)), key=lambda i: (means[i], -i))  # first maximum in grid order

@@ -18,7 +18,7 @@ from calyx.operators import collinearity as C
 from calyx.operators import profile as P
 from calyx.operators import sampling as S
 from calyx.sources import fixtures as FX
-from calyx.sources.tables import drop_columns, load_table, require_columns
+from calyx.sources.tables import drop_columns, good_lines, load_table, require_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -53,6 +53,15 @@ def q_load_table(spark, sf):
     return load_table(spark, sf, "customer")
 
 
+@register("load_table_csv")
+def q_load_table_csv(spark, sf):
+    """The customer table, written as CSV and read with its declared schema."""
+    from calyx.operators.explain import scratch_path
+    from calyx.sources.sinks import write_table
+    path = write_table(load_table(spark, sf, "customer"), scratch_path(spark, "customer-csv"), "csv")
+    return good_lines(load_table(spark, sf, "customer", "csv", path=path))[0]
+
+
 @register("loan_base")
 def q_loan_base(spark, sf):
     return FX.loan_base(spark, sf)
@@ -469,7 +478,7 @@ def q_complete_rows(spark, sf):
     return ST.complete_rows(FX.loan_with_nulls(spark, sf))
 
 for _name, _fn in {
-    "run_summary": ST.lr_run_summary, "sink_roundtrip": ST.sink_roundtrip,
+    "run_summary": ST.lr_run_summary, "sink_roundtrip": lambda s, d: rounded(ST.sink_roundtrip(s, d)),
     "doc_quality": ST.doc_quality, "pca2_embeddings": ST.pca2_embeddings,
     "smote_embeddings": ST.smote_embeddings,
 }.items():

@@ -43,6 +43,7 @@ def r6(x: str) -> str:
 
 # ---- A ----
 q("load_table", [], "SELECT * FROM customer")
+q("load_table_csv", [], "SELECT * FROM customer")
 q("loan_base", ["loan_base"], "SELECT * FROM loan_base")
 q("require_columns", ["loan_base"], f"SELECT {', '.join(LOAN_FEATURES)} FROM loan_base")
 
@@ -335,6 +336,7 @@ q("unpivot_metrics", ["score_variants"],
 q("rank_models", ["score_variants"],
   f"SELECT {_MT_SEL}, ROW_NUMBER() OVER (ORDER BY f1 DESC, roc_auc DESC, recall DESC, variant) AS rank FROM mt",
   extra=_MT)
+q("sink_roundtrip", ["score_variants"], f"SELECT variant, {r6('f1')} AS f1_csv, {r6('f1')} AS f1_parquet FROM mt", extra=_MT)
 q("compare_variants", ["score_variants"], "\nUNION ALL\n".join(
     f"SELECT '{m}' AS metric, {r6(f'CAST(b.{m} AS DOUBLE)')} AS baseline, {r6(f'CAST(i.{m} AS DOUBLE)')} AS improved, "
     f"{r6(f'CAST(i.{m} AS DOUBLE) - CAST(b.{m} AS DOUBLE)')} AS delta "

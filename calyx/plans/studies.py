@@ -340,7 +340,7 @@ def coef_selector(spark, sf):
 
 
 def permutation_importance(spark, sf, n_repeats: int = 10):
-    _, model, prep = rf_fit(spark, sf, 50, 7)
+    _, model, prep = rf_fit(spark, sf)
     return XP.permutation_importance(model, prep.test, NUMERIC, n_repeats=n_repeats, seed=SEED)
 
 
@@ -350,15 +350,16 @@ def _folded_train(spark, sf, weights=False):
     return prep, S.kfold(prep.train, k=5, shuffle=False).persist()
 
 
-# The full search grids of the studies (the linear models' queries run a subset).
+# The full search grids of the studies.
 LR_GRID_C = (0.01, 0.05, 0.1, 0.5, 1, 2, 5, 10)
 DT_GRID = {"criterion": ("gini", "entropy"), "max_depth": (4, 5, 6, 7, 8, None), "min_samples_leaf": (1, 2, 5, 10),
            "class_weight": (None, "balanced")}
 RF_GRID = {"max_depth": (6, 7), "min_samples_leaf": (6, 8), "class_weight": (None, "balanced")}
 SVM_GRID_C = (0.1, 1, 10)
+SVM_GRID_GAMMA = ("scale", "auto", "0.01")
 
 
-def grid_search_lr(spark, sf, Cs=(0.1, 1.0), penalties=("l1", "l2")):
+def grid_search_lr(spark, sf, Cs=LR_GRID_C, penalties=("l1", "l2")):
     prep, folded = _folded_train(spark, sf)
     lr = M.logistic(1.0, "l2", 1.0, max_iter=100)
 
@@ -437,16 +438,20 @@ def grid_search_rf(spark, sf, grid: dict | None = None, n_trees: int = 200):
     return _candidate_table(spark, scores, "f1")
 
 
-def grid_search_svm(spark, sf, Cs=(0.1, 1.0)):
-    prep, folded = _folded_train(spark, sf, weights=True)
+def grid_search_svm(spark, sf, Cs=SVM_GRID_C, gammas=SVM_GRID_GAMMA):
+    """The whole SVM grid: linear, and RBF for every gamma (on its kernel features, made anew in each fold)."""
+    _, folded = _folded_train(spark, sf, weights=True)
     total_w = folded.agg(F.sum("weight")).first()[0]
-    svc = M.linear_svc(1.0, total_w, "weight", max_iter=50)
-
-    def maps(w):
-        return [{svc.regParam: 1.0 / (C * w)} for C in Cs]
-    table, _ = G.grid_search_encoded(spark, EN.preprocessor(None, NUMERIC, CATEGORICAL), svc, maps(total_w * 4 / 5),
-                                     folded, "f1", refit_maps=maps(total_w))
-    return table
+    scores = {}
+    for kernel, gamma in [("linear", None), *[("rbf", g) for g in gammas]]:
+        stages = EN.preprocessor(None, NUMERIC, CATEGORICAL).getStages()
+        if gamma:
+            stages = [*stages, M.FourierKernel(gamma=gamma)]
+        svc = M.linear_svc(1.0, total_w, "weight", max_iter=50, features="rff" if gamma else "features")
+        maps = [{svc.regParam: 1.0 / (C * total_w * 4 / 5)} for C in Cs]
+        found = G.encoded_fold_scores(spark, Pipeline(stages=stages), svc, maps, folded, "f1")
+        scores.update(((("kernel", kernel), ("C", C), ("gamma", gamma)), s) for C, s in zip(Cs, found, strict=True))
+    return _candidate_table(spark, scores, "f1")
 
 
 def best_params(spark, sf):
@@ -492,12 +497,23 @@ def validation_curve_rf(spark, sf, trees=FOREST_SIZES):
     return G.summarize_curve(spark, rows, "n_estimators")
 
 
-def learning_curve(spark, sf):
-    prep = prepare_loan(spark, sf)
-    folded = S.kfold(prep.train, k=5, shuffle=True, seed=SEED).persist()
-    subsets = S.learning_subsets(folded.select("id", "label", "fold"), fracs=(0.2, 0.6, 1.0)).persist()
-    est = Pipeline(stages=[raw_assembler(), M.random_forest(25, 7, "sqrt", 6)])
-    return G.learning_curve(spark, est, subsets, folded, "f1")
+# The shares of the train rows in the learning curves.
+LEARNING_SHARES = (0.2, 0.4, 0.6, 0.8, 1.0)
+
+
+def learning_curve(spark, sf, shares=LEARNING_SHARES, n_trees: int = 200):
+    """Scores of train and validation rows by train size: F1 of the forest, accuracy of the linear SVM."""
+    prep = prepare_loan(spark, sf, weights=True)
+    folded = S.kfold(prep.train, k=5, shuffle=True, seed=SEED).persist(StorageLevel.MEMORY_AND_DISK)
+    subsets = S.learning_subsets(folded.select("id", "label", "fold"), fracs=shares).persist(StorageLevel.MEMORY_AND_DISK)
+    total_w = folded.agg(F.sum("weight")).first()[0] * 4 / 5
+    forest = Pipeline(stages=[raw_assembler(), M.random_forest(n_trees, 7, "sqrt", 6)])
+    svm = Pipeline(stages=[*EN.preprocessor(None, NUMERIC, CATEGORICAL).getStages(), M.linear_svc(1.0, total_w, "weight")])
+    curves = [G.learning_curve(spark, est, subsets, folded, metric).withColumn("study", F.lit(study))
+              for study, est, metric in (("forest_f1", forest, "f1"), ("svm_accuracy", svm, "accuracy"))]
+    subsets.unpersist()
+    folded.unpersist()
+    return curves[0].unionByName(curves[1])
 
 
 def train_ratio_metrics(spark, sf, ratios=(0.5, 0.6, 0.7, 0.8)):

@@ -38,20 +38,36 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
+#: The column of lines that do not fit the schema, and how CSV files write timestamps.
+BAD_LINE = "bad_line"
+CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+
+
+def good_lines(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A CSV table's rows that fit the schema, and (bad_line) the lines that don't."""
+    return df.where(f"{BAD_LINE} is null").drop(BAD_LINE), df.where(f"{BAD_LINE} is not null").select(BAD_LINE)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str, fmt: str = "parquet",
-               header: bool = True) -> DataFrame:
-    """Read one table with its declared schema (parquet by default, CSV supported)."""
+               header: bool = True, path: str | None = None) -> DataFrame:
+    """Read one table with its declared schema, from parquet (by default) or CSV, at `path` or in `sf_dir`.
+
+    CSV is read as it comes: a field that does not fit its type is null, and the line is kept whole in BAD_LINE, which
+    is null for good lines.
+    """
     reader = spark.read
     schema = SCHEMAS.get(name)
     if fmt == "csv":
         if schema is None:
             raise ValueError(f"CSV read of {name!r} needs a declared schema")
-        return reader.schema(schema).option("header", header).csv(table_path(sf_dir, name).replace(".parquet", ".csv"))
-    df = reader.parquet(table_path(sf_dir, name))
+        lines = T.StructType([*schema.fields, T.StructField(BAD_LINE, T.StringType())])
+        return (reader.schema(lines).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE)
+                .option("timestampFormat", CSV_TIME).csv(path or table_path(sf_dir, name).replace(".parquet", ".csv")))
+    df = reader.parquet(path or table_path(sf_dir, name))
     if schema is not None:
         missing = [f.name for f in schema if f.name not in df.columns]
         if missing:
