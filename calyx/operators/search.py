@@ -25,6 +25,8 @@ from calyx.operators import evaluate as E
 from calyx.operators.models import margin, positive_probability
 
 PARALLELISM = 4
+#: Rows a task of an iterative fit should have at least: each iteration is a job, and small tasks cost more than their work.
+FIT_ROWS = 1 << 15
 
 
 def in_threads(spark: SparkSession, run: Callable, tasks: Sequence, parallelism: int = PARALLELISM) -> list:
@@ -142,11 +144,12 @@ def encoded_fold_scores(spark: SparkSession, preprocessor: Estimator, estimator:
     from pyspark import StorageLevel
     ev = evaluator(metric)
     scores = [[] for _ in param_maps]
+    parts = max(1, folded.count() // FIT_ROWS)
     for f in range(n_folds):
         tr = folded.where(F.col("fold") != f)
         pre = preprocessor.fit(tr)
-        tr_enc = pre.transform(tr).persist(StorageLevel.MEMORY_AND_DISK)
-        va_enc = pre.transform(folded.where(F.col("fold") == f)).persist(StorageLevel.MEMORY_AND_DISK)
+        tr_enc = pre.transform(tr).coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+        va_enc = pre.transform(folded.where(F.col("fold") == f)).coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
 
         def fit_eval(pm, tr_enc=tr_enc, va_enc=va_enc):
             return float(ev.evaluate(estimator.copy(pm).fit(tr_enc).transform(va_enc)))
