@@ -126,11 +126,13 @@ def learning_curve(spark: SparkSession, estimator: Estimator, subsets: DataFrame
     def run(key):
         s, i, n = key
         ids = subsets.where((F.col("cv_split") == s) & (F.col("size_index") == i)).select("id")
-        train = folded.join(ids, "id")
+        train = folded.join(ids, "id").coalesce(max(1, n // FIT_ROWS)).persist()
         valid = folded.where(F.col("fold") == s)
         model = estimator.fit(train)
-        return [(float(n), s, "train", float(_score_split(model, train, metric))),
-                (float(n), s, "validation", float(_score_split(model, valid, metric)))]
+        found = [(float(n), s, "train", float(_score_split(model, train, metric))),
+                 (float(n), s, "validation", float(_score_split(model, valid, metric)))]
+        train.unpersist()
+        return found
 
     rows = [r for rs in in_threads(spark, run, keys, parallelism) for r in rs]
     return summarize_curve(spark, rows, "n_train")
