@@ -20,13 +20,15 @@ from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, Logist
                                        RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
                              MLReadable, MLReader, MLWritable, MLWriter)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from calyx.operators.isotonic import isotonic_blocks
+
 SEED = 42
 
 
@@ -259,17 +261,12 @@ class PlattCalibrator(Estimator, DefaultParamsReadable, DefaultParamsWritable):
                                     inputCol=m, outputCol=self.getOrDefault(self.outputCol))
 
 
-def isotonic_calibrator(input_col: str = "margin") -> IsotonicRegression:
-    """Isotonic fit of label on the margin (linear between knots, clipped outside)."""
-    return IsotonicRegression(featuresCol=input_col, labelCol="label", predictionCol="score", isotonic=True)
-
+def isotonic_model(df: DataFrame, x: str = "score", label: str = "label") -> IsotonicRegressionModel:
+    """Isotonic fit of the label on x (linear between steps, clipped outside).
 
-def isotonic_fit_table(df: DataFrame, x: str = "score", label: str = "label"):
-    """Isotonic fit of the label on x, pre-aggregated to distinct x with
-    weights (exact: pooling equal inputs is what PAV does first), so the
-    driver-side merge of Spark's parallel PAV sees one row per distinct x.
-    Returns (fitted model, table (x, fitted) at the distinct x)."""
-    agg = df.groupBy(x).agg(F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
+    The steps come from `operators.isotonic`; Spark's model is fitted on the two
+    ends of each, so its driver-side merge sees steps and not scores."""
+    ends = isotonic_blocks(df, x, label).select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias(x),
+                                                F.col("fitted").alias("_y"), F.col("weight").alias("_w"))
     iso = IsotonicRegression(featuresCol=x, labelCol="_y", weightCol="_w", predictionCol="fitted", isotonic=True)
-    model = iso.fit(agg)
-    return model, model.transform(agg).select(x, "fitted")
+    return iso.fit(ends)

@@ -494,6 +494,7 @@ def q_doc_class_counts(spark, sf):
 
 # ---- H18 with an expression scorer (SQL-checkable) -----------------------------------
 from calyx.operators import explain as XPL  # noqa: E402
+from calyx.operators import isotonic as ISO  # noqa: E402
 
 PERM_FEATURES = ["income", "experience", "ccavg"]
 
@@ -513,9 +514,5 @@ def q_permutation_importance_expr(spark, sf):
 
 @register("isotonic_fit")
 def q_isotonic_fit(spark, sf):
-    """Isotonic calibration map of the mis-calibrated score (2-decimal bins) - F7 core."""
-    from calyx.operators import models as MD
-    sv = FX.score_variants(spark, sf).where(F.col("variant") == "LR_sqrt") \
-        .select("label", F.round("score", 2).alias("score"))
-    _, table = MD.isotonic_fit_table(sv, "score", "label")
-    return rounded(table)
+    """Isotonic calibration map of every score variant, on whole scores (F7 core)."""
+    return rounded(ISO.isotonic_fitted(FX.score_variants(spark, sf), "score", "label", ["variant"]))

@@ -465,10 +465,11 @@ perm AS (SELECT ex.id, ex.label, ex.segment, ex.f, ex.r,
 
 # ---- F7 isotonic fit: fitted_i = max_{j<=i} min_{k>=i} mean(y[j..k]) over distinct x ----
 q("isotonic_fit", ["score_variants"], f"""
-SELECT d.x AS score, {r6('MAX(mn)')} AS fitted FROM d JOIN (
-  SELECT t.i, s.j, MIN(s.m) AS mn FROM d t JOIN seg s ON s.j <= t.i AND s.k >= t.i GROUP BY t.i, s.j) z ON z.i = d.i
-GROUP BY d.x""", extra="""
-d AS (SELECT x, SUM(label) AS sy, COUNT(*) AS w, ROW_NUMBER() OVER (ORDER BY x) AS i
-      FROM (SELECT ROUND(score, 2) AS x, label FROM score_variants WHERE variant = 'LR_sqrt') GROUP BY x),
-c AS (SELECT i, sy, w, SUM(sy) OVER (ORDER BY i) AS csy, SUM(w) OVER (ORDER BY i) AS cw FROM d),
-seg AS (SELECT a.i AS j, b.i AS k, (b.csy - a.csy + a.sy) / (b.cw - a.cw + a.w) AS m FROM c a JOIN c b ON a.i <= b.i)""")
+SELECT variant, x AS score, {r6('MAX(mn)')} AS fitted FROM low GROUP BY variant, x""", extra="""
+d AS (SELECT variant, score AS x, SUM(label) AS sy, COUNT(*) AS w, ROW_NUMBER() OVER (PARTITION BY variant ORDER BY score) AS i
+      FROM score_variants GROUP BY variant, score),
+c AS (SELECT variant, x, i, sy, w, SUM(sy) OVER (PARTITION BY variant ORDER BY i) AS csy,
+             SUM(w) OVER (PARTITION BY variant ORDER BY i) AS cw FROM d),
+seg AS (SELECT a.variant, a.i AS j, b.i AS k, b.x, (b.csy - a.csy + a.sy) / (b.cw - a.cw + a.w) AS m
+        FROM c a JOIN c b ON a.variant = b.variant AND a.i <= b.i),
+low AS (SELECT variant, x, MIN(m) OVER (PARTITION BY variant, j ORDER BY k DESC) AS mn FROM seg)""")

@@ -173,7 +173,7 @@ def calibrated_scores(spark, sf, method: str = "isotonic", k: int = 5, part: str
         if method == "sigmoid":
             cal = M.PlattCalibrator(inputCol="margin", outputCol=f"_s{f}").fit(held)
         else:
-            cal, _ = M.isotonic_fit_table(held, "margin", "label")
+            cal = M.isotonic_model(held, "margin", "label")
             cal = cal.setFeaturesCol("margin").setPredictionCol(f"_s{f}")
         done = ["id", "label", "row", *[f"_s{i}" for i in range(f)]]
         margins = M.margin(m.transform(out.select(*done, "row.*"))).select(*done, "margin")
