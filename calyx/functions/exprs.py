@@ -81,3 +81,8 @@ def engineer_features(df: DataFrame) -> DataFrame:
         right_closed_bins("age", AGE_EDGES, AGE_LABELS).alias("age_bin"),
         right_closed_bins("income", INCOME_EDGES, INCOME_LABELS).alias("income_bin"),
     )
+
+
+def missing_names(cols: Sequence[str]) -> Column:
+    """Names of those of `cols` that are null in a row, in their order, joined by commas; '' if none is."""
+    return F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in cols])

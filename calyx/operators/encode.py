@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from calyx.operators.ranking import exact_quantiles
+from calyx.operators.wide_encode import WideOneHot
 
-# A drop-first encoder makes one column per category; beyond this many
-# categories use `onehot_full_stages` (sparse vectors) instead.
+# A drop-first encoder makes one column per category; a column with more
+# categories than this becomes one sparse vector instead.
 MAX_DENSE_CATEGORIES = 1000
 
 
@@ -125,6 +126,10 @@ def indicator_name(col: str, category) -> str:
     return f"{col}__{category}"
 
 
+def wide_name(col: str) -> str:
+    return f"{col}__wide"
+
+
 class DropFirstOneHotModel(_FittedColumnModel):
     """One 0/1 column per category except the first (sorted) one; unseen and
     NULL values give all zeros."""
@@ -141,21 +146,26 @@ class DropFirstOneHotModel(_FittedColumnModel):
 
 
 class DropFirstOneHot(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
+    """Fits a `DropFirstOneHotModel`; columns of more than MAX_DENSE_CATEGORIES
+    categories get a `WideOneHotModel` each, whose vector is named `<column>__wide`."""
+
     @keyword_only
     def __init__(self, inputCols=None):
         super().__init__()
         self._set(inputCols=inputCols or [])
 
-    def _fit(self, df: DataFrame) -> DropFirstOneHotModel:
-        stats = []
+    def _fit(self, df: DataFrame) -> Model:
+        narrow, stats, wide = [], [], []
         for c in self.getInputCols():
-            # the category list is checked to be small before it reaches the driver
-            n = df.agg(F.count_distinct(c)).first()[0]
-            if n > MAX_DENSE_CATEGORIES:
-                raise ValueError(f"{c}: {n} categories; use onehot_full_stages for wide categoricals")
-            cats = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).collect()]
-            stats.append(cats)  # numeric columns sort numerically, strings lexically
-        return DropFirstOneHotModel(inputCols=self.getInputCols(), stats=stats)
+            found = df.where(F.col(c).isNotNull()).select(c).distinct()
+            cats = [r[0] for r in found.limit(MAX_DENSE_CATEGORIES + 1).collect()]
+            if len(cats) > MAX_DENSE_CATEGORIES:
+                wide.append(WideOneHot(inputCol=c, outputCol=wide_name(c), dropFirst=True).fit(df))
+            else:
+                narrow.append(c)
+                stats.append(sorted(cats))  # numeric columns sort numerically, strings lexically
+        model = DropFirstOneHotModel(inputCols=narrow, stats=stats)
+        return PipelineModel([model, *wide]) if wide else model
 
 
 # ---- E5 full one-hot (sparse, any cardinality) --------------------------------------
@@ -227,7 +237,7 @@ class _DeferredAssembler(Estimator, DefaultParamsReadable, DefaultParamsWritable
 
     def _fit(self, df: DataFrame) -> _DeferredAssemblerModel:
         cats = set(self.getOrDefault(self.categorical))
-        ind = [c for c in df.columns if "__" in c and c.split("__")[0] in cats and not c.endswith(("__idx", "__ohe"))]
+        ind = [c for c in df.columns if c.startswith(tuple(f"{k}__" for k in cats)) and not c.endswith(("__idx", "__ohe"))]
         return _DeferredAssemblerModel(inputCols=self.getOrDefault(self.inputCols) + ind,
                                        outputCol=self.getOrDefault(self.outputCol))
 

@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calyx.functions.exprs import apply_threshold, clip_lower
+from calyx.functions.exprs import apply_threshold, clip_lower, missing_names
 from calyx.operators import encode as EN
 from calyx.operators import evaluate as E
 from calyx.operators import models as M
@@ -571,7 +571,7 @@ def batch_score(spark, sf, path: str | None = None, df: DataFrame | None = None)
 def complete_rows(df: DataFrame, cols=SCORE_COLUMNS, id_col: str = "id") -> DataFrame:
     """Per row: number of missing feature values and their names; complete rows
     go on to scoring, the others to a rejects table."""
-    missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in cols])
+    missing = missing_names(cols)
     n = sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0))
     return df.select(id_col, n.alias("n_missing"), missing.alias("missing_columns"),
                      F.when(n == 0, "complete").otherwise("rejected").alias("status"))
@@ -596,15 +596,16 @@ def validation_curve(spark, sf):
 
 
 def stream_score(spark, sf):
-    """Score the test split as a file stream with the saved pipeline."""
+    """The loan table, some of its values missing, as a file stream: complete rows are scored by the saved pipeline, the
+    others rejected with the names of what they lack."""
     from calyx.streaming.score_stream import run_to_completion, score_stream
-    path, _, prep = saved_model(spark, sf)
-    src = XP.scratch_path(spark, "stream-src")
-    prep.test.select("id", *SCORE_COLUMNS).write.mode("overwrite").parquet(src)
-    schema = spark.read.parquet(src).schema
-    out = XP.scratch_path(spark, "stream-out")
-    q = score_stream(spark, path, src, schema, SCORE_COLUMNS, XP.scratch_path(spark, "stream-ckpt"), out)
-    return run_to_completion(spark, q, out)
+    path, _, _ = saved_model(spark, sf)
+    src, ckpt, out, rejects = (XP.scratch_path(spark, f"stream-{n}") for n in ("src", "ckpt", "out", "rejects"))
+    FX.loan_with_nulls(spark, sf).select("id", *SCORE_COLUMNS).write.mode("overwrite").parquet(src)
+    q = score_stream(spark, path, src, spark.read.parquet(src).schema, SCORE_COLUMNS, ckpt, out, rejects)
+    scored, rejected = run_to_completion(spark, q, out, rejects)
+    scored = scored.withColumn("status", F.lit("scored")).withColumn("missing_columns", F.lit(""))
+    return scored.unionByName(rejected.withColumn("status", F.lit("rejected")), allowMissingColumns=True)
 
 
 def lr_run_summary(spark, sf):

@@ -82,12 +82,6 @@ def test_run_summary_nested(spark):
     assert "experience" in r.dropped_features or "age" in r.dropped_features
 
 
-def test_stream_score_matches_batch(spark):
-    s = ST.stream_score(spark, SF_SMALL).select("id", "Predicted Class").toPandas().sort_values("id")
-    prep = ST.prepare_loan(spark, SF_SMALL)
-    assert len(s) == prep.test.count()
-
-
 def test_smote_embeddings_balanced(spark):
     c = {(r.label, r.synthetic): r.n for r in ST.smote_embeddings(spark, SF_SMALL).collect()}
     assert c[(1, False)] + c.get((1, True), 0) == c[(0, False)]
