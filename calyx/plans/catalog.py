@@ -417,7 +417,7 @@ def _assembled(spark, sf):
 def q_assemble_features(spark, sf):
     from pyspark.ml.functions import vector_to_array
     _, out = _assembled(spark, sf)
-    return out.select("id", vector_to_array("features").alias("features"))
+    return rounded(out.select("id", F.posexplode(vector_to_array("features")).alias("idx", "value")))
 
 
 @register("feature_names")
@@ -492,6 +492,11 @@ def q_doc_class_counts(spark, sf):
                                              F.round(F.avg("chars_per_word"), 6).alias("mean_chars_per_word"))
 
 
+from calyx.plans.lr_study import lr_study  # noqa: E402
+
+REGISTRY["lr_study"] = lr_study
+
+
 # ---- H18 with an expression scorer (SQL-checkable) -----------------------------------
 from calyx.operators import explain as XPL  # noqa: E402
 from calyx.operators import isotonic as ISO  # noqa: E402

@@ -5,7 +5,7 @@ from __future__ import annotations
 from calyx.plans.catalog import (BOX_FEATURES, CONT_FEATURES, DUP_COLUMNS, HIGH_CORR_FEATURES,
                                  LEVEL_CANDIDATES, VIF3)
 from calyx.plans.sql_fixtures import with_ctes
-from calyx.sources.fixtures import LOAN_FEATURES
+from calyx.sources.fixtures import LOAN_FEATURES, LOAN_NUMERIC
 
 ORACLE: dict[str, str] = {}
 
@@ -473,3 +473,26 @@ c AS (SELECT variant, x, i, sy, w, SUM(sy) OVER (PARTITION BY variant ORDER BY i
 seg AS (SELECT a.variant, a.i AS j, b.i AS k, b.x, (b.csy - a.csy + a.sy) / (b.cw - a.cw + a.w) AS m
         FROM c a JOIN c b ON a.variant = b.variant AND a.i <= b.i),
 low AS (SELECT variant, x, MIN(m) OVER (PARTITION BY variant, j ORDER BY k DESC) AS mn FROM seg)""")
+
+
+# ---- E6, E7: assembled slots ----
+_SLOTS = """,
+clipped AS (SELECT * REPLACE (GREATEST(experience, 0) AS experience) FROM loan_base),
+st AS (SELECT """ + ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in LOAN_NUMERIC) + """
+       FROM (SELECT * REPLACE (GREATEST(experience, 0) AS experience) FROM train)),
+cats AS (SELECT segment, ROW_NUMBER() OVER (ORDER BY segment) AS pos FROM (SELECT DISTINCT segment FROM train))"""
+q("assemble_features", ["loan_base"], f"SELECT id, CAST(idx AS INT) AS idx, {r6('value')} AS value FROM (" + " UNION ALL ".join(
+    f"SELECT id, {i} AS idx, ({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END AS value FROM clipped, st"
+    for i, c in enumerate(LOAN_NUMERIC)) + f"""
+  UNION ALL SELECT id, {len(LOAN_NUMERIC)} + pos - 2, CASE WHEN l.segment = c.segment THEN 1e0 ELSE 0e0 END
+  FROM clipped l, cats c WHERE pos > 1)""", extra=_train_cte("loan_base") + _SLOTS)
+q("feature_names", ["loan_base"], "SELECT CAST(idx AS INT) AS idx, name FROM (" + " UNION ALL ".join(
+    f"SELECT {i} AS idx, '{c}' AS name" for i, c in enumerate(LOAN_NUMERIC)) + f"""
+  UNION ALL SELECT {len(LOAN_NUMERIC)} + pos - 2, 'segment__' || segment FROM cats WHERE pos > 1)""",
+  extra=_train_cte("loan_base") + _SLOTS)
+
+# ---- D7 on the embeddings: the smaller class grows to the size of the larger ----
+q("smote_embeddings", [], """
+SELECT label, false AS synthetic, n FROM sizes
+UNION ALL SELECT a.label, true, b.n - a.n FROM sizes a JOIN sizes b ON a.label <> b.label AND a.n < b.n""", extra="""
+sizes AS (SELECT CASE WHEN label = 0 THEN 1 ELSE 0 END AS label, COUNT(*) AS n FROM embeddings GROUP BY 1)""")
