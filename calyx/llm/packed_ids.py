@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,21 +117,50 @@ class UnitEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         easy = [self.by_unit and is_plain(t) for t in texts]
-        split = [t.replace("\n", " \n").split(" ") if e else units_of(t) if self.by_unit else [t] for t, e in zip(texts, easy, strict=True)]
-        whole = {u for units, e in zip(split, easy, strict=True) for u in (units[:1] if e else units)}
-        plain = set().union(*(units[1:] for units, e in zip(split, easy, strict=True) if e))
-        new, more = whole.difference(self.memo), plain.difference(self.plain)
+        split = [[] if e else units_of(t) if self.by_unit else [t] for t, e in zip(texts, easy, strict=True)]
+        plain = [t for t, e in zip(texts, easy, strict=True) if e]
+        words = pc.split_pattern(pc.replace_substring(pa.array(plain, pa.large_string()), "\n", " \n"), " ")
+        edges = words.offsets.to_numpy()
+        named = pc.dictionary_encode(words.flatten())
+        place, later = named.indices.to_numpy().copy(), np.ones(len(named), bool)
+        later[edges[:-1]] = False  # a text's first unit has no white space in front
+        leads = _strings(named.dictionary.take(named.indices.filter(pa.array(~later))))
+        used = np.zeros(len(named.dictionary), bool)
+        used[place[later]] = True
+        kept = _strings(named.dictionary.filter(pa.array(used)))
+        whole = {u for units in split for u in units}.union(leads)
+        new, more = whole.difference(self.memo), [u for u in kept if u not in self.plain]
         if len(self.memo) + len(self.plain) + len(new) + len(more) > MEMO_ENTRIES:
             self.memo.clear()
             self.plain.clear()
-            new, more = whole, plain
+            new, more = whole, kept
         if new:
             self._learn(list(new))
         if more:
-            self._learn_plain(list(more))
-        memo, of = self.memo, self.plain.__getitem__
-        return [memo[units[0]] + b"".join(map(of, units[1:])) if e else b"".join(map(memo.__getitem__, units))
-                for units, e in zip(split, easy, strict=True)]
+            self._learn_plain(more)
+        memo = self.memo
+        place[later] = (np.cumsum(used) - 1)[place[later]]
+        place[~later] = len(kept) + np.arange(len(leads))
+        found = iter(_gathered([*map(self.plain.__getitem__, kept), *map(memo.__getitem__, leads)], place, edges))
+        return [next(found) if e else b"".join(map(memo.__getitem__, units)) for units, e in zip(split, easy, strict=True)]
+
+
+def _strings(column: pa.Array) -> list[str]:
+    """As to_pylist, which makes an object of Arrow's for each value first."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gathered(parts: list[bytes], place: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """For each run edges[i]..edges[i + 1] of `place`: the parts (4 bytes an id) that it names, in a row."""
+    ids = np.frombuffer(b"".join(parts), "<u4")
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    start = np.cumsum(size) - size
+    n = size[place]
+    end = np.cumsum(n)
+    at = np.repeat(start[place] - (end - n), n)
+    at += np.arange(len(at))
+    raw, cut = ids[at].tobytes(), (4 * np.r_[0, end][edges]).tolist()
+    return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}

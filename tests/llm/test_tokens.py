@@ -150,3 +150,22 @@ def test_portions_of_units(sp, monkeypatch):
     texts = [r[1] or "" for r in rows()] + ["x" * 60 + " short " + "y" * 70]
     enc = pieces.Encoder(PIECES)
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == sp.encode(texts, add_bos=True, add_eos=True)
+
+
+def test_ids_of_many_plain_texts_are_looked_up_once_a_unit(monkeypatch):
+    """A batch's units are found in the memo once each, however often they come, and ids are those of whole texts."""
+    enc = packed_ids.UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["the cat sat", "a cat\nthe cat", "", "  two  gaps ", "cat", "the cat " * 500 + "end", "x\ty z", "\n"]
+    want = [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return dict.__getitem__(self, key)
+
+    enc.plain = Counted()
+    assert enc.encode(texts) == want and Counted.asked < 20 and enc.encode([]) == []
+    monkeypatch.setattr(packed_ids, "MEMO_ENTRIES", 2)
+    assert enc.encode(texts) == want == enc.encode(texts)
