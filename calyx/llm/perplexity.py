@@ -242,7 +242,8 @@ def sent(model: DataFrame) -> Broadcast | None:
 
 def with_cost(docs: DataFrame, model: DataFrame, text_col: str = "text", lang_col: str = "lang", shared: Broadcast | None = None) -> DataFrame:
     """`docs` with lm_lang (whose model is used), lm_bytes and lm_cost (-ln p of the text; null without a model).
-    shared: the model, if it has been sent already."""
+    shared: the model, if it has been sent already.  Columns of `docs` of these names are replaced."""
+    docs = docs.drop("lm_lang", "lm_bytes", "lm_cost")
     shared = shared or sent(model)
     if shared is None:
         return cost_by_joins(docs, model, text_col, lang_col)
@@ -284,6 +285,7 @@ def _with_text(rows: DataFrame, text_col: str) -> tuple[DataFrame, str]:
 
 def cost_by_joins(docs: DataFrame, model: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """As with_cost, for a model of any size: distinct trigrams of each document joined with the model's shards."""
+    docs = docs.drop("lm_lang", "lm_bytes", "lm_cost")
     known = model.select(F.col("lang").alias("lm_lang")).distinct()
     key = F.xxhash64(*docs.columns)
     rows = docs.withColumn("lm_key", key).withColumn("lm_named", language(F.col(lang_col)))
@@ -326,6 +328,7 @@ def with_worst(docs: DataFrame, model: DataFrame, toxic: DataFrame, text_col: st
                shared: tuple[Broadcast | None, Broadcast | None] = (None, None)) -> DataFrame:
     """`docs` with lm_worst: the largest sum of ln p(toxic) - ln p(trusted) over WINDOW bytes in a row; null without bytes
     or a model.  Models over TABLE_ROWS are taken language by language, each with that of all languages."""
+    docs = docs.drop("lm_worst")
     rows, source = _with_text(docs.withColumn("lm_named", language(F.col(lang_col))), text_col)
     trusted_sent, toxic_sent = (s or sent(m) for s, m in zip(shared, (model, toxic), strict=True))
     if trusted_sent is not None and toxic_sent is not None:
@@ -340,6 +343,13 @@ def with_worst(docs: DataFrame, model: DataFrame, toxic: DataFrame, text_col: st
     return whole
 
 
+def _worst_sums(ratio: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The largest sum of `ratio` over WINDOW bytes in a row, for each text that has bytes."""
+    total, here = np.r_[0.0, np.cumsum(ratio)], np.arange(len(ratio))
+    sums = total[1:] - total[np.maximum(np.repeat(start, size), here + 1 - WINDOW)]
+    return np.maximum.reduceat(sums, start[size > 0])
+
+
 def _worst(rows: DataFrame, docs: DataFrame, source: str, trusted: Broadcast, toxic: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean, bad = trusted.value, toxic.value
@@ -353,9 +363,7 @@ def _worst(rows: DataFrame, docs: DataFrame, source: str, trusted: Broadcast, to
                     if not len(code):
                         continue
                     ratio = byte_costs(clean, lang if lang in clean else POOLED, code) - byte_costs(bad, lang if lang in bad else POOLED, code)
-                    total, here = np.r_[0.0, np.cumsum(ratio)], np.arange(len(code))
-                    sums = total[1:] - total[np.maximum(np.repeat(start, size), here + 1 - WINDOW)]
-                    worst[at[size > 0]] = np.maximum.reduceat(sums, start[size > 0])
+                    worst[at[size > 0]] = _worst_sums(ratio, start, size)
                 left = [c for c in piece.schema.names if c not in ("lm_named", "lm_text")]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in left), pa.array(worst, from_pandas=True)], names=[*left, "lm_worst"])
             _give_back()
@@ -365,6 +373,49 @@ def _worst(rows: DataFrame, docs: DataFrame, source: str, trusted: Broadcast, to
     return rows.mapInArrow(run, schema)
 
 
+def with_scores(docs: DataFrame, model: DataFrame, toxic: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                shared: tuple[Broadcast | None, Broadcast | None] = (None, None)) -> DataFrame:
+    """As with_worst after with_cost.  Models that are sent to tasks are held and applied by one worker a task: two in a
+    row are two processes, each with a model of its own, which stay with the executor for a minute."""
+    trusted_sent, toxic_sent = (s or sent(m) for s, m in zip(shared, (model, toxic), strict=True))
+    if trusted_sent is None or toxic_sent is None:
+        shared = trusted_sent, toxic_sent
+        return with_worst(with_cost(docs, model, text_col, lang_col, trusted_sent), model, toxic, text_col, lang_col, shared)
+    docs = docs.drop("lm_lang", "lm_bytes", "lm_cost", "lm_worst")
+    rows, source = _with_text(docs.withColumn("lm_named", language(F.col(lang_col))), text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clean, bad = trusted_sent.value, toxic_sent.value
+        for batch in batches:
+            for piece in row_slices(batch, source, SLICE):
+                own = [x if x in clean else POOLED for x in piece.column("lm_named").to_pylist()]
+                cost, worst = np.full(piece.num_rows, np.nan), np.full(piece.num_rows, np.nan)
+                lengths = np.zeros(piece.num_rows, np.int64)
+                work = pa.RecordBatch.from_arrays([piece.column("lm_named"), piece.column(source)], names=["lang", "text"])
+                for named, at, texts in _by_language(work):
+                    lengths[at] = size = np.array([len(t) for t in texts], np.int64)
+                    lang = named if named in clean else POOLED
+                    if lang not in clean:
+                        continue
+                    code, start = _codes(texts)
+                    paid = byte_costs(clean, lang, code)
+                    total = np.r_[0.0, np.cumsum(paid)]
+                    cost[at] = total[start + size] - total[start]
+                    if len(code) and bad:
+                        worst[at[size > 0]] = _worst_sums(paid - byte_costs(bad, named if named in bad else POOLED, code), start, size)
+                left = [c for c in piece.schema.names if c not in ("lm_named", "lm_text")]
+                yield pa.RecordBatch.from_arrays(
+                    [*(piece.column(c) for c in left), pa.array(own, pa.string()), pa.array(lengths), pa.array(cost, from_pandas=True),
+                     pa.array(worst, from_pandas=True)], names=[*left, "lm_lang", "lm_bytes", "lm_cost", "lm_worst"])
+            _give_back()
+
+    added = {"lm_lang": F.lit(""), "lm_bytes": F.lit(0).cast("long"), "lm_cost": F.lit(0.0), "lm_worst": F.lit(0.0)}
+    schema = docs.select("*", *[value.alias(name) for name, value in added.items()]).schema
+    for field in schema.fields[-len(added):]:
+        field.nullable = True
+    return rows.mapInArrow(run, schema)
+
+
 def score() -> Column:
     return F.col("lm_cost") / (F.col("lm_bytes") + PRIOR_BYTES)
 
@@ -374,8 +425,7 @@ def held_out_costs(texts: DataFrame, models: list[DataFrame], toxic: DataFrame,
     whole = None
     for out, model in enumerate(models[:FOLDS]):
         shared = sent(model)
-        rows = with_cost(texts.where(fold(F.col("text")) == out), model, lang_col="name", shared=shared)
-        rows = with_worst(rows, model, toxic, lang_col="name", shared=(shared, toxic_sent))
+        rows = with_scores(texts.where(fold(F.col("text")) == out), model, toxic, lang_col="name", shared=(shared, toxic_sent))
         part = written(rows.select("lang", "lm_bytes", "lm_cost", "lm_worst"), "kn-held-out")
         if shared is not None:
             shared.destroy()
@@ -409,7 +459,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     toxic_sent = sent(toxic)
     limits = thresholds(held_out_costs(texts, models, toxic, toxic_sent), quantile)
     model, shared = models[FOLDS], sent(models[FOLDS])
-    out = with_worst(with_cost(docs, model, shared=shared), model, toxic, shared=(shared, toxic_sent)).join(limits, "lm_lang", "left")
+    out = with_scores(docs, model, toxic, shared=(shared, toxic_sent)).join(limits, "lm_lang", "left")
     return out.withColumn("lm_keep", F.coalesce(score() <= F.col("lm_limit"), F.lit(True))).withColumn(
         "lm_clean", F.coalesce(F.col("lm_worst") <= F.col("lm_worst_limit"), F.lit(True)))
 

@@ -329,3 +329,19 @@ def test_pipeline_stages(spark):
         seen.append(frame.count())
     assert seen[0] <= table.count() and seen[1] <= seen[0] and seen[2] < seen[1]
     assert corpus_pipeline.run(spark, SF).count() == seen[3]
+
+
+def test_scores_in_one_pass_are_those_of_two(spark):
+    """Cost and worst window of a text come from one worker with one copy of each model, not from two in a row."""
+    given = [r for r in rows() if r[0] is not None]
+    good = [(("l:" + r[2]) if r[2] else "*", r[1]) for r in given if r[0] >= 8 and r[1] and r[2] != "fr"]
+    model = perplexity.train(spark.createDataFrame(good, "lang string, text string"))
+    toxic = perplexity.train(spark.createDataFrame([("l:en", "you grumblewort"), ("*", "grumble worts")], "lang string, text string"))
+    frame = docs(spark, given)
+    for bad in (toxic, toxic.limit(0)):
+        two = perplexity.with_worst(perplexity.with_cost(frame, model), model, bad)
+        one = perplexity.with_scores(frame, model, bad)
+        assert one.columns == two.columns and one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        close = [[(r["doc_id"], r["lm_lang"], r["lm_bytes"], *(x and pytest.approx(x, rel=1e-9, abs=1e-9) for x in (r["lm_cost"], r["lm_worst"])))
+                  for r in sorted(out.collect(), key=lambda r: (r["doc_id"], r["lm_bytes"], r["lm_lang"]))] for out in (one, two)]
+        assert close[0] == [tuple(v.expected if hasattr(v, "expected") else v for v in r) for r in close[1]]
