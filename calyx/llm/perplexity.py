@@ -1,13 +1,14 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model has one set of byte trigrams for each language, counted over all
+The model has one set of byte 5-grams for each language, counted over all
 trusted documents, and one over all languages together for documents without a
 language or in one that has no trusted text.  Counts, contexts and lower orders
-are tables sharded by (language, context) and joined with each other:
+are sharded by context and joined there with the documents' distinct n-grams
+(gram_shards):
 
-    p3(c|ab) = max(n(abc) - D, 0) / n(ab.) + g(ab) p2(c|b)
+    p5(e|abcd) = max(n(abcde) - D, 0) / n(abcd.) + g(abcd) p4(e|bcd)
 
-with p2 and p1 alike over the numbers of distinct preceding bytes, p0 = 1/256,
+with p4 to p1 alike over the numbers of distinct preceding bytes, p0 = 1/256,
 and three discounts per order and language from the counts of counts.  A byte of
 a document in a language costs -ln(OWN p(language) + (1 - OWN) p(all)): what a
 text says in another trusted language is no sign of junk.
@@ -19,9 +20,9 @@ document is scored for that by a model of the other FOLDS - 1 folds of trusted
 texts (folds by text hash, so copies share one): a model gives the text it was
 trained on better scores than any other.
 
-A trigram of bytes has at most 256 ** 2 contexts a language, so the finished
-model is bounded; up to TABLE_ROWS contexts it goes to all tasks as dense rows,
-and beyond that documents' trigram counts are joined with its shards.
+judge, quality_scores and good_documents score by these.  A single model of byte
+trigrams (train, train_folds) is a table of its own, which with_cost, with_worst
+and with_scores send to all tasks up to TABLE_ROWS contexts; cost_by_joins joins it.
 
 Toxic text reads like clean text but for a few words, so a second such model, of
 the documents labelled toxic, is held against the trusted one: a document is
@@ -45,6 +46,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calyx.llm import gram_shards
 from calyx.llm.common import row_slices, set_aside, written
 
 PRIOR_BYTES = 100
@@ -420,19 +422,6 @@ def score() -> Column:
     return F.col("lm_cost") / (F.col("lm_bytes") + PRIOR_BYTES)
 
 
-def held_out_costs(texts: DataFrame, models: list[DataFrame], toxic: DataFrame, toxic_sent: Broadcast | None) -> DataFrame:
-    """(lang, lm_bytes, lm_cost, lm_worst) of trusted texts (lang, text), each by the model without its fold; null where that is empty."""
-    whole = None
-    for out, model in enumerate(models[:FOLDS]):
-        shared = sent(model)
-        rows = with_scores(texts.where(fold(F.col("text")) == out), model, toxic, lang_col="name", shared=(shared, toxic_sent))
-        part = written(rows.select("lang", "lm_bytes", "lm_cost", "lm_worst"), "kn-held-out")
-        if shared is not None:
-            shared.destroy()
-        whole = part if whole is None else whole.unionByName(part)
-    return whole
-
-
 def thresholds(costs: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(lm_lang, lm_limit, lm_worst_limit): from held-out costs of trusted texts; documents without a language use those of all together."""
     good = costs.where("lm_cost is not null").withColumnRenamed("lang", "lm_lang")
@@ -452,14 +441,17 @@ def labelled_text(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
     return both.where("not toxic").drop("toxic"), both.where("toxic").drop("toxic")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """`docs` with lm_bytes, lm_cost, lm_limit and lm_keep (not junk), lm_worst, lm_worst_limit and lm_clean (not toxic)."""
-    texts, toxic = labelled_text(docs, labels)
-    models, toxic = train_folds(texts, toxic)
-    toxic_sent = sent(toxic)
-    limits = thresholds(held_out_costs(texts, models, toxic, toxic_sent), quantile)
-    model, shared = models[FOLDS], sent(models[FOLDS])
-    out = with_scores(docs, model, toxic, shared=(shared, toxic_sent)).join(limits, "lm_lang", "left")
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, text: bool = True) -> DataFrame:
+    """`docs` (without their text if text is False) with lm_bytes, lm_cost, lm_limit and lm_keep (not junk), lm_worst,
+    lm_worst_limit and lm_clean (not toxic)."""
+    body = F.col("text").cast("string")
+    keys = {"lm_id": F.col("doc_id").cast("string"), "lm_named": language(F.col("lang")), "lm_fold": fold(body), "lm_text": body.cast("binary")}
+    ids = trusted_ids(labels).withColumn("toxic", F.lit(False)).unionByName(toxic_ids(labels).withColumn("toxic", F.lit(True)))
+    out = gram_shards.scored(docs, keys, ids.select(F.col("doc_id").cast("string").alias("lm_id"), "toxic"), text, FOLDS, WINDOW, OWN, POOLED)
+    out = out.withColumn("text", F.col("lm_text").cast("string").cast(docs.schema["text"].dataType)) if text else written(out, "kn-scores")
+    held_out = out.where("lm_trusted").select(F.col("lm_named").alias("lang"), "lm_bytes", F.col("lm_fold_cost").alias("lm_cost"),
+                                              F.col("lm_fold_worst").alias("lm_worst"))
+    out = out.join(F.broadcast(thresholds(held_out, quantile)), "lm_lang", "left").drop("lm_text", "lm_named", "lm_trusted", "lm_fold_cost", "lm_fold_worst")
     return out.withColumn("lm_keep", F.coalesce(score() <= F.col("lm_limit"), F.lit(True))).withColumn(
         "lm_clean", F.coalesce(F.col("lm_worst") <= F.col("lm_worst_limit"), F.lit(True)))
 
@@ -467,7 +459,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, lang, n_bytes, perplexity (per byte), score, limit, keep (not junk), toxic_score, toxic_limit,
     toxic_keep (not toxic)."""
-    out = judge(docs.select("doc_id", "lang", "text"), labels)
+    out = judge(docs.select("doc_id", "lang", "text"), labels, text=False)
     return out.select("doc_id", "lang", F.col("lm_bytes").alias("n_bytes"),
                       F.exp(F.col("lm_cost") / F.greatest("lm_bytes", F.lit(1))).alias("perplexity"),
                       score().alias("score"), F.col("lm_limit").alias("limit"), F.col("lm_keep").alias("keep"),
