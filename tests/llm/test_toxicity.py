@@ -86,6 +86,17 @@ def brute_evidence(train, texts):
     return found
 
 
+def brute_ratio(train, texts):
+    """The mean log ratio of all chunks: excess over a margin that no chunk falls below, with the margin taken off again."""
+    low, margin = -1000, toxicity.MARGIN
+    try:
+        toxicity.MARGIN = low
+        sums = [e * math.sqrt(len(brute_chunks(t)) + toxicity.LENGTH) for e, t in zip(brute_evidence(train, texts), texts, strict=True)]
+    finally:
+        toxicity.MARGIN = margin
+    return [(s + low * len(brute_chunks(t))) / (len(brute_chunks(t)) + toxicity.LENGTH) for s, t in zip(sums, texts, strict=True)]
+
+
 def part(i):
     return zlib.crc32(str(i).encode()) % 5
 
@@ -113,6 +124,32 @@ def test_evidence_matches_brute_force(spark):
         assert got[i] == pytest.approx(w, abs=1e-4)
 
 
+def test_every_chunk_counts_in_the_log_ratio(spark, monkeypatch):
+    given = planted()
+    train = [(t, int(i >= 200)) for i, t in given]
+    texts = [(t, i) for i, t in given[::20]] + [("the cat sat", 900), (None, 901), ("", 902), ("z" * 300 + " grumble 日本", 903), ("x the", 904), ("a", 905), (" . ", 906)]
+    learned = spark.createDataFrame([(t, 2 * bad) for t, bad in train], "text string, kind int")
+    words = toxicity.lexicon(toxicity.node_counts(learned)).where("model = 1").drop("model")
+    want = brute_ratio(train, [t for t, _ in texts])
+    assert min(want) < -0.05 and max(want) > 0.5 and all(w for w, (t, _) in zip(want, texts, strict=True) if brute_chunks(t))
+    for split in (toxicity.SPLIT, 1):  # one split a task, and one a piece
+        monkeypatch.setattr(toxicity, "SPLIT", split)
+        rows = frame(spark, [(i, t) for t, i in texts]).select("doc_id", "text").repartition(3)
+        got = {r["doc_id"]: r["tox_ratio"] for r in toxicity.evidence(rows, words).collect()}
+        assert len(got) == len(texts)
+        for (_, i), w in zip(texts, want, strict=True):
+            assert got[i] == pytest.approx(w, abs=1e-4)
+
+
+def test_chunks_below_the_margin_move_the_score(spark):
+    given = planted()
+    labels = spark.createDataFrame(label_rows([(i, int(i >= 200)) for i, _ in given]), LABELS)
+    extra = [(5000, "the cat sat on the mat"), (5001, "a dog ran home")]
+    out = {r["doc_id"]: r for r in toxicity.toxicity(frame(spark, given + extra), labels).collect() if r["doc_id"] >= 5000}
+    assert out[5000]["evidence"] == out[5001]["evidence"] == 0 and out[5000]["predicted"] == out[5001]["predicted"] == 0
+    assert out[5000]["log_ratio"] != out[5001]["log_ratio"] and out[5000]["score"] != out[5001]["score"]
+
+
 def test_chunks_spell_every_word_whole():
     texts = [b"Idiot, you!", b"", "ça naïvement".encode(), b"a" * 100, b"\x00\x01 x"]
     code, text = toxicity.chunks(toxicity.Terms(texts))
