@@ -7,19 +7,22 @@ seed, which brings all places of a window into one shard.
 
 1. Seeds are counted over all documents.  A window that is in two documents has
    a seed that is in two, so passages of a seed seen once are left out, by a
-   bitmap of the repeated seeds when these fit BITS_MOST bits and by a join
-   otherwise.  A seed of HOT documents or more has its passages cut into single
-   windows, dealt by their own hash, so no seed gathers rows in one task.
-2. Equal passages become one class with the least doc_id that has it.
-3. A shard joins its classes' words into one sequence and builds its FM-index:
+   bitmap of the repeated seeds of BITS_MOST bits at most (a fuller one lets more
+   passages through and changes no result).  A seed of HOT documents or more has
+   its passages cut into single windows, dealt by their own hash, so no seed
+   gathers rows in one task.
+2. A task sends each shard its passages as one message of compressed columns: their
+   words as numbers in the message's own dictionary, their rows and places.
+3. A shard makes equal passages one class with the least doc_id that has it, joins
+   its classes' words into one sequence and builds its FM-index:
    suffixes sorted on WINDOW symbols and more by prefix doubling, the preceding
    symbols kept in a wavelet matrix (one bit a symbol and level, with counts for
    every 64 bits).  The windows are then streamed through it: backward search
    extends all matches by one word a step, and a match whose interval holds a
    single place (its own) ends.  The intervals of those that reach the threshold
    of WINDOW words give the least doc_id that has the window.
-4. Classes go back to their documents; each word in a window that has a smaller
-   doc_id is removed.
+4. The shard returns, for each of its passages, the runs of windows that a smaller
+   doc_id has; each word in such a window is removed.
 
 Words are compared by 64-bit hashes.  Null texts have no words.  Rows with a
 null id are kept whole and are no source.  Rows that repeat an id don't remove
@@ -32,13 +35,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calyx.llm.bitmaps import BITS_MOST, bit_of, bitmap_bits, has_bit, key_bitmap
 from calyx.llm.common import row_slices, spread_parts, written
+from calyx.llm.gram_shards import _bytes as packed, _keys as unpacked_keys, _summed, _values as unpacked
 from calyx.llm.words import Words, mix, unique_in_text, word_batches
 
 WINDOW = 13
@@ -46,6 +49,8 @@ SEED = 5
 HOT = 500
 #: Passages in a shard, about.
 SHARD_PASSAGES = 40_000
+#: Seeds, or words of passages, that a task holds before it sends them.
+HELD = 1 << 21
 
 
 # ---- seeds and passages -----------------------------------------------------
@@ -87,56 +92,100 @@ def _prints(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
+def _dealt(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, the rows that go there)."""
+    order = np.argsort(shard, kind="stable")
+    edges = np.flatnonzero(np.diff(shard[order])) + 1
+    for rows in np.split(order, edges) if len(order) else []:
+        yield int(shard[rows[0]]), rows
+
+
 def count_seeds(docs: DataFrame) -> DataFrame:
     """(seed, n): documents that have the seed, for those in two or more."""
+    parts = spread_parts(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            seed, count = _summed(np.concatenate(held), np.concatenate(n))
+            for part, rows in _dealt((mix(seed) % np.uint64(parts)).astype(np.int64)):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed(np.diff(seed[rows].view(np.int64), prepend=0))], pa.binary()),
+                                                  pa.array([packed(count[rows])], pa.binary())], names=["part", "seeds", "counts"])
+            held.clear()
+            n.clear()
+
         for _, words in word_batches(batches, "text"):
             text, seed, _, _ = passages(words)
             seen, count = np.unique(seed[unique_in_text(text, seed)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(count.astype(np.int64))], names=["seed", "n"])
+            held.append(seen)
+            n.append(count.astype(np.int64))
+            if sum(map(len, held)) > HELD:
+                yield from out()
+        if held:
+            yield from out()
 
-    counted = docs.select("text").mapInArrow(run, "seed long, n long")
-    return counted.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
+    def total(part: pa.Table) -> pa.Table:
+        seed = np.concatenate([unpacked_keys(x.as_py()) for x in part.column("seeds")])
+        seed, n = _summed(seed, np.concatenate([unpacked(x.as_py(), np.int64) for x in part.column("counts")]))
+        return pa.table({"seed": seed[n > 1], "n": n[n > 1]})
 
+    messages = docs.select("text").mapInArrow(run, "part int, seeds binary, counts binary")
+    return messages.groupBy("part").applyInArrow(total, "seed long, n long")
 
-PASSAGE = "route long, print1 long, print2 long, doc_id long, text_hash long, place long, windows int"
 
+#: Columns of a message: of each passage, and of its words (numbers in the message's dictionary, and that).
+MESSAGE = {"doc_id": np.int64, "text_hash": np.int64, "place": np.int32, "windows": np.int32, "word": np.uint32, "dictionary": np.int64}
 
-def emit_passages(docs: DataFrame, repeated: np.ndarray | None, hot: np.ndarray | None, bits: int, with_words: bool) -> DataFrame:
-    """Passages of repeated seeds (all, if no bitmap is given): PASSAGE, and the words' hashes if asked for."""
+
+def emit_passages(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
+    """(shard, MESSAGE): passages of repeated seeds, as the tasks have them for each shard."""
+    bits, hot_bits = 8 * len(repeated), 8 * len(hot)
+    shared = docs.sparkSession.sparkContext.broadcast((repeated, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated, hot = shared.value
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            shard, doc, key, place, windows = (np.concatenate([h[i] for h in held]) for i in range(5))
+            values = np.concatenate([h[5] for h in held])
+            held.clear()
+            lengths = windows + (WINDOW - 1)
+            start = np.cumsum(lengths) - lengths
+            for number, rows in _dealt(shard):
+                words, code = np.unique(values[_spans(start[rows], lengths[rows])[0]], return_inverse=True)
+                data = {"doc_id": doc[rows], "text_hash": key[rows], "place": place[rows].astype(np.int32), "windows": windows[rows].astype(np.int32),
+                        "word": code.astype(np.uint32), "dictionary": np.diff(words.view(np.int64), prepend=0)}
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([packed(data[c])], pa.binary()) for c in MESSAGE)], names=["shard", *MESSAGE])
+
         for piece, words in word_batches(batches, "text"):
             text, seed, first, windows = passages(words)
-            if repeated is not None:
-                chosen = has_bit(repeated, bit_of(seed.view(np.int64), bits))
-                text, seed, first, windows = text[chosen], seed[chosen], first[chosen], windows[chosen]
-            if hot is not None and len(seed):
-                cut = has_bit(hot, bit_of(seed.view(np.int64), bits))
-                at, begin = _spans(first[cut], windows[cut])
-                owner = np.repeat(np.flatnonzero(cut), windows[cut])
-                text, seed = np.r_[text[~cut], text[owner]], np.r_[seed[~cut], seed[owner]]
-                first, windows = np.r_[first[~cut], at], np.r_[windows[~cut], np.ones(len(at), np.int64)]
-                single = np.r_[np.zeros(int((~cut).sum()), bool), np.ones(len(at), bool)]
-            else:
-                single = np.zeros(len(seed), bool)
-            at, begin = _spans(first, windows + WINDOW - 1)
-            values = words.hash[at] if len(at) else np.zeros(0, np.uint64)
-            print1, print2 = _prints(values, begin)
-            route = np.where(single, print1, seed.view(np.int64))
-            doc = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[text] if len(text) else text
-            key = piece.column("text_hash").to_numpy(zero_copy_only=False)[text] if len(text) else text
-            columns = [route, print1, print2, doc, key, first - words.first[text], windows.astype(np.int32)]
-            arrays = [pa.array(c) for c in columns]
-            if with_words:
-                offsets = pa.array((begin * 8).astype(np.int32))
-                arrays.append(pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, offsets.buffers()[1], pa.py_buffer(values.tobytes())]))
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    schema = PASSAGE + (", words binary" if with_words else "")
-    names = [c.split()[0] for c in schema.split(", ")]
-    return docs.mapInArrow(run, schema)
+            chosen = has_bit(repeated, bit_of(seed, bits))
+            text, seed, first, windows = text[chosen], seed[chosen], first[chosen], windows[chosen]
+            if not len(seed):
+                continue
+            cut = has_bit(hot, bit_of(seed, hot_bits))
+            at, _ = _spans(first[cut], windows[cut])
+            owner = np.repeat(np.flatnonzero(cut), windows[cut])
+            text, route = np.r_[text[~cut], text[owner]], np.r_[seed[~cut], np.zeros(len(at), np.uint64)]
+            first, windows = np.r_[first[~cut], at], np.r_[windows[~cut], np.ones(len(at), np.int64)]
+            span, begin = _spans(first, windows + WINDOW - 1)
+            values = words.hash[span]
+            single = np.arange(len(route)) >= len(route) - len(at)
+            if len(at):  # a window of a hot seed goes by its own hash
+                route[single] = _prints(values, begin)[0].view(np.uint64)[single]
+            doc = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[text]
+            key = piece.column("text_hash").to_numpy(zero_copy_only=False)[text]
+            held.append(((mix(route) % np.uint64(parts)).astype(np.int64), doc, key, first - words.first[text], windows, values))
+            size += len(values)
+            if size > HELD:
+                yield from out()
+                size = 0
+        if held:
+            yield from out()
+
+    return docs.mapInArrow(run, "shard int, " + ", ".join(f"{c} binary" for c in MESSAGE))
 
 
 # ---- the index --------------------------------------------------------------
@@ -232,65 +281,48 @@ def earliest(words: list[bytes], least: np.ndarray, windows: np.ndarray) -> np.n
     return result
 
 
-def classes_with_earliest(classes: DataFrame, parts: int) -> DataFrame:
-    """(print1, print2, route, earliest): for classes some window of which may have a smaller doc_id than a place of it."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(frames)
-        if not held or not sum(map(len, held)):
-            return
-        shard = pd.concat(held, ignore_index=True)
-        held.clear()
-        windows = shard["windows"].to_numpy(np.int64)
-        found = earliest(shard["words"].tolist(), shard["least"].to_numpy(np.int64), windows)
-        begin = np.r_[0, np.cumsum(windows)]
-        least = np.repeat(shard["least"].to_numpy(np.int64), windows)
-        smaller = np.add.reduceat((found < least).astype(np.int64), begin[:-1]) > 0
-        chosen = np.flatnonzero(smaller | (shard["most"].to_numpy() > shard["least"].to_numpy()))
-        for lo in range(0, len(chosen), 10_000):
-            part = chosen[lo:lo + 10_000]
-            out = shard.loc[part, ["route", "print1", "print2"]]
-            out["earliest"] = [found[begin[i]:begin[i + 1]] for i in part]
-            yield out
-
-    return classes.repartition(parts, "route").mapInPandas(run, "route long, print1 long, print2 long, earliest array<long>")
+def removed_runs(shard: pa.Table) -> pa.Table:
+    """(doc_id, text_hash, run): runs of windows of a shard's passages that a smaller doc_id has, each as its first place << 32
+    and its number of windows."""
+    held = {c: [] for c in ("doc_id", "text_hash", "place", "windows", "values")}
+    for message in shard.to_pylist():
+        data = {c: unpacked(message[c], kind) for c, kind in MESSAGE.items()}
+        for c in ("doc_id", "text_hash", "place", "windows"):
+            held[c].append(data[c].astype(np.int64))
+        held["values"].append(np.cumsum(data["dictionary"]).view(np.uint64)[data["word"]])
+    doc, key, place, windows, values = (np.concatenate(v) for v in held.values())
+    begin = np.r_[0, np.cumsum(windows + WINDOW - 1)]
+    print1, print2 = _prints(values, begin)
+    order = np.lexsort((doc, print2, print1, windows))  # equal passages side by side, the least doc_id first
+    same = [k[order][1:] == k[order][:-1] for k in (windows, print1, print2)]
+    new = np.r_[True, ~(same[0] & same[1] & same[2])]
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    first = order[new]
+    found = earliest([values[begin[i]:begin[i + 1]].tobytes() for i in first], doc[first], windows[first])
+    at, starts = _spans((np.cumsum(windows[first]) - windows[first])[of], windows)
+    owner = np.repeat(np.arange(len(doc)), windows)
+    gone = np.flatnonzero(found[at] < doc[owner])
+    edge = np.flatnonzero(np.r_[True, (np.diff(gone) > 1) | (np.diff(owner[gone]) > 0)][:len(gone)])
+    number = np.diff(np.r_[edge, len(gone)])
+    begins, by = gone[edge], owner[gone[edge]]
+    return pa.table({"doc_id": doc[by], "text_hash": key[by], "run": (place[by] + begins - starts[by]) << 32 | number})
 
 
 # ---- the whole --------------------------------------------------------------
 
 def removed_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, starts): places of the windows that a smaller doc_id has too.  docs: doc_id long, text, text_hash."""
+    """(doc_id, text_hash, runs): runs of windows that a smaller doc_id has too.  docs: doc_id long, text, text_hash."""
     spark = docs.sparkSession
     source = docs.where("doc_id is not null and text is not null")
-    seeds = written(count_seeds(source), "substring-seeds")
-    n, places = seeds.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = bitmap_bits(n)
+    seeds = written(count_seeds(source), "substring-seeds", "zstd")
+    n, places, n_hot = seeds.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") >= HOT)).first()
     parts = max(spread_parts(spark), -(-places // SHARD_PASSAGES))
-    if bits <= BITS_MOST:
-        repeated, hot = key_bitmap(seeds.select("seed"), bits), key_bitmap(seeds.where(F.col("n") >= HOT).select("seed"), bits)
-        shared = spark.sparkContext.broadcast((repeated, hot))
-
-        def emit(with_words: bool) -> DataFrame:
-            return emit_passages(source, *shared.value, bits, with_words)
-    else:
-        # Too many repeated seeds for a bitmap of bounded size: join them instead.  Hot seeds still fit a bitmap
-        # far longer, as each of them takes HOT documents; beyond that the bitmap's false hits only cut more passages.
-        hot = key_bitmap(seeds.where(F.col("n") >= HOT).select("seed"), BITS_MOST)
-
-        def emit(with_words: bool) -> DataFrame:
-            whole = emit_passages(source, None, None, BITS_MOST, with_words).join(seeds.select(F.col("seed").alias("route")), "route", "left_semi")
-            cut = emit_passages(source, hot, hot, BITS_MOST, with_words)
-            calm = seeds.where(F.col("n") < HOT).select(F.col("seed").alias("route"))
-            return whole.join(calm, "route", "left_semi").unionByName(cut.where("windows = 1"))
-
-    keys = ["route", "print1", "print2", "windows"]
-    classes = emit(True).groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("words").alias("words"))
-    found = written(classes_with_earliest(classes, parts), "substring-classes")
-    places_of = emit(False).select("route", "print1", "print2", "doc_id", "text_hash", "place")
-    hits = places_of.join(found, ["route", "print1", "print2"])
-    starts = F.transform("earliest", lambda x, i: F.when(x < F.col("doc_id"), F.col("place") + i))
-    hits = hits.select("doc_id", "text_hash", F.filter(starts, lambda x: x.isNotNull()).alias("starts")).where(F.size("starts") > 0)
-    return written(hits.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts")), "substring-starts")
+    repeated = key_bitmap(seeds.select("seed"), min(bitmap_bits(n), BITS_MOST))
+    # a false hit among the hot seeds cuts more passages, in all tasks alike
+    hot = key_bitmap(seeds.where(F.col("n") >= HOT).select("seed"), min(bitmap_bits(n_hot), BITS_MOST))
+    runs = emit_passages(source, repeated, hot, parts).groupBy("shard").applyInArrow(removed_runs, "doc_id long, text_hash long, run long")
+    return written(runs.groupBy("doc_id", "text_hash").agg(F.collect_list("run").alias("runs")), "substring-runs", "zstd")
 
 
 def covered(n: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -312,11 +344,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             for piece in row_slices(batch, "text"):
                 counts, cut, kept = [], [], []
-                for text, starts in zip(piece.column("text").cast(pa.binary()), piece.column("starts"), strict=True):
+                for text, runs in zip(piece.column("text").cast(pa.binary()), piece.column("runs"), strict=True):
                     words = (text.as_py() or b"").split()
                     counts.append(len(words))
-                    if starts.is_valid:
-                        off = covered(len(words), starts.values.to_numpy())
+                    if runs.is_valid:
+                        run = runs.values.to_numpy()
+                        off = covered(len(words), _spans(run >> 32, run & 0xFFFFFFFF)[0])
                         words = [w for w, o in zip(words, off.tolist(), strict=True) if not o]
                     cut.append(counts[-1] - len(words))
                     whole = b" ".join(words)
@@ -325,5 +358,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                                                   pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", last])
 
     # A document's text_hash goes along, so that rows which share an id but not a text stay apart.
-    both = rows.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts")
+    both = rows.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text", "runs")
     return both.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string")

@@ -197,6 +197,24 @@ def test_windows_query(spark):
     assert collect(got, *got.columns) == brute_windows(table_rows(spark))
 
 
+def test_passages_travel_compressed_and_whole(spark, monkeypatch):
+    """Passages beyond the bitmap's size too: their words go to the shards once, in far less than eight bytes a word."""
+    vocab = [f"w{i}" for i in range(300)]
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(vocab[i] for i in rng.integers(0, 300, n))
+    shared = [text(40) for _ in range(20)]
+    given = [(i, f"{text(30)} {shared[i % 20]} {text(30)}", "en", "s", 0, *EXTRA) for i in range(400)]
+    monkeypatch.setattr(substring_dedup, "bitmap_bits", lambda n: substring_dedup.BITS_MOST + 1)
+    sent, emit = [], substring_dedup.emit_passages
+    monkeypatch.setattr(substring_dedup, "emit_passages", lambda *a: sent.append(emit(*a)) or sent[-1])
+    got = substring_dedup.dedup_substrings(docs(spark, given), digests=True)
+    assert collect(got, *got.columns) == brute_windows([(r[0], r[1]) for r in given])
+    assert len(sent) == 1  # the passages are emitted once
+    messages = sent[0].collect()
+    n = [int.from_bytes(r["word"][:8], "little") for r in messages]
+    assert sum(n) >= 40 * 400 and sum(len(r["word"]) + len(r["dictionary"]) for r in messages) < 4 * sum(n)
+
+
 def test_windows_empty(spark):
     assert substring_dedup.dedup_substrings(docs(spark, [])).count() == 0
 
