@@ -57,3 +57,15 @@ def test_both_calibrations_in_one_pass_are_those_of_each_alone(spark, tables, mo
     for method in ("sigmoid", "isotonic"):
         alone = ST.calibrated_scores(spark, tables, method, k=2, part="validation")
         assert abs(ST.E.brier(alone).first()["brier"] - ST.E.brier(both.withColumnRenamed(method, "score")).first()["brier"]) < 1e-9
+
+
+def test_tree_grid_fits_keep_nodes_and_take_large_partitions(spark, tables, monkeypatch):
+    dealt, for_fits, fits, tree = [], S.for_fits, [], M.decision_tree
+    monkeypatch.setattr(S, "for_fits", lambda *a, **k: dealt.append(k.get("fit_rows")) or for_fits(*a, **k))
+    monkeypatch.setattr(M, "decision_tree", lambda *a, **k: fits.append(tree(*a, **k)) or fits[-1])
+    grid = {"criterion": ("gini",), "max_depth": (2, None), "min_samples_leaf": (1, 5), "class_weight": (None, "balanced")}
+    found = {r["params"]: r["mean_score"] for r in ST.grid_search_dt(spark, tables, grid).collect()}
+    assert len(found) == 8 and dealt == [S.NARROW_FIT_ROWS]
+    assert len(fits) == 5 * 4 and all(f.getCacheNodeIds() for f in fits)
+    monkeypatch.setattr(M.DecisionTreeClassifier, "setCacheNodeIds", lambda self, _: self)  # as without it
+    assert {r["params"]: r["mean_score"] for r in ST.grid_search_dt(spark, tables, grid).collect()} == found
